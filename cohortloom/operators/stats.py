@@ -47,7 +47,7 @@ def mann_whitney(df: DataFrame, test: Sequence[str], group: str, value: str, a,
     sd = F.sqrt(product / 12 * (F.col("total") + 1 - X.ratio("tie_term", F.col("total") * (F.col("total") - 1))))
     off = F.abs(u - product / 2)
     z = F.when(sd > 0, F.greatest(F.lit(0.0), off - 0.5) / sd)
-    return wide.where("n_a > 0 AND n_b > 0").select(*test, "n_a", "n_b", u.alias("u"), z.alias("z")).withColumn("p", tests.normal_p("z"))
+    return wide.where("n_a > 0 AND n_b > 0").select(*test, "n_a", "n_b", u.alias("u"), z.alias("z")).withColumn("p_value", tests.normal_p("z"))
 
 
 def kruskal_wallis(df: DataFrame, test: Sequence[str], group: str, value: str) -> DataFrame:
@@ -57,7 +57,7 @@ def kruskal_wallis(df: DataFrame, test: Sequence[str], group: str, value: str) -
     n = F.col("total")
     h = 12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
     corrected = X.ratio(h, 1 - X.ratio("tie_term", n * n * n - n))
-    return per.select(*test, "k", corrected.alias("h")).withColumn("p", tests.chi2_p("h", (F.col("k") - 1).cast("double")))
+    return per.select(*test, "k", corrected.alias("h")).withColumn("p_value", tests.chi2_p("h", (F.col("k") - 1).cast("double")))
 
 
 def wilcoxon(df: DataFrame, test: Sequence[str], pair: str, condition: str, value: str, a, b) -> DataFrame:
@@ -79,10 +79,10 @@ def wilcoxon(df: DataFrame, test: Sequence[str], pair: str, condition: str, valu
             ways /= 2
         ways /= ways.sum()
         w = min(plus, total - plus)
-        return pd.DataFrame([(*pdf.iloc[0][list(test)], len(pdf), plus / 2, min(1.0, 2 * float(ways[: w + 1].sum())))], columns=[*test, "n", "w_plus", "p"])
+        return pd.DataFrame([(*pdf.iloc[0][list(test)], len(pdf), plus / 2, min(1.0, 2 * float(ways[: w + 1].sum())))], columns=[*test, "n", "w_plus", "p_value"])
 
     kinds = dict(df.dtypes)
-    return ranked.groupBy(*test).applyInPandas(exact, ", ".join([*(f"{t} {kinds[t]}" for t in test), "n long", "w_plus double", "p double"]))
+    return ranked.groupBy(*test).applyInPandas(exact, ", ".join([*(f"{t} {kinds[t]}" for t in test), "n long", "w_plus double", "p_value double"]))
 
 
 def pearson(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
@@ -96,7 +96,7 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": X.average_rank(list(by), x), "_y": X.average_rank(list(by), y)})
     spread = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(spread & (F.count(F.lit(1)) >= least), F.corr("_x", "_y")).alias("rho"))
-    return out.withColumn("p", tests.correlation_p("rho", "n"))
+    return out.withColumn("p_value", tests.correlation_p("rho", "n"))
 
 
 def r2_sweep(df: DataFrame, x: str, y: str, by: str, cutoffs: Sequence[float]) -> DataFrame:

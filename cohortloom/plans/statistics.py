@@ -53,14 +53,14 @@ _RANKS = """r AS (SELECT p_brand AS t, l_returnflag AS g, l_quantity AS v, rank(
     SELECT s.t AS p_brand, n_a, n_b, ra - n_a * (n_a + 1) / 2 AS u, round(greatest(0, abs(ra - n_a * (n_a + 1) / 2 - n_a * n_b / 2) - 0.5) / sqrt(n_a * n_b / 12.0 * (total + 1 - tie / (total * (total - 1)))), 6) AS z FROM s JOIN ties ON s.t = ties.t""")
 def st3_mann_whitney(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey"))
-    return _rounded(stats.mann_whitney(rows, ["p_brand"], "l_returnflag", "l_quantity", "A", "R"), "z").drop("p")
+    return _rounded(stats.mann_whitney(rows, ["p_brand"], "l_returnflag", "l_quantity", "A", "R"), "z").drop("p_value")
 
 
 @query(f"""WITH {_RANKS.format(w="")}, s AS (SELECT t, g, count(*) AS n, sum(r) AS rs FROM r GROUP BY 1, 2), k AS (SELECT t, count(*) AS k, sum(rs * rs / n) AS s FROM s GROUP BY 1),
-    h AS (SELECT k.t AS p_brand, k, (12 / (total * (total + 1)) * s - 3 * (total + 1)) / (1 - tie / (total * total * total - total)) AS h FROM k JOIN ties ON k.t = ties.t) SELECT p_brand, k, round(h, 5) AS h, round(exp(-h / 2), 5) AS p FROM h""")
+    h AS (SELECT k.t AS p_brand, k, (12 / (total * (total + 1)) * s - 3 * (total + 1)) / (1 - tie / (total * total * total - total)) AS h FROM k JOIN ties ON k.t = ties.t) SELECT p_brand, k, round(h, 5) AS h, round(exp(-h / 2), 5) AS p_value FROM h""")
 def st4_kruskal_wallis(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey"))
-    return _rounded(stats.kruskal_wallis(rows, ["p_brand"], "l_returnflag", "l_quantity"), "h", "p", to=5)
+    return _rounded(stats.kruskal_wallis(rows, ["p_brand"], "l_returnflag", "l_quantity"), "h", "p_value", to=5)
 
 
 @query()
@@ -77,7 +77,7 @@ def st6_a22_pearson(spark, d):
 @query("""WITH k AS (SELECT l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS x, rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1) / 2.0 AS y FROM lineitem)
     SELECT l_suppkey, count(*) AS n, round(corr(x, y), 6) AS rho FROM k GROUP BY 1""")
 def st7_a22_spearman(spark, d):
-    return _rounded(stats.spearman(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice"), "rho").drop("p")
+    return _rounded(stats.spearman(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice"), "rho").drop("p_value")
 
 
 @query("""SELECT CAST(cutoff AS DOUBLE) AS cutoff, count(*) AS n, round(pow(corr(l_quantity, l_extendedprice), 2), 6) AS r2 FROM lineitem, (SELECT unnest([0, 10, 25, 40]) AS cutoff) WHERE l_quantity >= cutoff GROUP BY 1""")
