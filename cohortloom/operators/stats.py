@@ -32,8 +32,8 @@ def rank_sums(df: DataFrame, test: Sequence[str], group: str, value: str) -> tup
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     ranked = rows.withColumn("_r", X.average_rank(list(test), value))
     sums = ranked.groupBy(*test, group).agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("rank_sum"))
-    ties = rows.groupBy(*test, value).agg(F.count(F.lit(1)).cast("double").alias("t"))
-    totals = ties.groupBy(*test).agg(F.sum("t").alias("total"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term"))
+    ties = rows.groupBy(*test, value).agg(F.count(F.lit(1)).cast("double").alias("_t"))
+    totals = ties.groupBy(*test).agg(F.sum("_t").alias("total"), F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("tie_term"))
     return sums, totals
 
 
@@ -66,12 +66,12 @@ def wilcoxon(df: DataFrame, test: Sequence[str], pair: str, condition: str, valu
     A test's differences are in one task: the exact null distribution is a dynamic program over their ranks.
     """
     side = lambda v: F.coalesce(F.max(F.when(F.col(condition) == v, F.col(value))), F.lit(0.0))
-    diffs = df.where(F.col(condition).isin(a, b)).groupBy(*test, pair).agg((side(a) - side(b)).alias("diff")).where("diff != 0")
-    ranked = diffs.withColumn("size", F.abs("diff")).withColumn("r", X.average_rank(list(test), "size"))
+    diffs = df.where(F.col(condition).isin(a, b)).groupBy(*test, pair).agg((side(a) - side(b)).alias("_d")).where("_d != 0")
+    ranked = diffs.withColumn("_s", F.abs("_d")).withColumn("_r", X.average_rank(list(test), "_s"))
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
-        double = (2 * pdf["r"]).round().astype(int).to_numpy()  # average ranks are halves
-        plus, total = int(double[pdf["diff"].to_numpy() > 0].sum()), int(double.sum())
+        double = (2 * pdf["_r"]).round().astype(int).to_numpy()  # average ranks are halves
+        plus, total = int(double[pdf["_d"].to_numpy() > 0].sum()), int(double.sum())
         ways = np.zeros(total + 1)
         ways[0] = 1.0
         for r in double:
@@ -147,11 +147,15 @@ def lowess(df: DataFrame, by: Sequence[str], x: str, y: str, at: Sequence[float]
 
 def cluster_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Homogeneity, completeness and V-measure of clustering b against a, from one contingency table."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    ent = lambda rows, n: rows.agg(F.sum(F.col(n) * F.log(n)).alias("s"), F.sum(n).alias("n")).select((F.log("n") - F.col("s") / F.col("n")).alias("h"))
-    h = lambda key, name: ent(cells.groupBy(key).agg(F.sum("n").alias("m")).withColumnRenamed("m", "n"), "n").withColumnRenamed("h", name)
-    joint = ent(cells, "n").withColumnRenamed("h", "h_ab")
-    out = joint.crossJoin(h(a, "h_a")).crossJoin(h(b, "h_b"))  # one row each
+    rows = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).dropna()
+    cells = rows.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+
+    def entropy(counts: DataFrame, name: str) -> DataFrame:
+        n = F.sum("_n")
+        return counts.agg((F.log(n) - F.sum(F.col("_n") * F.log("_n")) / n).alias(name))
+
+    side = lambda key: cells.groupBy(key).agg(F.sum("_n").alias("_n"))
+    out = entropy(cells, "h_ab").crossJoin(entropy(side("_a"), "h_a")).crossJoin(entropy(side("_b"), "h_b"))  # one row each
     hom = F.when(F.abs("h_a") < 1e-12, 1.0).otherwise(1 - (F.col("h_ab") - F.col("h_b")) / F.col("h_a"))
     com = F.when(F.abs("h_b") < 1e-12, 1.0).otherwise(1 - (F.col("h_ab") - F.col("h_a")) / F.col("h_b"))
     out = out.select(hom.alias("homogeneity"), com.alias("completeness"))

@@ -10,7 +10,7 @@ from cohortloom.operators import assoc, pick, shape
 from .registry import query, table
 
 c = F.col
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 
 def _round(df, *names, to=6):
@@ -77,7 +77,7 @@ def d46_association_scan(spark, d):
 def d47_sp3_null_association(spark, d):
     pairs = table(spark, d, "lineitem").select(c("l_partkey").alias("e"), c("l_suppkey").alias("p")).distinct()
     drawn = assoc.random_partners(pairs, "e", "p", table(spark, d, "supplier").select(c("s_suppkey").alias("p")), 3)
-    return drawn.groupBy("rep", "drawn").agg(N.alias("n"), F.count_if(c("p") == c("drawn")).alias("n_true"))
+    return drawn.groupBy("rep", "drawn").agg(N().alias("n"), F.count_if(c("p") == c("drawn")).alias("n_true"))
 
 
 @query(f"""WITH {_SCAN}, q AS (SELECT n11.e, n11.p, n11.p % 4 AS genus, rho, 100.0 * n11 / na.n AS pct FROM n11 JOIN na ON n11.e = na.e), o AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY rho DESC NULLS LAST, p) AS rn FROM (SELECT * FROM q WHERE genus = length(e) % 4))
@@ -98,7 +98,7 @@ def d49_pass_rates(spark, d):
     t AS (SELECT CAST(cutoff AS DOUBLE) AS cutoff, count(*) FILTER (ratio >= cutoff AND dom >= 20) AS n11, count(*) FILTER (ratio >= cutoff AND dom < 20) AS n10, count(*) FILTER (ratio < cutoff AND dom >= 20) AS n01, count(*) FILTER (ratio < cutoff AND dom < 20) AS n00 FROM s, g WHERE n >= 2 GROUP BY 1)
     SELECT cutoff, n11, n10, n01, n00, round(n11 * n00 * 1.0 / nullif(n10 * n01, 0), 6) AS odds_ratio, round(n11 * 1.0 / (n11 + n10), 6) AS rate_over, round(n01 * 1.0 / (n01 + n00), 6) AS rate_below FROM t""")
 def d50_dominance_test(spark, d):
-    s = table(spark, d, "orders").groupBy("o_custkey").agg(N.alias("n"), (100.0 * F.max("o_totalprice") / F.sum("o_totalprice")).alias("dom"), (F.avg("o_totalprice") / 100000).alias("ratio"))
+    s = table(spark, d, "orders").groupBy("o_custkey").agg(N().alias("n"), (100.0 * F.max("o_totalprice") / F.sum("o_totalprice")).alias("dom"), (F.avg("o_totalprice") / 100000).alias("ratio"))
     out = assoc.dominance_test(s, "n", "dom", "ratio", [0.8, 1.0, 1.2], 2, 20)
     return _round(out, "odds_ratio", "rate_over", "rate_below").drop("p_greater", "p_two")
 
@@ -115,4 +115,4 @@ def d51_taxon_association(spark, d):
 @query("""SELECT l_suppkey, count(*) AS items, count(*) FILTER (l_returnflag = 'R') AS flagged FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_tax, l_extendedprice DESC, l_orderkey, l_linenumber) = 1) GROUP BY 1""")
 def d71_best_hit_then_sum(spark, d):
     best = pick.best_per_key(table(spark, d, "lineitem"), ["l_partkey"], ["l_tax", F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"])
-    return best.groupBy("l_suppkey").agg(N.alias("items"), F.count_if(c("l_returnflag") == "R").alias("flagged"))
+    return best.groupBy("l_suppkey").agg(N().alias("items"), F.count_if(c("l_returnflag") == "R").alias("flagged"))

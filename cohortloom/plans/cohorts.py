@@ -10,7 +10,7 @@ from cohortloom.operators import cohort, curves, shape
 from .registry import query, table
 
 c = F.col
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 
 def _round(df, *names, to=6):
@@ -65,7 +65,7 @@ def d54_prevalence_at(spark, d):
 @query("""WITH x AS (SELECT l_partkey, avg(CAST(l_returnflag = 'R' AS INT)) AS r FROM lineitem WHERE l_quantity > 46 GROUP BY 1), k AS (SELECT CASE WHEN r = 0 THEN 'never' WHEN r = 1 THEN 'always' ELSE 'sometimes' END AS consistency FROM x) SELECT consistency, count(*) AS taxa, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY 1""")
 def d55_flag_consistency(spark, d):
     per = cohort.flag_consistency(table(spark, d, "lineitem").where("l_quantity > 46"), ["l_partkey"], c("l_returnflag") == "R")
-    counts = per.groupBy("consistency").agg(N.alias("taxa")).withColumn("all", F.lit(1))
+    counts = per.groupBy("consistency").agg(N().alias("taxa")).withColumn("all", F.lit(1))
     return _round(counts.withColumn("share", X.share("taxa", "all")).drop("all"), "share")
 
 
@@ -153,7 +153,7 @@ def d74_threshold_shares(spark, d):
 def d75_hybrid_calls(spark, d):
     rows = table(spark, d, "lineitem")
     calls = cohort.hybrid_calls(rows.where("l_discount > 0.08").select("l_orderkey", "l_suppkey").distinct(), rows.where("l_quantity > 45").select("l_orderkey", "l_suppkey").distinct(), ["l_orderkey", "l_suppkey"])
-    return calls.groupBy("l_orderkey").agg(N.alias("calls"), F.count_if(c("method") == "a").alias("by_a"))
+    return calls.groupBy("l_orderkey").agg(N().alias("calls"), F.count_if(c("method") == "a").alias("by_a"))
 
 
 @query("""WITH a AS (SELECT p_name AS k, arg_max(p_partkey, p_retailprice * 100000 - p_partkey) AS r FROM part GROUP BY 1), b AS (SELECT p_name AS k, min(p_partkey) FILTER (p_size > 20) AS r FROM part GROUP BY 1), x AS (SELECT a.r = b.r AS same, pa.p_size = pb.p_size AND pa.p_brand = pb.p_brand AS alike FROM a JOIN b ON a.k = b.k JOIN part pa ON pa.p_partkey = a.r JOIN part pb ON pb.p_partkey = b.r)

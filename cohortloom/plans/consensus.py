@@ -10,7 +10,7 @@ from cohortloom.operators import consensus, hierarchy, joins, pick, shape
 from .registry import query, table
 
 c = F.col
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 _EVIDENCE = "SELECT o_custkey, p_brand, CASE WHEN p_size > 5 THEN p_type END AS p_type, l_quantity, l_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
 _TOP = """v AS (SELECT o_custkey, rank, label, count(*) AS votes FROM (SELECT o_custkey, 'p_brand' AS rank, p_brand AS label FROM {e} UNION ALL SELECT o_custkey, 'p_type', p_type FROM {e}) WHERE label IS NOT NULL GROUP BY 1, 2, 3),
@@ -43,7 +43,7 @@ def d5_threshold_sweep(spark, d):
     SELECT o_custkey, p_brand, 'relaxed', count(*) FROM e WHERE l_quantity > 30 AND o_custkey NOT IN (SELECT o_custkey FROM s) GROUP BY 1, 2""")
 def d6_evidence_cascade(spark, d):
     e = _evidence(spark, d)
-    return consensus.evidence_cascade(e.where("l_quantity > 48"), e.where("l_quantity > 30"), "o_custkey").groupBy("o_custkey", "p_brand", "evidence").agg(N.alias("n"))
+    return consensus.evidence_cascade(e.where("l_quantity > 48"), e.where("l_quantity > 30"), "o_custkey").groupBy("o_custkey", "p_brand", "evidence").agg(N().alias("n"))
 
 
 _TWO = f"""a0 AS (SELECT * FROM ({_EVIDENCE}) WHERE l_quantity > 25), b0 AS (SELECT * FROM ({_EVIDENCE}) WHERE l_discount > 0.03),

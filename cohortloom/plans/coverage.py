@@ -9,7 +9,7 @@ from cohortloom.operators import coverage
 from .registry import query, table
 
 c = F.col
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 
 def _lines(spark, d):
@@ -72,7 +72,7 @@ def d21_assemble_features(spark, d):
 def d22_annotation_table(spark, d):
     rows = table(spark, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
     required = rows.where("l_quantity > 40").groupBy("p_partkey").agg(F.countDistinct("l_suppkey").alias("suppliers"))
-    optional = [rows.where("l_returnflag = 'R' AND l_quantity > 47").groupBy("p_partkey").agg(N.alias("returns")), rows.where("l_discount = 0.1").select("p_partkey", c("l_orderkey").alias("best"))]
+    optional = [rows.where("l_returnflag = 'R' AND l_quantity > 47").groupBy("p_partkey").agg(N().alias("returns")), rows.where("l_discount = 0.1").select("p_partkey", c("l_orderkey").alias("best"))]
     return coverage.annotation_table(table(spark, d, "part").where("p_size < 25").select("p_partkey"), "p_partkey", required, optional)
 
 
@@ -91,7 +91,7 @@ def d24_hit_levels(spark, d):
 
 @query("""WITH o AS (SELECT DISTINCT l_suppkey, p_brand FROM (SELECT l_suppkey, p_brand, l_returnflag, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 46 GROUP BY 1, 2, 3) WHERE n = 1), h AS (SELECT l_suppkey, count(*) AS hallmarks FROM o GROUP BY 1) SELECT hallmarks, count(*) AS entities FROM h GROUP BY 1""")
 def d25_single_copy(spark, d):
-    return coverage.single_copy(_lines(spark, d).where("l_quantity > 46"), "l_suppkey", "p_brand", "l_returnflag").groupBy("hallmarks").agg(N.alias("entities"))
+    return coverage.single_copy(_lines(spark, d).where("l_quantity > 46"), "l_suppkey", "p_brand", "l_returnflag").groupBy("hallmarks").agg(N().alias("entities"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_discount > 0.07 AS INT) + CAST(l_tax > 0.06 AS INT) + CAST(l_returnflag = 'R' AS INT) AS signals FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, signals, CASE WHEN signals > 0 THEN 'temperate' ELSE 'virulent' END AS lifestyle FROM s""")

@@ -10,7 +10,7 @@ from cohortloom.operators import joins, pick, shape
 from .registry import query, table
 
 c = F.col
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 
 @query("""SELECT o_orderkey, c_name, c_mktsegment, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0
@@ -26,7 +26,7 @@ def j1_j2_j11_joins(spark, d):
     (SELECT l_partkey AS k, count(*) AS n, max(l_quantity) AS top FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY 1) a FULL JOIN
     (SELECT l_partkey AS k, count(*) AS n, max(l_quantity) AS top FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1) b ON a.k = b.k""")
 def j3_j4_j10_full_join(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 45").groupBy(c("l_partkey").alias("k"), "l_returnflag").agg(N.alias("n"), F.max("l_quantity").alias("top"))
+    rows = table(spark, d, "lineitem").where("l_quantity > 45").groupBy(c("l_partkey").alias("k"), "l_returnflag").agg(N().alias("n"), F.max("l_quantity").alias("top"))
     a, b = (rows.where(c("l_returnflag") == f).select("k", c("n").alias(f"n_{s}"), c("top").alias(f"top_{s}")) for f, s in (("A", "a"), ("R", "b")))
     return a.join(b, ["k"], "full").select("k", "n_a", "n_b", F.coalesce("top_a", "top_b").alias("top"))
 
@@ -41,14 +41,14 @@ def j5_j6_semi_anti(spark, d):
     LEFT JOIN (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1, 2) x ON c_nationkey = n_nationkey AND x.c_mktsegment = seg""")
 def j7_r5_densify(spark, d):
     cust = table(spark, d, "customer")
-    counts = cust.where("c_acctbal > 5000").groupBy(c("c_nationkey").alias("n_nationkey"), "c_mktsegment").agg(N.alias("n"))
+    counts = cust.where("c_acctbal > 5000").groupBy(c("c_nationkey").alias("n_nationkey"), "c_mktsegment").agg(N().alias("n"))
     full = shape.densify(counts, table(spark, d, "nation").select("n_nationkey", "n_name"), cust.select("c_mktsegment").distinct(), ["n_nationkey", "c_mktsegment"], {"n": 0})
     return full.select("n_name", "c_mktsegment", "n")
 
 
 @query("""SELECT s_suppkey, l_partkey, n FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_discount > 0.09 GROUP BY 1, 2) x RIGHT JOIN supplier ON l_suppkey = s_suppkey""")
 def j8_right_join(spark, d):
-    rows = table(spark, d, "lineitem").where("l_discount > 0.09").groupBy(c("l_suppkey").alias("s_suppkey"), "l_partkey").agg(N.alias("n"))
+    rows = table(spark, d, "lineitem").where("l_discount > 0.09").groupBy(c("l_suppkey").alias("s_suppkey"), "l_partkey").agg(N().alias("n"))
     return rows.join(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", "right").select("s_suppkey", "l_partkey", "n")
 
 
@@ -142,14 +142,14 @@ def j20_r3_array_overlap(spark, d):
     median(l_quantity) AS mid, quantile_cont(l_extendedprice, 0.25) AS q1, round(stddev_samp(l_quantity), 6) AS sd, round(var_samp(l_quantity), 6) AS var, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1, 2""")
 def a1_a6_aggregates(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        N.alias("n"), F.count(F.when(c("l_discount") > 0, 1)).alias("n_disc"), F.sum("l_quantity").cast("long").alias("qty"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.min("l_tax").alias("low"), F.max("l_tax").alias("high"),
+        N().alias("n"), F.count(F.when(c("l_discount") > 0, 1)).alias("n_disc"), F.sum("l_quantity").cast("long").alias("qty"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.min("l_tax").alias("low"), F.max("l_tax").alias("high"),
         F.median("l_quantity").alias("mid"), F.percentile("l_extendedprice", 0.25).alias("q1"), F.round(F.stddev_samp("l_quantity"), 6).alias("sd"), F.round(F.var_samp("l_quantity"), 6).alias("var"), F.countDistinct("l_suppkey").alias("suppliers"),
     )
 
 
 @query("""SELECT p_brand, count(*) AS n, count(DISTINCT p_type) AS types, arg_min(p_name, p_partkey) AS first_name, arg_max(p_name, p_retailprice * 100000 + p_partkey) AS top_name FROM (SELECT DISTINCT p_brand, p_type, p_name, p_partkey, p_retailprice FROM part) GROUP BY 1""")
 def a7_a8_a17_first_and_top(spark, d):
-    return table(spark, d, "part").select("p_brand", "p_type", "p_name", "p_partkey", "p_retailprice").distinct().groupBy("p_brand").agg(N.alias("n"), F.countDistinct("p_type").alias("types"), F.min_by("p_name", "p_partkey").alias("first_name"), F.max_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("top_name"))
+    return table(spark, d, "part").select("p_brand", "p_type", "p_name", "p_partkey", "p_retailprice").distinct().groupBy("p_brand").agg(N().alias("n"), F.countDistinct("p_type").alias("types"), F.min_by("p_name", "p_partkey").alias("first_name"), F.max_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("top_name"))
 
 
 @query("""SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS top_f, max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS top_o, count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS n_big,
@@ -170,7 +170,7 @@ def a13_d11_majority_label(spark, d):
     return pick.majority_label(rows, ["l_suppkey"], "p_brand")
 
 
-@query("""SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS types, array_to_string(list_sort(list(p_partkey) FILTER (p_size > 45)), ',') AS big_ids, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE 'MIXED' END AS vote FROM part GROUP BY 1""")
+@query("""SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS types, coalesce(array_to_string(list_sort(list(p_partkey) FILTER (p_size > 45)), ','), '') AS big_ids, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE 'MIXED' END AS vote FROM part GROUP BY 1""")
 def a14_a16_ud4_lists(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(
         F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("types"), F.array_join(F.array_sort(F.collect_list(F.when(c("p_size") > 45, c("p_partkey")))), ",").alias("big_ids"),
@@ -180,8 +180,8 @@ def a14_a16_ud4_lists(spark, d):
 
 @query("""WITH a AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) SELECT c_nationkey, max(n) AS most, CAST(sum(n) AS BIGINT) AS n, count(*) AS segments, round(max(n) * 1.0 / sum(n), 6) AS share FROM a GROUP BY 1""")
 def a18_two_levels(spark, d):
-    a = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(N.alias("n"))
-    return a.groupBy("c_nationkey").agg(F.max("n").alias("most"), F.sum("n").alias("n"), N.alias("segments")).withColumn("share", F.round(X.ratio("most", "n"), 6))
+    a = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(N().alias("n"))
+    return a.groupBy("c_nationkey").agg(F.max("n").alias("most"), F.sum("n").alias("n"), N().alias("segments")).withColumn("share", F.round(X.ratio("most", "n"), 6))
 
 
 @query("""SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(DISTINCT s_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1""")
@@ -193,14 +193,14 @@ def a19_roll_up(spark, d):
 
 @query("""SELECT p_type, p_brand, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY p_type), 6) AS share FROM part GROUP BY 1, 2 ORDER BY n DESC, p_type, p_brand""")
 def a20_a21_counts_and_shares(spark, d):
-    return table(spark, d, "part").groupBy("p_type", "p_brand").agg(N.alias("n")).withColumn("share", F.round(X.share("n", "p_type"), 6)).orderBy(F.desc("n"), "p_type", "p_brand")
+    return table(spark, d, "part").groupBy("p_type", "p_brand").agg(N().alias("n")).withColumn("share", F.round(X.share("n", "p_type"), 6)).orderBy(F.desc("n"), "p_type", "p_brand")
 
 
 @query("""SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers, min(o_totalprice) AS low, max(o_totalprice) AS high, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd,
     quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS q2, quantile_cont(o_totalprice, 0.75) AS q3, round(avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END), 6) AS null_share FROM orders""")
 def a23_a24_a27_a28_summary(spark, d):
     return table(spark, d, "orders").withColumn("s", F.when(c("o_orderstatus") != "P", c("o_orderstatus"))).agg(
-        N.alias("n"), F.countDistinct("o_custkey").alias("customers"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_samp("o_totalprice"), 4).alias("sd"),
+        N().alias("n"), F.countDistinct("o_custkey").alias("customers"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_samp("o_totalprice"), 4).alias("sd"),
         *(F.percentile("o_totalprice", q).alias(n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))), F.round(F.avg(c("s").isNull().cast("int")), 6).alias("null_share"),
     )
 
@@ -209,7 +209,7 @@ def a23_a24_a27_a28_summary(spark, d):
     LEFT JOIN (SELECT o_custkey AS k, o_orderstatus AS os, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2) x ON k = o_custkey AND os = s""")
 def a25_zero_filled(spark, d):
     o = table(spark, d, "orders").withColumnRenamed("o_orderstatus", "status")
-    sums = o.groupBy("o_custkey", "status").agg(N.alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    sums = o.groupBy("o_custkey", "status").agg(N().alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     return shape.densify(sums, o.select("o_custkey").distinct(), o.select("status").distinct(), ["o_custkey", "status"], {"n": 0, "total": 0})
 
 
@@ -235,7 +235,7 @@ def t2_t4_first_n(spark, d):
     b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, p_type) AS r FROM a) SELECT l_suppkey, p_type, n, m, row_number() OVER (PARTITION BY l_suppkey ORDER BY m DESC, p_type) AS pos FROM b WHERE r <= 3""")
 def t5_top_k_reranked(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey"))
-    a = rows.groupBy("l_suppkey", "p_type").agg(N.alias("n"), F.round(F.avg("l_quantity"), 6).alias("m")).where("n >= 20")
+    a = rows.groupBy("l_suppkey", "p_type").agg(N().alias("n"), F.round(F.avg("l_quantity"), 6).alias("m")).where("n >= 20")
     return pick.numbered(pick.first_n(a, ["l_suppkey"], [F.desc("n"), "p_type"], 3), ["l_suppkey"], [F.desc("m"), "p_type"], "pos")
 
 
@@ -243,7 +243,7 @@ def t5_top_k_reranked(spark, d):
     SELECT CASE WHEN b IS NULL OR trim(b) = '' THEN 'Unknown' WHEN b IN (SELECT b FROM t) THEN b ELSE 'Other' END AS label_group, count(*) AS n FROM x GROUP BY 1""")
 def t6_top_or_other(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.when(c("p_size") == 7, " ").when(c("p_size") != 8, c("p_brand")).alias("b"))
-    return pick.top_or_other(rows, "b", 5).groupBy("label_group").agg(N.alias("n"))
+    return pick.top_or_other(rows, "b", 5).groupBy("label_group").agg(N().alias("n"))
 
 
 @query("""SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 2 END AS ord FROM orders WHERE o_orderkey < 500 ORDER BY ord, o_orderkey""")
@@ -256,7 +256,7 @@ def t8_group_maximum(spark, d):
     from pyspark.sql import Window
 
     rows = table(spark, d, "lineitem").withColumn("m", F.max("l_quantity").over(Window.partitionBy("l_partkey")))
-    return rows.where("l_quantity = m").groupBy("l_partkey", "l_quantity").agg(N.alias("ties"))
+    return rows.where("l_quantity = m").groupBy("l_partkey", "l_quantity").agg(N().alias("ties"))
 
 
 @query("""SELECT c_custkey AS id, c_acctbal AS bal, c_mktsegment AS seg, NULL AS nk FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, s_nationkey FROM supplier""")
@@ -272,7 +272,7 @@ def u1_u2_stack(spark, d):
 def u3_u5_set_operations(spark, d):
     a = table(spark, d, "lineitem").where("l_quantity > 49").select(c("l_partkey").alias("k"))
     b = table(spark, d, "part").where("p_size > 40").select(c("p_partkey").alias("k"))
-    count = lambda df, op: df.agg(N.alias("n")).select(F.lit(op).alias("op"), "n")
+    count = lambda df, op: df.agg(N().alias("n")).select(F.lit(op).alias("op"), "n")
     return shape.stack([count(a.union(b).distinct(), "union"), count(a.intersect(b), "both"), count(a.subtract(b), "less")])
 
 

@@ -10,7 +10,7 @@ from cohortloom.operators import stats
 from .registry import query, table
 
 c = F.col
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 
 def _rounded(df, *names, to=6):
@@ -88,7 +88,7 @@ def st8_r2_sweep(spark, d):
 @query("""WITH s AS (SELECT l_suppkey, CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1), p AS (SELECT *, k / n AS p, 1.96 AS z FROM s)
     SELECT l_suppkey, round(greatest(0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS low, round(least(1, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS high FROM p""")
 def st9_wilson(spark, d):
-    s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(c("l_returnflag") == "R").alias("k"), N.alias("n"))
+    s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(c("l_returnflag") == "R").alias("k"), N().alias("n"))
     low, high = X.wilson("k", "n")
     return s.select("l_suppkey", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 

@@ -11,14 +11,14 @@ from cohortloom.operators import intervals, windows
 from .registry import query, table
 
 c = F.col
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 
 @query("""SELECT p_partkey, round(avg(p_retailprice) OVER w, 6) AS mean, count(*) OVER w AS n, min(p_size) OVER w AS low, round(stddev_samp(p_retailprice) OVER w, 6) AS sd,
     CASE WHEN count(*) OVER w >= 3 AND stddev_samp(p_retailprice) OVER w > 0 THEN round((p_retailprice - avg(p_retailprice) OVER w) / stddev_samp(p_retailprice) OVER w, 6) END AS z FROM part WINDOW w AS (PARTITION BY p_brand)""")
 def w1_w8_partition_measures(spark, d):
     w = Window.partitionBy("p_brand")
-    return table(spark, d, "part").select("p_partkey", F.round(F.avg("p_retailprice").over(w), 6).alias("mean"), N.over(w).alias("n"), F.min("p_size").over(w).alias("low"), F.round(F.stddev_samp("p_retailprice").over(w), 6).alias("sd"), F.round(X.z_score("p_retailprice", w, 3), 6).alias("z"))
+    return table(spark, d, "part").select("p_partkey", F.round(F.avg("p_retailprice").over(w), 6).alias("mean"), N().over(w).alias("n"), F.min("p_size").over(w).alias("low"), F.round(F.stddev_samp("p_retailprice").over(w), 6).alias("sd"), F.round(X.z_score("p_retailprice", w, 3), 6).alias("z"))
 
 
 @query("""SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS r,
@@ -27,7 +27,7 @@ def w1_w8_partition_measures(spark, d):
 def w2_w3_w10_ranks(spark, d):
     r = X.average_rank(["p_brand"], "p_size")
     w = Window.partitionBy("p_brand")
-    return table(spark, d, "part").select("p_partkey", r.alias("r"), F.round(r / N.over(w), 6).alias("pct"), F.row_number().over(w.orderBy(F.desc("p_size"), "p_partkey")).cast("long").alias("pos"), (F.row_number().over(w.orderBy("p_partkey")) - 1).cast("long").alias("idx"))
+    return table(spark, d, "part").select("p_partkey", r.alias("r"), F.round(r / N().over(w), 6).alias("pct"), F.row_number().over(w.orderBy(F.desc("p_size"), "p_partkey")).cast("long").alias("pos"), (F.row_number().over(w.orderBy("p_partkey")) - 1).cast("long").alias("idx"))
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice > 100000 AS big, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders),
@@ -77,10 +77,10 @@ def _alignments(spark, d):
         c("l_suppkey").alias("qname"), c("l_partkey").alias("tname"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("line"), (90 + 100 * c("l_discount")).alias("pid"), (span + 1).cast("double").alias("len"),
         q0.cast("long").alias("qstart"), (q0 + span).alias("qend"), span.alias("tstart"), (2 * span).alias("tend"), F.when(c("l_tax") > 0.07, 1.0).otherwise(1e-9).alias("evalue"), F.lit(100).cast("long").alias("qlen"), F.lit(120).cast("long").alias("tlen"),
     )
-    return rows.withColumn("line", F.row_number().over(Window.partitionBy("qname").orderBy("tname", "line")).cast("long"))
+    return rows.withColumn("line", F.row_number().over(Window.partitionBy("qname").orderBy("tname", "line", "qend", "pid", "evalue")).cast("long"))
 
 
-_ALN = """SELECT l_suppkey AS qname, l_partkey AS tname, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey * 10 + l_linenumber) AS line, 90 + 100 * l_discount AS pid, CAST(l_quantity + 1 AS DOUBLE) AS len, l_linenumber * 10 AS qstart,
+_ALN = """SELECT l_suppkey AS qname, l_partkey AS tname, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey * 10 + l_linenumber, l_quantity, l_discount, l_tax > 0.07) AS line, 90 + 100 * l_discount AS pid, CAST(l_quantity + 1 AS DOUBLE) AS len, l_linenumber * 10 AS qstart,
     CAST(l_linenumber * 10 + l_quantity AS BIGINT) AS qend, CAST(l_quantity AS BIGINT) AS tstart, CAST(2 * l_quantity AS BIGINT) AS tend, CASE WHEN l_tax > 0.07 THEN 1.0 ELSE 1e-9 END AS evalue FROM lineitem WHERE l_partkey < 60"""
 
 
@@ -96,7 +96,7 @@ def d39_alignment_summary(spark, d):
 @query("""WITH e AS (SELECT l_returnflag AS s, l_suppkey AS a, l_partkey AS b, CAST(sum(l_quantity) AS BIGINT) AS f, count(*) * 1000 + CAST(max(l_quantity) AS BIGINT) AS g FROM lineitem GROUP BY 1, 2, 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY s, a ORDER BY f DESC, b) AS rf, row_number() OVER (PARTITION BY s, b ORDER BY g DESC, a) AS rb FROM e) SELECT s, a, b, f, g FROM r WHERE rf = 1 AND rb = 1""")
 def d41_reciprocal_best_hits(spark, d):
-    e = table(spark, d, "lineitem").groupBy(c("l_returnflag").alias("s"), c("l_suppkey").alias("a"), c("l_partkey").alias("b")).agg(F.sum("l_quantity").cast("long").alias("f"), (N * 1000 + F.max("l_quantity").cast("long")).alias("g"))
+    e = table(spark, d, "lineitem").groupBy(c("l_returnflag").alias("s"), c("l_suppkey").alias("a"), c("l_partkey").alias("b")).agg(F.sum("l_quantity").cast("long").alias("f"), (N() * 1000 + F.max("l_quantity").cast("long")).alias("g"))
     return intervals.reciprocal_best(e, ["s"], "a", "b", "f", "g")
 
 
