@@ -85,7 +85,7 @@ _ALN = """SELECT l_suppkey AS qname, l_partkey AS tname, row_number() OVER (PART
 
 
 @query(f"""WITH a AS (SELECT *, qend - qstart + 1 AS span FROM ({_ALN}) WHERE evalue <= 1e-3), p AS (SELECT *, coalesce(sum(span) OVER (PARTITION BY qname, tname ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM a),
-    s AS (SELECT *, max(CAST(prior >= 100 OR prior + span >= 110.0 AS INT)) OVER (PARTITION BY qname, tname ORDER BY line ROWS UNBOUNDED PRECEDING) AS ended FROM p), k AS (SELECT * FROM s WHERE ended = 0),
+    s AS (SELECT *, max(CAST(prior >= 100 OR prior + span >= 1.1e0 * 100 AS INT)) OVER (PARTITION BY qname, tname ORDER BY line ROWS UNBOUNDED PRECEDING) AS ended FROM p), k AS (SELECT * FROM s WHERE ended = 0),
     pos AS (SELECT qname, tname, 'q' AS side, unnest(range(qstart, qend + 1)) AS x FROM k UNION SELECT qname, tname, 't', unnest(range(tstart, tend + 1)) FROM k),
     cov AS (SELECT qname, tname, count(*) FILTER (side = 'q') AS q, count(*) FILTER (side = 't') AS t FROM pos GROUP BY 1, 2)
     SELECT k.qname, k.tname, count(*) AS num_alns, round(sum(pid * len) / sum(len), 2) AS pid, round(100.0 * any_value(q) / 100, 2) AS qcov, round(100.0 * any_value(t) / 120, 2) AS tcov FROM k JOIN cov ON k.qname = cov.qname AND k.tname = cov.tname GROUP BY 1, 2""")
