@@ -28,7 +28,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Looser credential contexts; the value has no white space or quotes.
-CONTEXT = re.compile(r"""\b(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|credentials?|private[_-]?key|auth(?:orization)?)["']?\x20*(?:[:=]|=>|is)\x20*["']?([^\s"'<>]{8,200})""", re.ASCII | re.IGNORECASE)
+CONTEXT = re.compile(r"""\b(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|credentials?|private[_-]?key|auth(?:orization)?)["']?\x20*(?:[:=]|=>|is)\x20*["']?([^\s"'<>]{8,})""", re.ASCII | re.IGNORECASE)
 #: Any of these in lower case must be in a text before the slower patterns are tried.
 HINTS = ("pass", "pwd", "secret", "token", "api", "credential", "private", "auth")
 KINDS = ("assign", "access", "hex", "guess")
@@ -45,6 +45,8 @@ WORDS = tuple(
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("4301$5@7", "aeoissat")
 DATES = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)?\d\d)")
+#: The longest unit that a repeat is looked for with.
+UNIT = 16
 #: Guesses for: a year or date by its digits; the start and turn of a walk.
 DAYS, STARTS = 365.25 * 100, 4 * 47
 
@@ -84,18 +86,13 @@ def segments(value: str, words: tuple[str, ...] = WORDS) -> Iterator[tuple[int,
         for m in (DATES.match(value, i), DATES.match(value, i, i + 4)):
             if m:
                 yield i, m.end(), "date", math.log2(100 if m.end() - i == 4 else DAYS) + 2 * any(c in "-/." for c in m[0])
-    i = 0
-    while i < n:  # runs of one unit of one to four characters
-        step = 1
-        for size in range(1, 5):
-            times = 1
-            while value[i : i + size] == value[i + times * size : i + (times + 1) * size] and i + (times + 1) * size <= n:
-                times += 1
-            if times * size >= 3 and times > 1:
+    for size in range(1, min(UNIT, n // 2) + 1):  # from each place, the longest run of a unit that begins there
+        same = 0
+        for i in range(n - size - 1, -1, -1):
+            same = same + 1 if value[i] == value[i + size] else 0
+            times = same // size + 1
+            if times > 1 and times * size >= 3:
                 yield i, i + times * size, "repeat", size * math.log2(alphabet(value[i : i + size])) + math.log2(times)
-                if size == 1:
-                    step = max(step, times - 1)
-        i += step
     i = 0
     while i < n - 2:
         j, turns, way = i, 0, 0
@@ -140,9 +137,13 @@ def guess_spans(text: str, low: str, least: float = LEAST_BITS) -> list[tuple[in
     if not any(h in low for h in HINTS):
         return []
     values = {m.span(2) for m in ASSIGN.finditer(text)} | {m.span(1) for m in CONTEXT.finditer(text)}
-    # a value that another one holds says nothing more
-    outer = {a for a in values if not any(b != a and b[0] <= a[0] and a[1] <= b[1] for b in values)} if len(values) < 1000 else values
-    return [(s, 3, e) for s, e in outer if guess_bits(text[s:e][:200]) >= least]
+    out, reached = [], 0
+    for start, end in sorted(values, key=lambda v: (v[0], -v[1])):
+        if end > reached:  # a value inside another one says nothing more
+            reached = end
+            if guess_bits(text[start:end]) >= least:
+                out.append((start, 3, end))
+    return out
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:
