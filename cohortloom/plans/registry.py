@@ -12,7 +12,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Modules that register queries.
-MODULES = ("scalars", "relational", "windows", "consensus", "coverage", "association", "cohorts", "statistics", "models")
+MODULES = ("scalars", "relational", "windows", "consensus", "coverage", "association", "cohorts", "statistics", "models", "files")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
