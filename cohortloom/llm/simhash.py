@@ -44,6 +44,8 @@ from .components import components
 BITS, SEED = 64, 42
 #: Fingerprints in a block, and words that a part gets on average.
 BLOCK, PART_WORDS = 4096, 4_000_000
+#: Bits that are sent beyond those that a part's number of words needs.
+SPARE = 9
 ODD = 0x9E3779B97F4A7C15
 #: In a run of 16-bit differences this value means: add it and go on.
 MORE = 0xFFFF
@@ -117,10 +119,9 @@ def unpack_gaps(width: int, raw: bytes) -> np.ndarray:
     return values if width == 4 else values[gaps != MORE]
 
 
-def upper_bits(values: np.ndarray, part_bits: int, sent_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part, and the sent bits below it, of scattered words."""
-    part = (values >> np.uint64(BITS - part_bits)).astype(np.int64) if part_bits else np.zeros(len(values), np.int64)
-    return part, (values >> np.uint64(BITS - part_bits - sent_bits)) & np.uint64((1 << sent_bits) - 1)
+def sent(values: np.ndarray, part_bits: int, sent_bits: int) -> np.ndarray:
+    """The sent bits of scattered words of one part: those right below the part's."""
+    return (values >> np.uint64(BITS - part_bits - sent_bits)) & np.uint64((1 << sent_bits) - 1)
 
 
 def twice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,8 +139,8 @@ def twice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     hit[:-1] |= same
     place = np.sort((mixed[hit] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
     begin = np.cumsum(sizes) - sizes
-    owner = np.searchsorted(begin, place, "right") - 1
-    rows = [(b, key[0], (place[owner == i] - begin[i]).astype("<u4").tobytes()) for i, b in enumerate(pdf["block"]) if (owner == i).any()]
+    bounds = np.searchsorted(place, np.append(begin, len(every))).tolist()
+    rows = [(b, key[0], (place[s:e] - first).astype("<u4").tobytes()) for b, first, s, e in zip(pdf["block"], begin, bounds[:-1], bounds[1:], strict=True) if e > s]
     return pd.DataFrame(rows, columns=["block", "part", "places"])
 
 
@@ -149,7 +150,8 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
         raise ValueError("the radius must be even: words lie within half of it")
     half = radius // 2
     masks = ball(half)
-    distinct = prints.select("fp").distinct()
+    distinct = cut(prints.select("fp").distinct())
+    count = distinct.count()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.int64)
@@ -161,23 +163,27 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
         if len(held):
             yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary()), pa.array([len(held)], pa.int32())], names=["fps", "n"])
 
-    kept = cut(distinct.mapInArrow(gather, "fps binary, n int").withColumn("block", F.monotonically_increasing_id()))
-    count, blocks_ = kept.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    # tasks with some blocks each, so that few blocks are partly filled
+    filled_ = distinct.coalesce(max(1, count // (4 * BLOCK)))
+    kept = cut(filled_.mapInArrow(gather, "fps binary, n int").withColumn("block", F.monotonically_increasing_id()))
+    spread = max(1, -(-count // BLOCK))
     words = count * len(masks)
     part_bits = max(0, math.ceil(math.log2(max(1, words / PART_WORDS))))
-    # about 2**12 between the values that one block sends to one part
-    sent_bits = min(32, BITS - part_bits, 12 + max(1, math.ceil(math.log2(max(2, words / max(1, blocks_) / (1 << part_bits))))))
+    # of the words of a part, about one in 2**SPARE agrees with another in the sent bits alone
+    sent_bits = min(32, BITS - part_bits, SPARE + max(1, math.ceil(math.log2(max(2, words / (1 << part_bits))))))
+    floors = np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(BITS - part_bits) if part_bits else np.zeros(1, np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, fps in zip(b.column("block").to_pylist(), b.column("fps").to_pylist(), strict=True):
-                part, low = upper_bits(np.sort(scattered(np.frombuffer(fps, np.uint64), masks)), part_bits, sent_bits)
-                bounds = np.searchsorted(part, np.arange((1 << part_bits) + 1))
-                rows = [(p, block, *pack_gaps(low[s:e]), e - s) for p, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if e > s]
+                every = scattered(np.frombuffer(fps, np.uint64), masks)
+                every.sort()
+                bounds = [*np.searchsorted(every, floors).tolist(), len(every)]
+                rows = [(p, block, *pack_gaps(sent(every[s:e], part_bits, sent_bits)), e - s) for p, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if e > s]
                 p, k, w, g, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int64()), pa.array(w, pa.int32()), pa.array(n, pa.int32()), pa.array(g, pa.binary())], names=["part", "block", "width", "n", "gaps"])
 
-    asked = kept.select("block", "fps").mapInArrow(send, SENT).groupBy("part").applyInPandas(twice, ASKED)
+    asked = kept.select("block", "fps").repartition(spread).mapInArrow(send, SENT).groupBy("part").applyInPandas(twice, ASKED)
     asked = asked.groupBy("block").agg(F.collect_list(F.struct("part", "places")).alias("asked"))  # bounded by the words of a block
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +193,7 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
                 own = np.frombuffer(fps, np.uint64)
                 every = scattered(own, masks)
                 order = np.argsort(every)
-                part = (every[order] >> np.uint64(BITS - part_bits)).astype(np.int64) if part_bits else np.zeros(len(every), np.int64)
-                begin = np.searchsorted(part, np.arange(1 << part_bits))
+                begin = np.searchsorted(every, floors, sorter=order)
                 take = order[np.concatenate([begin[a["part"]] + np.frombuffer(a["places"], "<u4") for a in asked_])]
                 word, fp = every[take].view(np.int64), own[take // len(masks)].view(np.int64)
                 order = np.lexsort((fp, word))
