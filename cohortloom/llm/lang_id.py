@@ -238,7 +238,8 @@ def sample_windows(labelled: DataFrame, label: str, text: str, seed: int = SEED)
     for k in labels:
         share = F.when(F.col("y") == k, F.lit(min(1_000_000, 1 + 1_000_000 * SAMPLE_DOCS // counts[k]))).otherwise(share)
     place = lambda i: F.substring("t", F.pmod(F.xxhash64("t", F.lit(seed + 1 + i)), F.greatest(F.lit(1), F.length("t") - WINDOW)).cast("int") + 1, F.lit(WINDOW))
-    rows = usable.where(draw < share).select("y", F.array(*map(place, range(WINDOWS_A_DOC))).alias("w")).collect()
+    # copies of a text are drawn together, so they are made one before they reach the driver
+    rows = usable.where(draw < share).select("y", F.array(*map(place, range(WINDOWS_A_DOC))).alias("w")).distinct().collect()
     rows = sorted(rows, key=lambda r: (r["y"], r["w"]))  # the sample is a set: order it, so that training is repeatable
     got = [(windows_of(w.encode()[:WINDOW])[0], labels.index(r["y"])) for r in rows for w in r["w"] if w]
     return np.stack([w for w, _ in got]), np.array([y for _, y in got]), labels
