@@ -31,7 +31,8 @@ def alignment_summary(rows: DataFrame, line: str = "line", max_evalue: float = 1
     exceed ends. Lines count if their query span is min_length or more and the e-value at most max_evalue. In
     file order, lines are kept until the spans so far reach the query's length or the next one would bring
     them to overrun times it. Out: num_alns; pid, the length-weighted mean identity; qcov and tcov, merged
-    coverage in per cent (2 digits). A run with no kept line gives no row.
+    coverage in per cent (2 digits). A run with no kept line gives no row. Name in groups the file, or whatever
+    else bounds the runs: without it all lines are one window.
     """
     by = list(groups)
     whole = Window.partitionBy(*by).orderBy(line) if by else Window.orderBy(line)
