@@ -184,13 +184,13 @@ def repeats(docs: DataFrame, history: DataFrame | None = None, text: str = "text
 
 def dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "text") -> DataFrame:
     """docs without repeats; all columns stay as they are."""
-    mark = fresh(docs, "digest")
-    found = cut(repeats(docs, history, text).select(F.col("doc_id").alias("k"), F.col("digest").alias("d"), "kept"))
+    mark, key, value = fresh(docs, "digest"), fresh(docs, "key"), fresh(docs, "value")
+    found = cut(repeats(docs, history, text).select(F.col("doc_id").alias(key), F.col("digest").alias(value), "kept"))
     marked = with_digest(docs, mark, text)
-    same = (F.col("doc_id").eqNullSafe(F.col("k"))) & (F.col(mark) == F.col("d"))
-    stays = found.groupBy("k", "d").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    twice = stays.where("kept AND n > 1").select("k", "d")
-    out = marked.join(stays.where("NOT kept").select("k", "d"), same, "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(value))
+    stays = found.groupBy(key, value).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    twice = stays.where("_kept AND _n > 1").select(key, value)
+    out = marked.join(stays.where("NOT _kept").select(key, value), same, "left_anti")
     if twice.isEmpty():
         return out.drop(mark)
     once = out.join(twice, same, "left_semi").dropDuplicates(["doc_id", mark])

@@ -81,8 +81,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, text: str = "text", extra:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, text: str = "text") -> None:
     """docs as Parquet under path, in one folder a shard (column shard), each in slot order."""
-    key, slot = fresh(docs, "shard"), fresh(docs, "slot")
-    at = shard_by_bytes(docs, shards, text).select(F.col("doc_id").alias("k"), F.col("text_crc32").alias("c"), F.col("shard").alias(key), F.col("slot").alias(slot)).dropDuplicates(["k", "c"])
+    key, slot, own, sum_ = fresh(docs, "shard"), fresh(docs, "slot"), fresh(docs, "own"), fresh(docs, "crc")
+    at = shard_by_bytes(docs, shards, text).select(F.col("doc_id").alias(own), F.col("text_crc32").alias(sum_), F.col("shard").alias(key), F.col("slot").alias(slot)).dropDuplicates([own, sum_])
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    joined = docs.join(at, docs["doc_id"].eqNullSafe(F.col("k")) & (crc == F.col("c"))).drop("k", "c")
+    joined = docs.join(at, docs["doc_id"].eqNullSafe(F.col(own)) & (crc == F.col(sum_))).drop(own, sum_)
     joined.repartition(shards, key).sortWithinPartitions(key, slot).write.partitionBy(key).parquet(path)
