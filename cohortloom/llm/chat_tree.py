@@ -22,8 +22,10 @@ is one conversation. Only assistant text is under the loss mask.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -36,6 +38,8 @@ from .common import as_batch, blocks, cut
 
 #: A character that begins a control string, where the rest follows: template markers and those of common other templates.
 CONTROL = r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])|\|(?=>)"
+#: Distinct conversations in a run of the depth-first order, which one window adds up.
+RUN = 32
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TURN = re.compile(r"<\|(.*?)\|>\n(.*?)<\|end\|>\n", re.DOTALL)
 
@@ -122,6 +126,17 @@ def walk(paths: DataFrame) -> DataFrame:
     return ordered.mapInArrow(visit, "leaf binary, place long, depth int, node binary, tree binary, digest binary, fresh boolean")
 
 
+@lru_cache(maxsize=2)
+def byte_tokenizer(path: str):
+    """A byte-level tokenizer from a file of ranks (token in base 64 and id on each line); one a worker process."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+
+
 def tokenized(texts: DataFrame, path: str) -> DataFrame:
     """digest, role, segment, loss_start, loss_end and tokens of distinct turns."""
     head = F.length(F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE))).cast("long")
@@ -130,12 +145,10 @@ def tokenized(texts: DataFrame, path: str) -> DataFrame:
     ready = texts.withColumn("segment", segment(F.col("role"), F.col("text"))).select("digest", "role", "segment", F.when(spoken, head).alias("loss_start"), F.when(spoken, stop).alias("loss_end"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # control strings in texts are escaped, others are text
+        tokenizer = byte_tokenizer(path)
         for b in blocks(batches, "segment", 2 << 20):
-            ids = [e.ids for e in tokenizer.encode_batch(b.column("segment").to_pylist(), add_special_tokens=False)]
+            # control strings in texts are escaped, others are text
+            ids = [tokenizer.encode_ordinary(s) for s in b.column("segment").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "tokens"])
 
     return ready.mapInArrow(encode, "digest binary, role string, segment string, loss_start long, loss_end long, tokens array<int>")
@@ -163,7 +176,7 @@ def build_trees(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFra
 
     # depth-first places: totals of runs of the order give each run its start, a window inside the run does the rest
     own = sized.where("fresh")
-    run = F.floor(F.col("place") / 1024)
+    run = F.floor(F.col("place") / RUN)
     runs = own.groupBy("tree", run.alias("run")).agg(F.sum("n").alias("n"))
     starts = runs.select("tree", "run", F.coalesce(F.sum("n").over(Window.partitionBy("tree").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("tree", "run").orderBy("place", "depth").rowsBetween(Window.unboundedPreceding, -1)
@@ -194,44 +207,57 @@ def path_nodes():
     return nodes
 
 
-READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64())])
+READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64()), ("end_position", pa.int64()), ("attended", pa.int64())])
+READ_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, end_position long, attended long"
+
+
+class Transcript:
+    """What is read back of one conversation, node by node."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.turns, self.loss, self.chars, self.tokens, self.end, self.attended = conv_id, 0, 0, 0, 0, 0, 0
+        self.said, self.spoken = sha256(), sha256()
+
+    def add(self, seg: str, start: int | None, stop: int | None, tokens: int, position: int, attended: int) -> None:
+        for role, text in TURN.findall(seg):
+            self.turns += 1
+            self.said.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+        if start is not None:
+            spoken = unescape(seg[start:stop])
+            self.loss += len(spoken)
+            self.spoken.update(spoken.encode())
+        self.chars += len(seg)
+        self.tokens += tokens
+        self.end, self.attended = position + tokens, attended
+
+    def row(self) -> tuple:
+        return self.conv_id, self.turns, self.said.hexdigest(), self.loss, self.spoken.hexdigest(), self.chars, self.tokens, self.end, self.attended
 
 
 def read_back(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     """Digests of each conversation, from the nodes on its path alone: the output is parsed and unescaped.
 
-    A conversation is hashed turn by turn as its sorted rows go by, so its length does not matter.
+    end_position follows its last position id; attended counts the tokens that its last node attends to besides
+    itself. A conversation is hashed turn by turn as its sorted rows go by, so its length does not matter.
     """
-    rows = steps.join(nodes.select("node", "segment", "loss_start", "loss_end", F.size("tokens").alias("n_tokens")), "node").select("conv_id", "depth", "segment", "loss_start", "loss_end", "n_tokens")
+    attended = F.aggregate("attends", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]).alias("attended")
+    own = nodes.select("node", "segment", "loss_start", "loss_end", F.size("tokens").alias("n_tokens"), "position", attended)
+    rows = steps.join(own, "node").drop("node")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = (), None
+        now = None
         for b in batches:
-            out = [[] for _ in READ]
-
-            def close(out=out):
-                if state:
-                    for column, value in zip(out, (now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]), strict=True):
-                        column.append(value)
-
-            for conv, seg, start, stop, tokens in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end", "n_tokens")), strict=True):
-                if now != (conv,):
-                    close()
-                    now, state = (conv,), [0, sha256(), 0, sha256(), 0, 0]
-                for role, text in TURN.findall(seg):
-                    state[0] += 1
-                    state[1].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                if start is not None:
-                    spoken = unescape(seg[start:stop])
-                    state[2] += len(spoken)
-                    state[3].update(spoken.encode())
-                state[4] += len(seg)
-                state[5] += tokens
-            yield as_batch(READ, *out)
-        if state:
-            yield as_batch(READ, *([x] for x in (now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5])))
-
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "depth").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+            done = []
+            for conv, *rest in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end", "n_tokens", "position", "attended")), strict=True):
+                if now is None or now.conv_id != conv:
+                    done += [now.row()] if now else []
+                    now = Transcript(conv)
+                now.add(*rest)
+            yield as_batch(READ, *(map(list, zip(*done, strict=True)) if done else [[] for _ in READ]))
+        if now:
+            yield as_batch(READ, *([x] for x in now.row()))
+
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "depth").mapInArrow(digest, READ_DDL)
 
 
 def position_ids(node: dict) -> np.ndarray:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tree, decontam, exact_dedup, lang_id, packing, secrets, sharding, simhash, template_extract, token_counts
-from .common import cut, read
+from .common import read
 
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,7 +22,7 @@ def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     nodes, steps = chat_tree.build_trees(rows.unionByName(probe), tokenizer_path(BYTE_BPE))
-    return chat_tree.read_back(cut(nodes), steps)
+    return chat_tree.read_back(nodes, steps)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

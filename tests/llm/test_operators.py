@@ -13,7 +13,8 @@ from cohortloom.llm import chat_tree, decontam, exact_dedup, lang_id, packing, p
 from cohortloom.llm.components import components
 from cohortloom.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
 
-DOCS = "doc_id long, text string, digest int, _digest int"
+#: With columns of names that operators use inside.
+DOCS = "doc_id long, text string, digest int, key int"
 LONG = "one two three " * 9000
 TEXTS = [(1, "Hello World"), (2, "hello world"), (3, None), (4, ""), (5, LONG), (6, LONG.upper()), (7, "É word"), (8, "é word"), (8, "é word"), (None, "hello WORLD"), (9, "12345 !!"), (10, "ſ K <|endoftext|> x")]
 
@@ -49,6 +50,7 @@ def test_chat_round_trip(spark):
         spoken = "".join(t for _, r, t in turns if r == "assistant")
         assert got[conv]["n_turns"] == len(turns)
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), conv
+        assert got[conv]["end_position"] == got[conv]["n_tokens"] > got[conv]["attended"]
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(spoken), hashlib.sha256(spoken.encode()).hexdigest())
 
 
