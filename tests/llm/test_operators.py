@@ -224,6 +224,7 @@ def test_extraction(spark):
     [
         ('<form id=aspnet><div class="layout with sidebar"><article><p>in</p><form><p>mail</p></form></article><div class=related><p>no</p></div></div></form>', "in"),
         ('<main><p>yes</p><div class="cookie-notice"><p>no</p></div></main><div class=related><article><p>teaser</p></article></div>', "yes"),
+        ('<div class="site-header">no</div><article><div class="entry-header">T</div><div class="cookiebar">no</div><p>in<ul id="submenu"><li>no</ul></article>', "T\nin"),
         ("<article><header><h1>T</h1></header><p>a<b>b</b>c<br>d<ul><li>x<li>y</ul><table><tr><td>1<td>2</table></article>", "T\nabc\nd\nx\ny\n1\n2"),
         ("<article><p>1 < 2 &amp;lt; &#x41;&nbsp;b &unknown; <!-- no --><![CDATA[x]]>", "1 < 2 &lt; A b &unknown;"),
     ],
