@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
 
-from . import pick, stats
+from . import pick, shape, stats
 
 
 def ratio_cascade(entities: DataFrame, partners: DataFrame, sample: str, entity: str, value: str, partner_value: str, ranks: Sequence[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def pass_rates(df: DataFrame, kind: str, filters: dict) -> DataFrame:
 
 def dominance_test(samples: DataFrame, presence: str, dominance: str, ratio: str, cutoffs: Sequence[float], present: float = 1.0, dominant: float = 50.0) -> DataFrame:
     """At each ratio cutoff: dominance among present samples at or over it and below it, with the 2x2 table."""
-    grid = samples.sparkSession.createDataFrame([(float(c),) for c in cutoffs], "cutoff double")
+    grid = shape.literals(samples.sparkSession, "cutoff", cutoffs)
     rows = samples.where(F.col(presence) >= present).crossJoin(F.broadcast(grid))
     over, dom = F.col(ratio) >= F.col("cutoff"), F.col(dominance) >= dominant
     out = rows.groupBy("cutoff").agg(F.count_if(over & dom).alias("n11"), F.count_if(over & ~dom).alias("n10"), F.count_if(~over & dom).alias("n01"), F.count_if(~over & ~dom).alias("n00"))

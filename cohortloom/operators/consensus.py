@@ -27,7 +27,7 @@ def evidence_consensus(evidence: DataFrame, entity: str, ranks: Sequence[str], l
 
 def threshold_sweep(consensus: DataFrame, entities: DataFrame, entity: str, cluster: str, cutoffs: Sequence[float]) -> DataFrame:
     """For each rank and cutoff: entities predicted, and clusters with a predicted entity. One pass for all cutoffs."""
-    grid = consensus.sparkSession.createDataFrame([(float(c),) for c in cutoffs], "cutoff double")
+    grid = shape.literals(consensus.sparkSession, "cutoff", cutoffs)
     rows = consensus.join(entities.select(entity, cluster), entity).crossJoin(F.broadcast(grid)).where("agreement >= cutoff")
     return rows.groupBy("rank", "cutoff").agg(F.countDistinct(entity).alias("entities"), F.countDistinct(cluster).alias("clusters"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
 
-from . import pick
+from . import pick, shape
 
 
 def coverage_metrics(df: DataFrame, covered: str, length: str, mean: str, variance: str, trimmed: str) -> DataFrame:
@@ -112,7 +112,7 @@ def lifestyle(df: DataFrame, signals: Sequence[str]) -> DataFrame:
 
 def threshold_curve(df: DataFrame, score: str, truth: Column, cutoffs: Sequence[float]) -> DataFrame:
     """Agreement of (score >= cutoff) with truth, at each cutoff, in one pass."""
-    grid = df.sparkSession.createDataFrame([(float(c),) for c in cutoffs], "cutoff double")
+    grid = shape.literals(df.sparkSession, "cutoff", cutoffs)
     rows = df.withColumn("_t", truth).crossJoin(F.broadcast(grid))  # a literal list of cutoffs
     return rows.groupBy("cutoff").agg(F.count(F.lit(1)).alias("n"), F.avg(((F.col(score) >= F.col("cutoff")) == F.col("_t")).cast("int")).alias("agreement"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
 
+from . import shape
+
 
 def hash_order(df: DataFrame, key: str, reps: int, by: Sequence[str] = (), seed: int = 1) -> DataFrame:
     """reps copies of df, each in an order of its own (rep, pos from 1); the order is a hash of key and replicate, so it is repeatable."""
@@ -61,7 +63,7 @@ def subset_richness(df: DataFrame, key: str, label: str, site: str, points: int,
 
 def sweep(df: DataFrame, score: str, truth: Column, cutoffs: Sequence[float], by: Sequence[str] = (), at_least: bool = True, min_tp: int = 3) -> DataFrame:
     """tp, fp, fn, precision and recall at each cutoff (score >= t, or <= t); both null under min_tp true positives. One pass."""
-    grid = df.sparkSession.createDataFrame([(float(c),) for c in cutoffs], "cutoff double")
+    grid = shape.literals(df.sparkSession, "cutoff", cutoffs)
     rows = df.select(*by, score, F.coalesce(truth, F.lit(False)).alias("_t")).crossJoin(F.broadcast(grid))  # a literal list
     called = F.coalesce(F.col(score) >= F.col("cutoff") if at_least else F.col(score) <= F.col("cutoff"), F.lit(False))
     out = rows.groupBy(*by, "cutoff").agg(F.count_if(called & F.col("_t")).alias("tp"), F.count_if(called & ~F.col("_t")).alias("fp"), F.count_if(~called & F.col("_t")).alias("fn"))

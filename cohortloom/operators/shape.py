@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def literals(spark: SparkSession, name: str, values: Sequence[float]) -> DataFrame:
+    """A table of the given numbers, made on the JVM side."""
+    return spark.range(1).select(F.explode(F.array(*(F.lit(float(v)) for v in values))).alias(name))
+
+
 def drop_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*[n for n in names if n in df.columns])
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from cohortloom.functions import expr as X
 from cohortloom.functions import tests
 
+from . import shape
+
 
 def fisher_exact(df: DataFrame, n11: str, n10: str, n01: str, n00: str) -> DataFrame:
     """p_greater, p_two and the odds ratio (null where it is infinite or undefined) of each row's table."""
@@ -101,7 +103,7 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -
 
 def r2_sweep(df: DataFrame, x: str, y: str, by: str, cutoffs: Sequence[float]) -> DataFrame:
     """n and squared correlation over the rows with `by` of each cutoff or more."""
-    grid = df.sparkSession.createDataFrame([(float(c),) for c in cutoffs], "cutoff double")
+    grid = shape.literals(df.sparkSession, "cutoff", cutoffs)
     rows = df.select(x, y, by).crossJoin(F.broadcast(grid)).where(F.col(by) >= F.col("cutoff"))
     return rows.groupBy("cutoff").agg(F.count(F.lit(1)).alias("n"), F.pow(F.corr(x, y), F.lit(2.0)).alias("r2"))
 
