@@ -13,6 +13,8 @@ to a sum for each token, and equal sums (with equal support and total) mean
 equal vectors. A host with a third of all pages therefore shuffles as one row
 for each token and task.
 
+Pages of a host with equal html count as one page of it, so that copies do not make their own text template.
+
 Rules: null html is empty text. A page without article or main element gives
 all slots that are no boilerplate. Pages of a host seen once, or without host,
 go by their elements alone.
@@ -30,12 +32,12 @@ from zlib import crc32
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, blocks, cut, filled
+from .common import as_batch, blocks, cut, filled, text_of
 
-#: Share of a host's pages that a class must reach, and the fewest pages of a host that has a template.
+#: Share of a host's pages that a class must reach, and the fewest different pages that a host with a template, or a token of one, has.
 SUPPORT, LEAST_PAGES = 0.5, 2
 #: Bytes of all templates up to which they are sent to every task; beyond, pages are joined to them by host.
 BROADCAST_BYTES = 8 << 20
@@ -178,11 +180,29 @@ def text_token(path: str, text: str) -> str:
     return f"{path}={xxhash.xxh64_hexdigest(text)}"
 
 
-COUNTED = pa.schema([("host", pa.string()), ("token", pa.string()), ("support", pa.int64()), ("total", pa.int64()), ("vector", pa.int64())])
+COUNTED = pa.schema([("host", pa.string()), ("token", pa.string()), ("support", pa.int64()), ("total", pa.int64()), ("vector", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
+
+def host_column(url: str) -> Column:
+    @F.pandas_udf("string")
+    def host(urls: pd.Series) -> pd.Series:
+        return urls.map(host_of)
+
+    return host(url)
+
+
+def without_copies(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, digest of the pages, without those whose host has the same html under a smaller page_id."""
+    wanted = pages.select("page_id", "url", "html", F.xxhash64(text_of("html")).alias("digest"))
+    keys = wanted.select("page_id", "digest", host_column("url").alias("host")).where("host IS NOT NULL")
+    first = cut(keys.groupBy("host", "digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    size = first.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0]
+    joined = wanted.withColumn("host", host_column("url")).join(F.broadcast(first) if size <= BROADCAST_BYTES else first, ["host", "digest"], "left")
+    return joined.where("first IS NULL OR page_id = first").select("page_id", "url", "html", "digest")
 
 
 def token_sums(pages: DataFrame) -> DataFrame:
-    """host, token, support (pages with it), total, vector (sum of hashes of (page, count), modulo 2**62), over all pages.
+    """host, token, support (pages with it), total, vector (sum of hashes of (page, count), modulo 2**62), low and high (digests of pages with it), over all pages.
 
     Tokens are tags; and text blocks outside articles. Each task adds up its own pages of a host first. The token '' counts pages.
     """
@@ -190,32 +210,33 @@ def token_sums(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "html"):
             sums: dict[tuple[str, str], list[int]] = {}
-            for key, url, page in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), filled(b.column("html")).to_pylist(), strict=True):
+            for key, url, page, digest in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), filled(b.column("html")).to_pylist(), b.column("digest").to_pylist(), strict=True):
                 if host := host_of(url):
                     tokens, out = parse(page)
                     counts = Counter(tokens)
                     counts.update(text_token(p, t) for p, t, main, off in out if not main)
                     for token, n in [("", 1), *counts.items()]:
-                        own = sums.setdefault((host, token), [0, 0, 0])
+                        own = sums.setdefault((host, token), [0, 0, 0, digest, digest])
                         own[0] += 1
                         own[1] += n
                         own[2] = (own[2] + xxhash.xxh64_intdigest(f"{key}:{n}")) & (1 << 62) - 1
-            yield as_batch(COUNTED, [h for h, _ in sums], [t for _, t in sums], *([v[i] for v in sums.values()] for i in range(3)))
+                        own[3], own[4] = min(own[3], digest), max(own[4], digest)
+            yield as_batch(COUNTED, [h for h, _ in sums], [t for _, t in sums], *([v[i] for v in sums.values()] for i in range(5)))
 
-    counted = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token string, support long, total long, vector long")
-    return counted.groupBy("host", "token").agg(F.sum("support").alias("support"), F.sum("total").alias("total"), F.expr("cast(sum(cast(vector as decimal(38,0))) % 4611686018427387904 as bigint)").alias("vector"))
+    counted = without_copies(pages).mapInArrow(run, "host string, token string, support long, total long, vector long, low long, high long")
+    return counted.groupBy("host", "token").agg(F.sum("support").alias("support"), F.sum("total").alias("total"), F.expr("cast(sum(cast(vector as decimal(38,0))) % 4611686018427387904 as bigint)").alias("vector"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, n_pages, tokens: the tokens of the host's valid classes, one row a host.
 
-    A class is valid if its tokens occur once a page (total = support) on SUPPORT of the host's pages or more.
+    A class is valid if its tokens occur once a page (total = support) on SUPPORT of the host's pages or more, and on two different ones at least.
     Classes nest: a tag token stays only if all elements that hold it are in the template too; a text token
     (path=hash) if its element is. A row has fewer than tokens of a page / SUPPORT entries.
     """
     sums = cut(token_sums(pages))
     hosts = sums.where("token = ''").select("host", F.col("total").alias("n_pages"))
-    wide = sums.where("token != ''").join(hosts, "host").where((F.col("n_pages") >= LEAST_PAGES) & (F.col("total") == F.col("support")) & (F.col("support") >= F.ceil(SUPPORT * F.col("n_pages"))))
+    wide = sums.where("token != ''").join(hosts, "host").where((F.col("n_pages") >= LEAST_PAGES) & (F.col("total") == F.col("support")) & (F.col("support") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(SUPPORT * F.col("n_pages")))) & (F.col("low") != F.col("high")))
     classes = wide.groupBy("host", "n_pages", "support", "vector").agg(F.collect_list("token").alias("tokens"))
 
     def nest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -269,13 +290,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
         return wanted.mapInArrow(local, TEXT_DDL)
 
-    @F.pandas_udf("string")
-    def host(urls: pd.Series) -> pd.Series:
-        return urls.map(host_of)
-
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "html"):
             yield rows(b, [frozenset(t or ()) for t in b.column("tokens").to_pylist()])
 
     # the templates' side has one row a host, so Spark can split a host with very many pages
-    return wanted.withColumn("host", host("url")).join(found.select("host", "tokens"), "host", "left").mapInArrow(joined, TEXT_DDL)
+    return wanted.withColumn("host", host_column("url")).join(found.select("host", "tokens"), "host", "left").mapInArrow(joined, TEXT_DDL)
