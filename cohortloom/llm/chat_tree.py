@@ -31,15 +31,15 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import as_batch, blocks, cut
 
 #: A character that begins a control string, where the rest follows: template markers and those of common other templates.
 CONTROL = r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])|\|(?=>)"
-#: Distinct conversations in a run of the depth-first order, which one window adds up.
-RUN = 32
+#: Distinct conversations in a run of the depth-first order, which one window adds up, and runs in a stretch of it.
+RUN, STRETCH = 32, 4096
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TURN = re.compile(r"<\|(.*?)\|>\n(.*?)<\|end\|>\n", re.DOTALL)
 
@@ -154,11 +154,39 @@ def tokenized(texts: DataFrame, path: str) -> DataFrame:
     return ready.mapInArrow(encode, "digest binary, role string, segment string, loss_start long, loss_end long, tokens array<int>")
 
 
-def merged(intervals: Column) -> Column:
-    """Intervals in order, with neighbours that touch made one."""
-    last = lambda acc: F.element_at(acc, -1)
-    grow = lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["stop"] == x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), x["stop"].alias("stop"))))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(intervals, F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"), grow)
+def before(*keys: str) -> WindowSpec:
+    """All rows before the current one in an order by the last of the keys, within the others."""
+    return Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def starts_of_runs(own: DataFrame) -> DataFrame:
+    """tree, run, base: the tokens of the tree before the run. own: tree, run and n of all nodes.
+
+    Totals of stretches of runs are added up first, so a tree of 10**9 distinct conversations is a window of a few thousand rows.
+    """
+    runs = own.groupBy("tree", "run").agg(F.sum("n").alias("n")).withColumn("stretch", F.floor(F.col("run") / STRETCH))
+    runs = cut(runs)
+    whole = runs.groupBy("tree", "stretch").agg(F.sum("n").alias("n"))
+    stretches = whole.select("tree", "stretch", F.coalesce(F.sum("n").over(before("tree", "stretch")), F.lit(0)).alias("stretch_base"))
+    within = runs.withColumn("base", F.coalesce(F.sum("n").over(before("tree", "stretch", "run")), F.lit(0)))
+    return within.join(stretches, ["tree", "stretch"]).select("tree", "run", (F.col("stretch_base") + F.col("base")).alias("base"))
+
+
+def with_ancestors(seen: DataFrame) -> DataFrame:
+    """Adds attends to the nodes along paths (leaf, depth, start, stop): the intervals of all nodes above, neighbours merged.
+
+    A node continues the interval of its parent where it begins at the parent's stop. Only where it does not, an interval is
+    closed, and only closed intervals are gathered: a chain of any length has one.
+    """
+    along = Window.partitionBy("leaf").orderBy("depth")
+    above = along.rowsBetween(Window.unboundedPreceding, -1)
+    linked = seen.withColumn("parent_stop", F.lag("stop").over(along))
+    linked = linked.withColumn("breaks", F.coalesce(F.col("start") != F.col("parent_stop"), F.lit(False)))
+    linked = linked.withColumn("opened", F.last(F.when(F.col("breaks") | F.col("parent_stop").isNull(), F.col("start")), ignorenulls=True).over(above))
+    current = F.struct(F.col("opened").alias("start"), F.col("parent_stop").alias("stop"))
+    closed = F.collect_list(F.when(F.col("breaks"), current)).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    goes_on = ~F.col("breaks") & F.col("parent_stop").isNotNull()
+    return linked.withColumn("attends", F.when(goes_on, F.concat(closed, F.array(current))).otherwise(closed)).drop("parent_stop", "breaks", "opened")
 
 
 def build_trees(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -175,22 +203,14 @@ def build_trees(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFra
     sized = visits.join(texts.select("digest", F.size("tokens").cast("long").alias("n")), "digest")
 
     # depth-first places: totals of runs of the order give each run its start, a window inside the run does the rest
-    own = sized.where("fresh")
-    run = F.floor(F.col("place") / RUN)
-    runs = own.groupBy("tree", run.alias("run")).agg(F.sum("n").alias("n"))
-    starts = runs.select("tree", "run", F.coalesce(F.sum("n").over(Window.partitionBy("tree").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = sized.where("fresh").withColumn("run", F.floor(F.col("place") / RUN))
     inside = Window.partitionBy("tree", "run").orderBy("place", "depth").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut(own.withColumn("run", run).join(starts, ["tree", "run"]).select("node", "n", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("start")))
+    placed = cut(own.join(starts_of_runs(own), ["tree", "run"]).select("node", "n", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("start")))
 
     # along each path: positions and ancestors; a node takes them from the first path that reaches it
-    along = Window.partitionBy("leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    seen = visits.join(placed, "node").select(
-        "node", "tree", "depth", "digest", "fresh", "start",
-        F.lag("node").over(Window.partitionBy("leaf").orderBy("depth")).alias("parent"),
-        F.coalesce(F.sum("n").over(along), F.lit(0)).alias("position"),
-        F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("stop"))).over(along).alias("above"),
-    )
-    nodes = seen.where("fresh").withColumn("attends", merged(F.col("above"))).join(texts, "digest")
+    seen = visits.join(placed, "node").withColumn("stop", F.col("start") + F.col("n")).withColumn("position", F.coalesce(F.sum("n").over(before("leaf", "depth")), F.lit(0)))
+    seen = with_ancestors(seen.withColumn("parent", F.lag("node").over(Window.partitionBy("leaf").orderBy("depth"))))
+    nodes = seen.where("fresh").join(texts, "digest")
     nodes = nodes.select("tree", "node", "parent", "depth", "role", "segment", "loss_start", "loss_end", "tokens", "start", "position", "attends")
 
     steps = paths.withColumn("steps", path_nodes()(F.col("path"))).select("conv_id", F.posexplode("steps").alias("depth", "node"))
