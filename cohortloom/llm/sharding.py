@@ -7,28 +7,38 @@ partition gives each document its own place. The axis is cut at equal targets:
 a document belongs to the shard that holds the middle of its bytes. Shards are
 therefore runs of the order, and their sizes differ by a document or so.
 
+An id that fills whole quantiles, and rows without id, have partitions of their
+own, split once more by checksum.
+
 An empty table gives no rows. Rows with equal doc_id keep their tie order; rows
 equal in all three keys are interchangeable.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cut, fresh
 
 #: Rows that a partition of the order has on average, and the most partitions.
 PARTITION_ROWS, MOST_PARTITIONS = 200_000, 4096
+#: Ranges of checksums that the rows of a very frequent id are split into.
+CRC_RANGES = 256
 
 
-def partition_bounds(docs: DataFrame, partitions: int) -> list[int]:
-    """At most partitions - 1 quantiles of doc_id; all that the driver gets."""
+def partition_bounds(rows: DataFrame, doc_id: str, partitions: int | None) -> tuple[list[int], list[int]]:
+    """Quantiles of doc_id, fewer than partitions; and the ids that fill whole quantiles. This is all that the driver gets."""
+    partitions = partitions or min(MOST_PARTITIONS, max(16, rows.count() // PARTITION_ROWS))
     shares = [(i + 1) / partitions for i in range(partitions - 1)]
     if not shares:
-        return []
-    found = docs.agg(F.percentile_approx("doc_id", shares, max(1000, 20 * partitions)).alias("q")).first()["q"]
-    return sorted(set(found or []))
+        return [], []
+    found = rows.agg(F.percentile_approx(doc_id, shares, max(1000, 20 * partitions)).alias("q")).first()["q"] or []
+    frequent = sorted({x for x, y in pairwise(found) if x == y})
+    # such an id is alone between two bounds
+    return sorted({*found, *(x - 1 for x in frequent if x > -(2**63))}), frequent
 
 
 def partition_of(bounds: list[int], ordered: Column) -> Column:
@@ -45,44 +55,57 @@ def partition_of(bounds: list[int], ordered: Column) -> Column:
     return halves(0, len(bounds))
 
 
+def placed(rows: DataFrame, key: tuple[str, str, str], shards: int, partitions: int | None, shard: str, slot: str) -> DataFrame:
+    """rows with their shard and slot. key: the names of doc_id, checksum and size."""
+    doc_id, crc, size = key
+    bounds, frequent = partition_bounds(rows, doc_id, partitions)
+    part = F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(partition_of(bounds, F.col(doc_id)))
+    alone = F.col(doc_id).isNull() | F.col(doc_id).isin(frequent) if frequent else F.col(doc_id).isNull()
+    own = [fresh(rows, n) for n in ("part", "sub", "before", "all", "number", "offset")]
+    part_, sub, bytes_before, all_bytes, number, offset = own
+    dealt = rows.withColumn(part_, part).withColumn(sub, F.when(alone, F.floor(F.col(crc) / (2**32 // CRC_RANGES))).otherwise(F.lit(0)).cast("int"))
+
+    # One row a partition: this is the whole side that is broadcast. MOST_PARTITIONS bounds the parts, and ids that are split are fewer.
+    totals = dealt.groupBy(part_, sub).agg(F.sum(size).alias("bytes"))
+    before = Window.orderBy(part_, sub).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        part_, sub,
+        F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias(bytes_before),
+        F.sum("bytes").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(all_bytes),
+    )
+    order = [F.col(doc_id).asc_nulls_first(), crc, size]
+    within = Window.partitionBy(part_, sub).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = 2 * (F.col(bytes_before) + F.sum(size).over(within)) - F.col(size)
+    sharded = dealt.join(F.broadcast(starts), [part_, sub]).withColumn(shard, F.least(F.lit(shards - 1).cast("long"), F.floor((middle * shards) / (2 * F.col(all_bytes)))).cast("int"))
+
+    # Slots: a running number inside (partition, shard), after the rows that earlier partitions put into the shard.
+    counts = sharded.groupBy(part_, sub, shard).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(part_, sub, shard, F.coalesce(F.sum("n").over(Window.partitionBy(shard).orderBy(part_, sub).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(offset))
+    numbered = sharded.withColumn(number, F.row_number().over(Window.partitionBy(part_, sub, shard).orderBy(*order)))
+    out = numbered.join(F.broadcast(offsets), [part_, sub, shard]).withColumn(slot, F.col(offset) + F.col(number) - 1)
+    return out.select(*rows.columns, shard, slot)
+
+
+def size_of(text: str, extra: int) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + extra
+
+
+def checksum_of(text: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 24, text: str = "text", extra: int = 8, partitions: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard (int), slot (gapless from 0 in the shard) for each row of docs.
 
-    size: UTF-8 bytes of the text (null: none) plus extra.
+    size: UTF-8 bytes of the text (null: none) plus extra. Texts are read once, for size and checksum; all else works on those.
     """
-    sized = docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + extra).alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    if partitions is None:
-        partitions = min(MOST_PARTITIONS, max(16, docs.count() // PARTITION_ROWS))
-    part = partition_of(partition_bounds(docs.select("doc_id"), partitions), F.col("doc_id"))
-    rows = sized.withColumn("part", part)
-
-    # One row a partition: this is the whole side that is broadcast, and MOST_PARTITIONS bounds it.
-    totals = rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        "part",
-        F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
-        F.sum("bytes").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_bytes"),
-    )
-    within = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = 2 * (F.col("bytes_before") + F.sum("size").over(within)) - F.col("size")
-    cut = rows.join(F.broadcast(starts), "part").withColumn("shard", F.least(F.lit(shards - 1).cast("long"), F.floor((middle * shards) / (2 * F.col("all_bytes")))).cast("int"))
+    sized = cut(docs.select("doc_id", size_of(text, extra).alias("size"), checksum_of(text).alias("text_crc32")))
+    return placed(sized, ("doc_id", "text_crc32", "size"), shards, partitions, "shard", "slot")
 
-    # Slots: a running number inside (partition, shard), after the rows that earlier partitions put into the shard.
-    counts = cut.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("part", "shard", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"))
-    number = F.row_number().over(Window.partitionBy("part", "shard").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size"))
-    return cut.withColumn("number", number).join(F.broadcast(offsets), ["part", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("rows_before") + F.col("number") - 1).alias("slot"))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 24, text: str = "text") -> None:
-    """docs as Parquet under path, in one folder a shard (column shard), each in slot order."""
-    key, slot, own, sum_ = fresh(docs, "shard"), fresh(docs, "slot"), fresh(docs, "own"), fresh(docs, "crc")
-    at = shard_by_bytes(docs, shards, text).select(F.col("doc_id").alias(own), F.col("text_crc32").alias(sum_), F.col("shard").alias(key), F.col("slot").alias(slot)).dropDuplicates([own, sum_])
-    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    joined = docs.join(at, docs["doc_id"].eqNullSafe(F.col(own)) & (crc == F.col(sum_))).drop(own, sum_)
-    joined.repartition(shards, key).sortWithinPartitions(key, slot).write.partitionBy(key).parquet(path)
+
+def write_shards(docs: DataFrame, path: str, shards: int = 24, text: str = "text", partitions: int | None = None) -> None:
+    """docs as Parquet under path, in one folder a shard (column shard), each in slot order. Repeated rows are rows of their own."""
+    shard, slot, size, crc = (fresh(docs, n) for n in ("shard", "slot", "size", "crc"))
+    rows = docs.withColumn(size, size_of(text, 8)).withColumn(crc, checksum_of(text))
+    out = placed(rows, ("doc_id", crc, size), shards, partitions, shard, slot).drop(size, crc)
+    out.repartition(shards, shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
