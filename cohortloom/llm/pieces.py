@@ -30,7 +30,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Pieces:
-    """Counts and ids of chunks by a tokenizers file."""
+    """Numbers of pieces, and ids, of chunks by a tokenizers file."""
 
     loaded: dict[str, Pieces] = {}
 
@@ -42,6 +42,8 @@ class Pieces:
         self.letters = byte_letters()
         self.parts: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.part_sizes: dict[str, int] = {}
+        self.sizes: dict[str, int] = {}
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -50,12 +52,37 @@ class Pieces:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    def pieces(self, part: str) -> list:
+        return self.model.tokenize(part if part.isascii() else "".join(self.letters[b] for b in part.encode()))
+
     def part(self, text: str) -> tuple[int, ...]:
         got = self.parts.get(text)
         if got is None:
-            got = self.parts[text] = tuple(t.id for t in self.model.tokenize(text if text.isascii() else "".join(self.letters[b] for b in text.encode())))
+            got = self.parts[text] = tuple(t.id for t in self.pieces(text))
+        return got
+
+    def size(self, chunk: str) -> int:
+        """The number of pieces of a chunk; ids are not kept."""
+        got = self.sizes.get(chunk)
+        if got is None:
+            if "<|" not in chunk and PLAIN.fullmatch(chunk):
+                got = 0
+                for part in PARTS.findall(chunk.lower()):
+                    n = self.part_sizes.get(part)
+                    if n is None:
+                        n = self.part_sizes[part] = len(self.pieces(part))
+                    got += n
+            else:
+                got = len(self.tokenizer.encode(chunk, add_special_tokens=False))
+            self.sizes[chunk] = got
         return got
 
+    def counts(self, chunks: pa.Array) -> list[int]:
+        """The number of pieces of each chunk."""
+        if len(self.sizes) > REMEMBERED:
+            self.sizes, self.part_sizes = {}, {}
+        return [self.size(c) for c in chunks.to_pylist()]
+
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """chunk has no ASCII white space."""
         got = self.chunks.get(chunk)

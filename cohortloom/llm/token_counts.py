@@ -25,7 +25,7 @@ COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens"
 def count_block(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n_tokens, n_chunks and n_distinct of each text."""
     bounds, distinct, number = split_chunks(texts)
-    sizes = np.fromiter(map(len, pieces.table(distinct)), np.int64, len(distinct))
+    sizes = np.array(pieces.counts(distinct), np.int64)
     row = np.repeat(np.arange(len(texts)), np.diff(bounds))
     # frequency of each (document, pre-token), then the join to the pieces of that pre-token
     pair, frequency = np.unique(row * np.int64(max(1, len(distinct))) + number, return_counts=True)
@@ -44,7 +44,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
-        for b in blocks(batches, text):
+        for b in blocks(batches, text, 2 << 20):
             texts = filled(b.column(text))
             n, chunks, distinct = count_block(texts, pieces)
             yield as_batch(COUNTS, b.column("doc_id").cast(pa.int64()), pc.cast(pc.binary_length(texts), pa.int64()), n, chunks, distinct, n > limit)
