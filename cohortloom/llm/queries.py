@@ -22,7 +22,7 @@ def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     nodes, steps = chat_tree.build_trees(rows.unionByName(probe), tokenizer_path(BYTE_BPE))
-    return chat_tree.read_back(nodes, steps)
+    return chat_tree.read_back(nodes, steps).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +68,40 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_tree, op2_exact_dedup, op3_packing, op4_template_extract, op5_decontam, op6_token_counts, op7_lang_id, op8_simhash, op9_sharding, op10_secrets)}
 
+#: Escapes add one character for each of these in a role or text.
+CONTROLS = ("\\", "<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "|>")
+ADDED = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in CONTROLS)
+
 ORACLES = {
+    "op1_chat_tree": f"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized AS (SELECT *, role || text AS both_, (SELECT {ADDED} FROM (SELECT role AS x)) + (SELECT {ADDED} FROM (SELECT text AS x)) AS added FROM said),
+        told AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+                   string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS loss,
+                   sum(length(both_) + added + length('<||>') + length('<|end|>') + 2) AS formatted_chars
+            FROM sized GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM told""",
     "op2_exact_dedup": """
         WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+    # the checksum byte by byte, with its table made from the polynomial
+    "op9_sharding": """
+        WITH RECURSIVE step(i, c, k) AS (
+            SELECT i::UINTEGER, i::UINTEGER, 0 FROM range(256) r(i)
+            UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+        raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        n AS (
+            SELECT doc_id, octet_length(b) + 8 AS size,
+                   xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(regexp_extract_all(hex(b), '..'), lambda p: ('0x' || p)::UINTEGER)), lambda a, v: xor(a >> 8, t[xor(a & 255, v) + 1])), 4294967295::UINTEGER)::BIGINT AS text_crc32
+            FROM raw, crc),
+        summed AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM n),
+        dealt AS (SELECT *, least(23, ((2 * upto - size) * 24) // (2 * total)) AS shard FROM summed)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM dealt""",
 }
