@@ -7,6 +7,10 @@ walks and brute-force spans: a dynamic program over the value's characters, in
 bits (log2 of guesses). Values that cost LEAST_BITS or more add a span of kind
 `guess`. Base spans stay whatever they cost.
 
+A word costs the logarithm of its rank. Ranks are those of a short list of usual
+passwords and placeholders, then of the words of the corpus itself by how often
+they occur: all texts are counted, and the LEXICON most frequent are kept.
+
 Spans are code points, end exclusive. Null counts as empty. A span row is given
 as often as its document row occurs.
 """
@@ -16,13 +20,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import as_batch, blocks, filled
+from .common import BLOCK_BYTES, as_batch, blocks, filled, text_of
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -41,9 +47,12 @@ WORDS = tuple(
     "here value string text name pass word code hello world love summer winter spring autumn january february march april may june july august september october "
     "november december monday tuesday wednesday thursday friday saturday sunday abc xyz foo bar".split()
 )
+#: Words that are learned from the corpus at most, and their lengths.
+LEXICON, WORD_CHARS = 20_000, (3, 16)
 #: Rows of the keyboard; a walk goes along them in either direction.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("4301$5@7", "aeoissat")
+LETTERS = re.compile(r"[^\W\d_]+")
 DATES = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)?\d\d)")
 #: The longest unit that a repeat is looked for with.
 UNIT = 16
@@ -56,9 +65,40 @@ def alphabet(text: str) -> int:
     return max(2, 26 * any(c.islower() for c in text) + 26 * any(c.isupper() for c in text) + 10 * any(c.isdigit() for c in text) + 33 * any(not c.isalnum() for c in text))
 
 
-@lru_cache(maxsize=8)
-def ranks(words: tuple[str, ...]) -> tuple[dict[str, int], int]:
-    return {w: i + 1 for i, w in reversed(list(enumerate(words)))}, max(map(len, words), default=0)
+class Lexicon:
+    """Ranks of words from 1, the earlier place where a word occurs twice, and the longest word's length."""
+
+    def __init__(self, words: Iterable[str]):
+        self.rank: dict[str, int] = {}
+        for w in words:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank), default=0)
+
+
+@lru_cache(maxsize=1)
+def usual() -> Lexicon:
+    return Lexicon(WORDS)
+
+
+def frequent_words(docs: DataFrame, most: int = LEXICON, text: str = "text") -> list[str]:
+    """The words (runs of letters, lower-cased) of all texts that occur most often, ties by name. At most `most` reach the driver.
+
+    Each block of texts is split and counted first, so a word is shuffled once a block however often it occurs.
+    """
+    low, high = WORD_CHARS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text", BLOCK_BYTES // 2):
+            chunks = pc.value_counts(pc.ascii_split_whitespace(pc.utf8_lower(filled(b.column("text")))).flatten())
+            counts: dict[str, int] = {}
+            for chunk, n in zip(chunks.field("values").to_pylist(), chunks.field("counts").to_pylist(), strict=True):
+                for w in LETTERS.findall(chunk):
+                    if low <= len(w) <= high:
+                        counts[w] = counts.get(w, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+
+    counted = docs.select(text_of(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def next_on_rows() -> dict[tuple[str, str], int]:
@@ -69,9 +109,10 @@ def next_on_rows() -> dict[tuple[str, str], int]:
 STEPS = next_on_rows()
 
 
-def segments(value: str, words: tuple[str, ...] = WORDS) -> Iterator[tuple[int, int, str, float]]:
+def segments(value: str, words: Lexicon | None = None) -> Iterator[tuple[int, int, str, float]]:
     """(start, end, kind, bits) of each word, date, repeat and walk in value."""
-    rank, longest = ranks(words)
+    words = words or usual()
+    rank, longest = words.rank, words.longest
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
@@ -105,7 +146,7 @@ def segments(value: str, words: tuple[str, ...] = WORDS) -> Iterator[tuple[int,
         i = max(j, i + 1)
 
 
-def guess_bits(value: str, words: tuple[str, ...] = WORDS) -> float:
+def guess_bits(value: str, words: Lexicon | None = None) -> float:
     """The least guess cost of value in bits; 0 for an empty one. Each further segment costs one bit for its place."""
     n = len(value)
     by_end: dict[int, list[tuple[int, float]]] = {}
@@ -132,7 +173,7 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, int]]:
     return out
 
 
-def guess_spans(text: str, low: str, least: float = LEAST_BITS) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, low: str, least: float = LEAST_BITS, words: Lexicon | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of values in credential contexts that cost least bits or more."""
     if not any(h in low for h in HINTS):
         return []
@@ -141,7 +182,7 @@ def guess_spans(text: str, low: str, least: float = LEAST_BITS) -> list[tuple[in
     for start, end in sorted(values, key=lambda v: (v[0], -v[1])):
         if end > reached:  # a value inside another one says nothing more
             reached = end
-            if guess_bits(text[start:end]) >= least:
+            if guess_bits(text[start:end], words) >= least:
                 out.append((start, 3, end))
     return out
 
@@ -153,16 +194,21 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 SCAN = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_guess", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
-def scan_secrets(docs: DataFrame, least_bits: float = LEAST_BITS, text: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 and spans for each row of docs, from its whole text."""
+def scan_secrets(docs: DataFrame, least_bits: float = LEAST_BITS, text: str = "text", learned: int = LEXICON) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 and spans for each row of docs, from its whole text.
+
+    learned: how many words of the corpus the guess cost knows besides the usual ones.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon([*WORDS, *frequent_words(docs, learned, text)]) if learned else usual())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for b in blocks(batches, text):
             rows = []
             for doc, t in zip(b.column("doc_id").to_pylist(), filled(b.column(text)).to_pylist(), strict=True):
                 low = t.lower()
                 base = base_spans(t, low)
-                more = guess_spans(t, low, least_bits)
+                more = guess_spans(t, low, least_bits, words)
                 rows.append((doc, *(sum(x[1] == k for x in base) for k in range(3)), len(more), hashlib.sha256(shown(base).encode()).hexdigest(), shown(base + more)))
             yield as_batch(SCAN, *map(list, zip(*rows, strict=True)))
 
