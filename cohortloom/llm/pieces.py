@@ -9,13 +9,14 @@ once, and a worker remembers chunks between blocks.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Chunks made of these characters alone are normalised here; all others go through the library's whole pipeline.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The pre-tokens of word_bpe_49k in lower-cased text of the characters above.
@@ -40,8 +41,9 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        #: Ids as little-endian unsigned 32-bit numbers: a worker remembers very many, and objects would take four times the memory.
+        self.parts: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.part_sizes: dict[str, int] = {}
         self.sizes: dict[str, int] = {}
 
@@ -55,10 +57,10 @@ class Pieces:
     def pieces(self, part: str) -> list:
         return self.model.tokenize(part if part.isascii() else "".join(self.letters[b] for b in part.encode()))
 
-    def part(self, text: str) -> tuple[int, ...]:
+    def part(self, text: str) -> bytes:
         got = self.parts.get(text)
         if got is None:
-            got = self.parts[text] = tuple(t.id for t in self.pieces(text))
+            got = self.parts[text] = array("I", [t.id for t in self.pieces(text)]).tobytes()
         return got
 
     def size(self, chunk: str) -> int:
@@ -83,20 +85,18 @@ class Pieces:
             self.sizes, self.part_sizes = {}, {}
         return [self.size(c) for c in chunks.to_pylist()]
 
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """chunk has no ASCII white space."""
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk, which has no ASCII white space."""
         got = self.chunks.get(chunk)
         if got is None:
             if "<|" not in chunk and PLAIN.fullmatch(chunk):
-                got = ()
-                for part in PARTS.findall(chunk.lower()):
-                    got += self.part(part)
+                got = b"".join([self.part(part) for part in PARTS.findall(chunk.lower())])
             else:
-                got = tuple(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+                got = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
             self.chunks[chunk] = got
         return got
 
-    def table(self, chunks: pa.Array) -> list[tuple[int, ...]]:
+    def table(self, chunks: pa.Array) -> list[bytes]:
         if len(self.chunks) > REMEMBERED:
             self.chunks, self.parts = {}, {}
         return [self.chunk(c) for c in chunks.to_pylist()]
