@@ -1,27 +1,34 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is one aggregate and one join over edges; each round is written to
-the checkpoint folder. Nothing but two numbers a round reaches the driver.
+Every step is one aggregate and one join over edges; each one is written to the
+checkpoint folder. Nothing but two numbers a round reaches the driver.
+
+A node with very many edges is summed map-side, and its edges meet their new
+end in a plain join of two exchanges, which Spark can split where a key has too
+many rows: the aggregate's own partitioning is not reused there (see apart).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+def apart(key: str) -> Column:
+    """The key as an expression of its own, so that a join on it deals its rows anew and can split them."""
+    return (F.col(key) + F.lit(0).cast("long")).alias("_key")
+
+
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v) with u > v. Large: each node's larger neighbours go to its least neighbour (or itself).
     Small: each node and its smaller neighbours go to the least of them."""
-    if large:
-        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
+    around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = around.groupBy("u").agg(F.min("v").alias("m"))
+    ends = least.select(apart("u"), F.least("u", "m").alias("m") if large else "m")
+    joined = (around.where("v > u") if large else around).join(ends, F.col("u") == F.col("_key")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = joined if large else joined.where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
     return moved.distinct()
 
 
@@ -30,9 +37,38 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
-        now = cut(star(star(now, True), False))
+        now = cut(star(cut(star(now, True)), False))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def labelled(members: DataFrame, root: DataFrame) -> DataFrame:
+    """node, component_id, winner of all nodes of members (doc_id, node); root: (node, root) of those that have an edge.
+
+    component_id: the component's smallest doc_id (null if it has none); winner: the node that has it, the least if several do.
+    """
+    own = cut(members.groupBy("node").agg(F.min("doc_id").alias("least")))
+    linked = cut(own.join(root, "node"))
+    top = linked.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", F.col("node").alias("winner"))).alias("top"))
+    top = top.select(apart("root"), "top.least", "top.winner").withColumnRenamed("least", "component_id")
+    found = linked.join(top, F.col("root") == F.col("_key")).select(F.col("node").alias("_node"), "component_id", "winner")
+    both = own.join(found, F.col("node") == F.col("_node"), "left")
+    return both.select("node", F.when(F.col("_node").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("winner", "node").alias("winner"))
+
+
+def with_labels(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """rows with component_id and winner of the node in column key. A node that very many rows have is split by Spark (see apart)."""
+    return rows.join(labels.select(apart("node"), "component_id", "winner"), F.col(key) == F.col("_key")).drop("_key")
+
+
+def without_repeats(docs: DataFrame, groups: DataFrame, text_hash: Column) -> DataFrame:
+    """docs with one document of each component; columns stay as they are.
+
+    groups: doc_id, hash (of the text), stays. Rows are told by doc_id and text_hash, so an id that occurs with unlike texts loses
+    only those that are repeats. Rows without doc_id stay.
+    """
+    gone = cut(groups.where("NOT stays AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone_id"), F.col("hash").alias("_gone_hash")).distinct())
+    return docs.join(gone, (docs["doc_id"] == gone["_gone_id"]) & (text_hash == gone["_gone_hash"]), "left_anti")

@@ -38,23 +38,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, blocks, cut, filled
-from .components import components
+from .common import as_batch, blocks, cut, filled, text_of
+from .components import components, labelled, with_labels, without_repeats
 
 BITS, SEED = 64, 42
-#: Fingerprints in a block, and words that a part gets on average.
-BLOCK, PART_WORDS = 4096, 4_000_000
+#: Fingerprints in a block, and words that a part gets on average; both grow with the number of fingerprints, up to GROWTH times.
+BLOCK, PART_WORDS, GROWTH = 4096, 4_000_000, 4
+#: Words that a block should have for a part: with few, a row's other values would outweigh them.
+CELL_WORDS = 256
 #: Bits that are sent beyond those that a part's number of words needs.
 SPARE = 9
 ODD = 0x9E3779B97F4A7C15
 #: In a run of 16-bit differences this value means: add it and go on.
 MORE = 0xFFFF
-PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+PRINT = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("fp", pa.int64())])
 SENT = "part int, block long, width int, n int, gaps binary"
 ASKED = "block long, part int, places binary"
 MET = "word long, fp long, least long"
 
 
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(text_of(text))
+
+
 def shingle_hashes(text: bytes, width: int) -> list[int]:
     words = text.lower().split()
     if not words:
@@ -79,16 +85,16 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, width: int = 4, text: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row of docs; fp is the fingerprint as a signed long."""
+    """(doc_id, hash, fp) for each row of docs; hash tells texts apart, fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text, 4 << 20):
+        for b in blocks(batches, text, 1 << 20):
             each = [shingle_hashes(t, width) for t in filled(b.column(text)).cast(pa.binary()).to_pylist()]
             counts = np.array([len(x) for x in each], np.int64)
             flat = np.fromiter((h for x in each for h in x), np.uint64, int(counts.sum()))
-            yield as_batch(PRINT, b.column("doc_id").cast(pa.int64()), fingerprints(flat, counts).view(np.int64))
+            yield as_batch(PRINT, b.column("doc_id").cast(pa.int64()), b.column("_hash"), fingerprints(flat, counts).view(np.int64))
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", text, text_hash(text).alias("_hash")).mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def ball(half: int) -> np.ndarray:
@@ -144,6 +150,15 @@ def twice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "part", "places"])
 
 
+def block_sizes(count: int, words: int) -> tuple[int, int]:
+    """Fingerprints in a block and words in a part, for count fingerprints with so many words each."""
+    grow = 1
+    while grow < GROWTH and BLOCK * grow * PART_WORDS * grow < CELL_WORDS * count:
+        grow *= 2
+    # with fewer words a fingerprint than the largest ball, a block has room for more
+    return BLOCK * grow * max(1, 2081 // words), PART_WORDS * grow
+
+
 def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) whose closure is that of all pairs within radius."""
     if radius % 2:
@@ -152,23 +167,24 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     masks = ball(half)
     distinct = cut(prints.select("fp").distinct())
     count = distinct.count()
+    size, part_words = block_sizes(count, len(masks))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.int64)
         for b in batches:
             held = np.concatenate([held, b.column(0).to_numpy(zero_copy_only=False)])
-            while len(held) >= BLOCK:
-                yield pa.RecordBatch.from_arrays([pa.array([held[:BLOCK].tobytes()], pa.binary()), pa.array([BLOCK], pa.int32())], names=["fps", "n"])
-                held = held[BLOCK:]
+            while len(held) >= size:
+                yield pa.RecordBatch.from_arrays([pa.array([held[:size].tobytes()], pa.binary()), pa.array([size], pa.int32())], names=["fps", "n"])
+                held = held[size:]
         if len(held):
             yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary()), pa.array([len(held)], pa.int32())], names=["fps", "n"])
 
     # tasks with some blocks each, so that few blocks are partly filled
-    filled_ = distinct.coalesce(max(1, count // (4 * BLOCK)))
+    filled_ = distinct.coalesce(max(1, count // (4 * size)))
     kept = cut(filled_.mapInArrow(gather, "fps binary, n int").withColumn("block", F.monotonically_increasing_id()))
-    spread = max(1, -(-count // BLOCK))
+    spread = max(1, -(-count // size))
     words = count * len(masks)
-    part_bits = max(0, math.ceil(math.log2(max(1, words / PART_WORDS))))
+    part_bits = max(0, math.ceil(math.log2(max(1, words / part_words))))
     # of the words of a part, about one in 2**SPARE agrees with another in the sent bits alone
     sent_bits = min(32, BITS - part_bits, SPARE + max(1, math.ceil(math.log2(max(2, words / (1 << part_bits))))))
     floors = np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(BITS - part_bits) if part_bits else np.zeros(1, np.uint64)
@@ -216,18 +232,26 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def grouped(docs: DataFrame, width: int, radius: int, text: str) -> DataFrame:
+    """doc_id, hash, fp, component_id and stays (the one document of its component) for each row of docs."""
+    prints = cut(fingerprint(docs, width, text))
+    labels = labelled(prints.select("doc_id", F.col("fp").alias("node")), components(links(prints, radius)))
+    # copies of a text agree in all but doc_id; of unlike texts with the component's id and fingerprint, the least hash stays
+    first = labels.where("node = winner").select(F.col("node").alias("fp"), F.col("component_id").alias("doc_id"))
+    kept = first.join(prints, ["fp", "doc_id"]).groupBy("fp").agg(F.min("hash").alias("kept"))
+    rows = with_labels(prints, "fp", labels).join(kept, "fp", "left")
+    return rows.select("doc_id", "hash", "fp", "component_id", ((F.col("fp") == F.col("winner")) & F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("hash").eqNullSafe(F.col("kept"))).alias("stays"))
+
+
 def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, text: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id (the smallest doc_id that links reach, its own included) for each row of docs."""
     prints = cut(fingerprint(docs, width, text))
-    root = components(links(prints, radius)).withColumnsRenamed({"node": "fp"})
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # one row a distinct fingerprint from here on; copies meet them again in the last join
-    top = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = least.join(top, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    labels = labelled(prints.select("doc_id", F.col("fp").alias("node")), components(links(prints, radius)))
+    # one row a distinct fingerprint so far; copies meet them again in this join
+    return with_labels(prints, "fp", labels).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, width: int = 4, radius: int = 4, text: str = "text") -> DataFrame:
-    """docs with one document of each component (its smallest doc_id); rows without doc_id stay; columns stay as they are."""
-    gone = cut(near_groups(docs, width, radius, text).where("doc_id != component_id").select(F.col("doc_id").alias("k")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["k"], "left_anti")
+    """docs with one document of each component: that with its smallest doc_id (rows repeated with this id and text stay together);
+    rows without doc_id stay; columns stay as they are."""
+    return without_repeats(docs, grouped(docs, width, radius, text), text_hash(text))
