@@ -179,3 +179,13 @@ def wilson(successes: C, n: C, z: float = 1.96) -> tuple[Column, Column]:
     middle = (p + z * z / (2 * m)) / (1 + z * z / m)
     half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)
     return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+
+
+def hashed(*parts: C, seed: int = 1) -> Column:
+    """A hexadecimal hash of the parts and a seed, for orders and draws that can be repeated anywhere."""
+    return F.md5(F.concat_ws(":", *(col(p).cast("string") for p in parts), F.lit(str(seed))).cast("binary"))
+
+
+def hashed_number(*parts: C, seed: int = 1) -> Column:
+    """A number below 2**32 from the same hash."""
+    return F.conv(F.substring(hashed(*parts, seed=seed), 1, 8), 16, 10).cast("long")

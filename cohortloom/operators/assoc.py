@@ -4,33 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
 
 from . import pick, shape, stats
+from .windows import blocked_sums
 
 
 def ratio_cascade(entities: DataFrame, partners: DataFrame, sample: str, entity: str, value: str, partner_value: str, ranks: Sequence[str]) -> DataFrame:
     """Ratio of an entity to its partner in the same sample by the first rank that decides.
 
-    entities: sample, entity, value and the partner's name at each rank; partners: sample, partner_value and
+    entities: sample, entity (one row each), value and the partner's name at each rank; partners: sample, partner_value and
     their own names at each rank, the first rank being the partner itself. At the first rank the partner is
     present; at later ones exactly one partner of that name is in the sample. Out: rule (the rank) and ratio;
-    rows without a rule are left out.
+    rows without a rule are left out. One left join a rank, to a table of one row for each sample and name.
     """
-    out = None
-    rest = entities
+    out = entities
     for i, rank in enumerate(ranks):
-        one = partners.where(F.col(rank).isNotNull()).groupBy(sample, rank).agg(F.count(F.lit(1)).alias("_n"), F.max(partner_value).alias("_pv"))
-        if i:
-            one = one.where("_n = 1")
-        found = rest.join(one, [sample, rank]).withColumn("rule", F.lit(rank)).withColumn("ratio", X.ratio(value, "_pv"))
-        found = found.select(sample, entity, "rule", "ratio")
-        rest = rest.join(found.select(sample, entity), [sample, entity], "left_anti")
-        out = found if out is None else out.unionByName(found)
-    return out
+        one = partners.where(F.col(rank).isNotNull()).groupBy(sample, rank).agg(F.count(F.lit(1)).alias("_n"), F.struct(F.max(partner_value).alias("v")).alias(f"_p{i}"))
+        out = out.join((one.where("_n = 1") if i else one).drop("_n"), [sample, rank], "left")
+    first = lambda values: F.coalesce(*(F.when(F.col(f"_p{i}").isNotNull(), v) for i, v in enumerate(values)))
+    found = first([F.col(f"_p{i}") for i in range(len(ranks))])
+    return out.select(sample, entity, first(map(F.lit, ranks)).alias("rule"), found.alias("_p"), value).where("rule IS NOT NULL").select(sample, entity, "rule", X.ratio(value, "_p.v").alias("ratio"))
 
 
 def closest_ratio(pairs: DataFrame, key: Sequence[str], partner: str, ratio: str) -> DataFrame:
@@ -44,39 +41,39 @@ def combine_ratios(a: DataFrame, b: DataFrame, key: Sequence[str], ratio: str =
     return both.select(*key, F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high"))
 
 
-def association_scan(a: DataFrame, b: DataFrame, candidates: DataFrame, sample: str, entity: str, partner: str, samples: int, least: int = 3) -> DataFrame:
+def association_scan(a: DataFrame, b: DataFrame, candidates: DataFrame, sample: str, entity: str, partner: str, samples: int, least: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """Co-occurrence of candidate pairs over samples: the 2x2 table, per cent, ratio statistics, Spearman's rho.
 
-    a: sample, entity, value_a; b: sample, partner, value_b (one row each); candidates: entity, partner. The
-    candidate list joins first, so only pairs in question meet in a sample.
+    a: sample, entity, value_a; b: sample, partner, value_b (one row each); candidates: entity, partner, and keys of which each
+    value has a scan of its own. The candidate list joins first, so only pairs in question meet in a sample; a candidate has
+    all of its entity's rows there, so both margins of its table come out of one aggregate, and n11 of those that met.
     """
-    pairs = a.join(candidates.distinct(), entity).join(b, [sample, partner]).withColumn("_ratio", X.ratio("value_a", "value_b"))
-    n11 = pairs.groupBy(entity, partner).agg(
-        F.count(F.lit(1)).alias("n11"), F.avg("_ratio").alias("ratio_mean"), F.stddev_samp("_ratio").alias("ratio_sd"), F.median("_ratio").alias("ratio_median"), F.max("_ratio").alias("ratio_max")
-    )
-    rho = stats.spearman(pairs, [entity, partner], "value_a", "value_b", least).select(entity, partner, "rho")
-    n_a, n_b = a.groupBy(entity).agg(F.count(F.lit(1)).alias("n_a")), b.groupBy(partner).agg(F.count(F.lit(1)).alias("n_b"))
-    out = candidates.distinct().join(n_a, entity).join(n_b, partner).join(n11, [entity, partner], "left").join(rho, [entity, partner], "left").na.fill(0, ["n11"])
+    per = [*keys, entity, partner]
+    met = candidates.select(*per).distinct().join(a, entity).join(b, [sample, partner], "left").withColumn("_ratio", X.ratio("value_a", "value_b"))
+    both = F.col("value_b").isNotNull()
+    # ranks among the rows that met; the others make a partition of their own
+    met = met.withColumn("_met", both).withColumns({"_x": X.average_rank([*per, "_met"], "value_a"), "_y": X.average_rank([*per, "_met"], "value_b")})
+    x = F.when(both, F.col("_x"))
+    spread = (F.min(x) < F.max(x)) & (F.min("_y") < F.max("_y"))
+    counts = met.groupBy(*per).agg(
+        F.count(F.lit(1)).alias("n_a"), F.count_if(both).alias("n11"), F.avg("_ratio").alias("ratio_mean"), F.stddev_samp("_ratio").alias("ratio_sd"), F.median("_ratio").alias("ratio_median"), F.max("_ratio").alias("ratio_max"),
+        F.when(spread & (F.count_if(both) >= least), F.corr(x, F.col("_y"))).alias("rho"),
+    )
+    out = counts.join(b.groupBy(partner).agg(F.count(F.lit(1)).alias("n_b")), partner)
     out = out.withColumns({"n10": F.col("n_a") - F.col("n11"), "n01": F.col("n_b") - F.col("n11")}).withColumn("n00", F.lit(samples) - F.col("n11") - F.col("n10") - F.col("n01"))
-    return out.withColumn("pct", X.ratio(100.0 * F.col("n11"), "n_a")).drop("n_a", "n_b")
+    return out.select(*per, "n11", "ratio_mean", "ratio_sd", "ratio_median", "ratio_max", "rho", "n10", "n01", "n00", X.ratio(100.0 * F.col("n11"), "n_a").alias("pct"))
 
 
 def random_partners(pairs: DataFrame, entity: str, partner: str, pool: DataFrame, reps: int, seed: int = 1) -> DataFrame:
     """For each pair and replicate a partner drawn from the pool by a hash, never the true one.
 
-    Pool members are numbered 0 .. n-1; the draw is among n - 1 places, those from the true one on moved up.
+    Pool members are numbered 0 .. n-1 in hash order; the draw is among n - 1 places, those from the true one on moved up.
     """
-    from .windows import running_sum
-
-    members = pool.select(partner).distinct()
+    members = pool.select(partner).distinct().withColumn("_h", X.hashed(partner, seed=seed))
     n = members.count()
-    blocks = 64
-    # numbering without a global sort: counts of hash blocks, then positions inside each block
-    blocked = members.withColumn("_b", F.pmod(F.xxhash64(partner, F.lit(seed)), F.lit(blocks)))
-    sizes = running_sum(blocked.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1)), ["_one"], ["_b"], F.col("_n"), "_upto")
-    numbered = blocked.join(F.broadcast(sizes.select("_b", (F.col("_upto") - F.col("_n")).alias("_base"))), "_b").withColumn("_i", F.col("_base") + F.row_number().over(Window.partitionBy("_b").orderBy(partner)) - 1).select(partner, "_i")
+    numbered = blocked_sums(members.withColumns({"_b": F.substring("_h", 1, 3), "_one": F.lit(1)}), ["_one"], "_b", ["_h", partner], {"_i": F.lit(1)}).select(partner, (F.col("_i") - 1).alias("_i"))
     rows = pairs.join(numbered, partner, "left").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    draw = F.pmod(F.xxhash64(F.col(entity), F.col(partner), F.col("rep"), F.lit(seed)), F.lit(max(1, n - 1)))
+    draw = F.pmod(X.hashed_number(entity, partner, "rep", seed=seed), F.lit(max(1, n - 1)))
     place = F.when(F.col("_i").isNotNull() & (draw >= F.col("_i")), draw + 1).otherwise(draw)
     drawn = numbered.select(F.col(partner).alias("drawn"), F.col("_i").alias("_j"))
     return rows.withColumn("_j", place).drop("_i").join(drawn, "_j").drop("_j")

@@ -128,8 +128,8 @@ def select_cohort(runs: DataFrame, keep: Column, sample: str, order: Sequence[Co
     """
     best = pick.best_per_key(runs.where(keep), [sample], order)
     large = best.groupBy(project).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(project)
-    some = pick.first_n(best.join(large, project, "left_semi"), [project], [F.xxhash64(run, F.lit(seed)), run], cap)
-    return some.orderBy(F.xxhash64(run, F.lit(seed)), run).limit(n)
+    some = pick.first_n(best.join(large, project, "left_semi"), [project], [X.hashed(run, seed=seed), run], cap)
+    return some.orderBy(X.hashed(run, seed=seed), run).limit(n)
 
 
 def unify_catalogues(catalogues: dict[str, tuple[DataFrame, Column]], ddl: str, known: DataFrame, key: str, members: str | None = None) -> DataFrame:

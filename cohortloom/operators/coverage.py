@@ -173,5 +173,5 @@ def terminal_repeats(df: DataFrame, entity: str, sequence: str, least: int = 20)
 def subsequences(df: DataFrame, entity: str, sequence: str, size: Column, seed: int = 1) -> DataFrame:
     """One substring of the given size of each sequence, at a place drawn by a hash of the entity."""
     n = F.least(size, F.length(sequence))
-    start = F.pmod(F.xxhash64(F.col(entity), F.lit(seed)), F.length(sequence) - n + 1)
+    start = F.pmod(X.hashed_number(entity, seed=seed), F.length(sequence) - n + 1)
     return df.where(F.length(sequence) > 0).select(entity, start.alias("start"), F.substring(F.col(sequence), (start + 1).cast("int"), n).alias("part"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,30 +11,71 @@ from pyspark.sql import functions as F
 from cohortloom.functions import expr as X
 
 from . import shape
+from .windows import blocked_sums
+
+
+#: Leading digits of a hash that deal an order over blocks: 4096 of them.
+BLOCK_DIGITS = 3
 
 
 def hash_order(df: DataFrame, key: str, reps: int, by: Sequence[str] = (), seed: int = 1) -> DataFrame:
-    """reps copies of df, each in an order of its own (rep, pos from 1); the order is a hash of key and replicate, so it is repeatable."""
-    copies = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = Window.partitionBy(*by, "rep").orderBy(F.xxhash64(F.col(key), F.col("rep"), F.lit(seed)), key)
-    return copies.withColumn("pos", F.row_number().over(w).cast("long"))
+    """reps copies of df, each in an order of its own (rep, pos from 1, block); the order is a hash of key and replicate, so it is repeatable."""
+    copies = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_h", X.hashed(key, "rep", seed=seed))
+    blocked = copies.withColumn("block", F.substring("_h", 1, BLOCK_DIGITS))
+    return blocked_sums(blocked, [*by, "rep"], "block", ["_h", key], {"pos": F.lit(1)}).drop("_h")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """Exactly n rows, by hash order."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(X.hashed(key, seed=seed), key).limit(n)
 
 
 def accumulation_curve(df: DataFrame, key: str, label: str, flag: Column, reps: int, by: Sequence[str] = (), seed: int = 1) -> DataFrame:
-    """For each position: mean over replicates of the labels seen so far, those seen twice, and those seen with the flag."""
-    rows = hash_order(df.select(*by, key, label, flag.alias("_f")), key, reps, by, seed)
-    each = Window.partitionBy(*by, "rep", label).orderBy("pos")
-    flags = F.sum(F.coalesce(F.col("_f"), F.lit(False)).cast("int")).over(each.rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumns({"_n": F.row_number().over(each), "_k": flags})
-    run = Window.partitionBy(*by, "rep").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    total = lambda c: F.sum(c.cast("int")).over(run)
-    curves = marked.select(*by, "rep", "pos", total(F.col("_n") == 1).alias("t"), total(F.col("_n") == 2).alias("s"), total(F.coalesce(F.col("_f"), F.lit(False)) & (F.col("_k") == 1)).alias("f"))
-    return curves.groupBy(*by, "pos").agg(F.avg("t").alias("total"), F.avg("s").alias("non_singleton"), F.avg("f").alias("flagged"), F.min("t").alias("least"), F.max("t").alias("most"))
+    """For each position: mean over replicates of the labels seen so far, those seen twice, and those seen with the flag.
+
+    Only the places where a label comes first, second and first with the flag count; running sums over blocks of the order do the rest.
+    """
+    rows = hash_order(df.select(*by, key, F.col(label).alias("_l"), F.coalesce(flag, F.lit(False)).alias("_f")), key, reps, by, seed)
+    early = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "rep", "_l").orderBy("pos"))).where("_n <= 2")
+    flagged = rows.where("_f").groupBy(*by, "rep", "_l").agg(F.min(F.struct("pos", "block")).alias("_at"))
+    zero, one = F.lit(0), F.lit(1)
+    place = [*by, "rep", "block", "pos"]
+    marks = (
+        rows.select(*place, zero.alias("t"), zero.alias("s"), zero.alias("f"))
+        .unionByName(early.select(*place, (F.col("_n") == 1).cast("int").alias("t"), (F.col("_n") == 2).cast("int").alias("s"), zero.alias("f")))
+        .unionByName(flagged.select(*by, "rep", F.col("_at.block").alias("block"), F.col("_at.pos").alias("pos"), zero.alias("t"), zero.alias("s"), one.alias("f")))
+        .groupBy(*place)
+        .agg(*(F.sum(x).alias(x) for x in "tsf"))
+    )
+    curves = blocked_sums(marks, [*by, "rep"], "block", ["pos"], {"_t": F.col("t"), "_s": F.col("s"), "_k": F.col("f")})
+    return curves.groupBy(*by, "pos").agg(F.avg("_t").alias("total"), F.avg("_s").alias("non_singleton"), F.avg("_k").alias("flagged"), F.min("_t").alias("least"), F.max("_t").alias("most"))
+
+
+#: Rows of a label up to which its chance to be missed is a product over them.
+PRODUCT_ROWS = 64
+
+
+def log_factorial(x: Column) -> Column:
+    """ln x! of a whole number: from a table of the first ones, then by Stirling's series."""
+    known = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(8)))
+    far = F.greatest(x, F.lit(8)).cast("double")
+    series = (far + 0.5) * F.log(far) - far + 0.5 * math.log(2 * math.pi) + stirling(far)
+    return F.when(x < 8, F.get(known, F.greatest(x, F.lit(0)).cast("int"))).otherwise(series)
+
+
+def stirling(x: Column) -> Column:
+    return 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+
+
+def log_missed(m: Column, n: Column, every: Column) -> Column:
+    """ln of the chance that a random subset of n of `every` rows has none of m: ln C(every - m, n) - ln C(every, n). The work doesn't grow with m."""
+    rest = every - n
+    few = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(m, F.lit(PRODUCT_ROWS)) - 1), F.lit(0.0), lambda a, i: a + F.when(rest - i > 0, F.log(F.greatest(rest - i, F.lit(1)) / (every - i))).otherwise(F.lit(-1e9)))
+    a, N = F.greatest(rest, m + 8).cast("double"), every.cast("double")
+    # the factorials' difference in terms no larger than m
+    many = m * F.log(a / N) - (a - m + 0.5) * F.log1p(-m / a) + (N - m + 0.5) * F.log1p(-m / N) + stirling(a) - stirling(a - m) - stirling(N) + stirling(N - m)
+    near = log_factorial(rest) - log_factorial(rest - m) - log_factorial(every) + log_factorial(every - m)
+    return F.when(m <= PRODUCT_ROWS, few).when(rest < m, F.lit(-1e9)).when(rest - m < 8, near).otherwise(many)
 
 
 def expected_curve(df: DataFrame, label: str, points: int, by: Sequence[str] = ()) -> DataFrame:
@@ -45,10 +87,7 @@ def expected_curve(df: DataFrame, label: str, points: int, by: Sequence[str] = (
     totals = sizes.groupBy(*by).agg(F.sum(F.col("m") * F.col("labels")).alias("_all"))
     grid = totals.withColumn("n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: F.greatest(F.lit(1).cast("long"), F.floor(i * F.col("_all") / points))))))
     pairs = grid.join(sizes, list(by)) if by else grid.crossJoin(sizes)
-    # ln C(N - m, n) - ln C(N, n) as a product over the label's m rows: each row avoids the subset
-    rest = F.col("_all") - F.col("n")
-    log_miss = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), F.lit(0.0), lambda a, i: a + F.when(rest - i > 0, F.log((rest - i) / (F.col("_all") - i))).otherwise(F.lit(-1e9)))
-    seen = F.sum(F.col("labels") * (1 - F.exp(log_miss)))
+    seen = F.sum(F.col("labels") * (1 - F.exp(log_missed(F.col("m"), F.col("n"), F.col("_all")))))
     return pairs.groupBy(*by, "n").agg(seen.alias("expected"))
 
 

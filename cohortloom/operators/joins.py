@@ -16,13 +16,15 @@ def fallback_lookup(df: DataFrame, table: DataFrame, key: str, value: str, trimm
 
 
 def match_in_order(left: DataFrame, rules: Sequence[tuple[str, DataFrame, Sequence[str]]], key: str, tag: str = "matched_by") -> DataFrame:
-    """Matches by the first rule, then what is left (by key) by the next; each row tells its rule."""
-    out, rest = None, left
-    for name, right, on in rules:
-        found = rest.join(right, list(on)).withColumn(tag, F.lit(name))
+    """Matches by the first rule that finds any for a row of left (key: its id); each row out tells its rule.
+
+    Every rule is one join of left; of a key's matches those of its first rule stay.
+    """
+    out = None
+    for i, (name, right, on) in enumerate(rules):
+        found = left.join(right, list(on)).withColumns({tag: F.lit(name), "_rule": F.lit(i)})
         out = found if out is None else out.unionByName(found, allowMissingColumns=True)
-        rest = rest.join(found.select(key).distinct(), key, "left_anti")
-    return out
+    return out.withColumn("_first", F.min("_rule").over(Window.partitionBy(key))).where("_rule = _first").drop("_rule", "_first")
 
 
 def lookup_default(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, name: str, default: Column) -> DataFrame:

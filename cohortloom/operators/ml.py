@@ -50,10 +50,14 @@ def group_folds(df: DataFrame, group: str, k: int, seed: int = 42, name: str = "
 
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, group: str, k: int = 5, trees: int = 100, seed: int = 42) -> DataFrame:
     """df with fold and the out-of-fold score."""
-    rows = group_folds(df, group, k, seed).persist()
+    rows = group_folds(df, group, k, seed)
+    kept = rows.persist()
+    try:
+        models = [fit(kept.where(F.col("fold") != i), features, label, trees, seed) for i in range(k)]
+    finally:
+        kept.unpersist()
     parts = None
-    for i in range(k):
-        model = fit(rows.where(F.col("fold") != i), features, label, trees, seed)
+    for i, model in enumerate(models):
         scored = score(rows.where(F.col("fold") == i), model, features)
         parts = scored if parts is None else parts.unionByName(scored)
     return parts

@@ -30,15 +30,24 @@ def bh_fdr(df: DataFrame, p: str, family: Sequence[str], level: float = 0.05, ti
 
 
 def rank_sums(df: DataFrame, test: Sequence[str], group: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """Per (test, group): n and the sum of average ranks; per test: N and the tie term sum(t^3 - t)."""
+    """Per (test, group): n and the sum of average ranks; per test: N and the tie term sum(t^3 - t).
+
+    Values are counted first, so ranks are running counts over a test's distinct values instead of its rows.
+    """
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    ranked = rows.withColumn("_r", X.average_rank(list(test), value))
-    sums = ranked.groupBy(*test, group).agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("rank_sum"))
-    ties = rows.groupBy(*test, value).agg(F.count(F.lit(1)).cast("double").alias("_t"))
+    counts = rows.groupBy(*test, group, value).agg(F.count(F.lit(1)).alias("_n"))
+    ties = counts.groupBy(*test, value).agg(F.sum("_n").cast("double").alias("_t"))
+    upto = F.sum("_t").over(Window.partitionBy(*test).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = ties.withColumn("_r", upto - (F.col("_t") - 1) / 2)
+    sums = counts.join(ranks, [*test, value]).groupBy(*test, group).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_r")).alias("rank_sum"))
     totals = ties.groupBy(*test).agg(F.sum("_t").alias("total"), F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("tie_term"))
     return sums, totals
 
 
+#: Pairs of a test up to which the signed-rank distribution is computed: its work grows with their cube.
+EXACT_PAIRS = 2000
+
+
 def mann_whitney(df: DataFrame, test: Sequence[str], group: str, value: str, a, b) -> DataFrame:
     """U of group a against b, the tie-corrected z with continuity correction, and the two-sided p."""
     sums, totals = rank_sums(df.where(F.col(group).isin(a, b)), test, group, value)
@@ -65,11 +74,15 @@ def kruskal_wallis(df: DataFrame, test: Sequence[str], group: str, value: str) -
 def wilcoxon(df: DataFrame, test: Sequence[str], pair: str, condition: str, value: str, a, b) -> DataFrame:
     """Exact signed-rank test of a - b over pairs (a missing value is 0, equal ones are skipped).
 
-    A test's differences are in one task: the exact null distribution is a dynamic program over their ranks.
+    A test's differences are in one task: the exact null distribution is a dynamic program over their ranks. A test
+    with more than EXACT_PAIRS differences ends the job with an error.
     """
     side = lambda v: F.coalesce(F.max(F.when(F.col(condition) == v, F.col(value))), F.lit(0.0))
     diffs = df.where(F.col(condition).isin(a, b)).groupBy(*test, pair).agg((side(a) - side(b)).alias("_d")).where("_d != 0")
-    ranked = diffs.withColumn("_s", F.abs("_d")).withColumn("_r", X.average_rank(list(test), "_s"))
+    sizes = diffs.groupBy(*test).agg(F.count(F.lit(1)).alias("_pairs"))
+    too_many = F.raise_error(F.concat(F.lit(f"more than {EXACT_PAIRS} pairs in a test: "), F.col("_pairs").cast("string")))
+    checked = diffs.join(sizes.withColumn("_pairs", F.when(F.col("_pairs") <= EXACT_PAIRS, F.col("_pairs")).otherwise(too_many.cast("long"))), list(test)).where("_pairs > 0").drop("_pairs")
+    ranked = checked.withColumn("_s", F.abs("_d")).withColumn("_r", X.average_rank(list(test), "_s"))
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
         double = (2 * pdf["_r"]).round().astype(int).to_numpy()  # average ranks are halves

@@ -24,6 +24,18 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def blocked_sums(df: DataFrame, by: Sequence[str], block: str, order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """Running sums in the order of (block, order) within a group. Blocks are summed first, so no task holds a whole group."""
+    names = list(sums)
+    values = df.withColumns({f"_v_{n}": v for n, v in sums.items()})
+    before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = values.groupBy(*by, block).agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names))
+    bases = totals.select(*by, block, *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names))
+    inside = Window.partitionBy(*by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = values.join(bases, [*by, block]).withColumns({n: F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(inside) for n in names})
+    return out.drop(*(f"_{k}_{n}" for k in "vb" for n in names))
+
+
 def days_since_first(df: DataFrame, subject: str, day: str, name: str = "day") -> DataFrame:
     return df.withColumn(name, F.datediff(F.col(day), F.min(day).over(Window.partitionBy(subject))).cast("long"))
 

@@ -8,6 +8,7 @@ from cohortloom.functions import expr as X
 from cohortloom.operators import assoc, pick, shape
 
 from .registry import query, table
+from .statistics import fisher_sql
 
 c = F.col
 N = lambda: F.count(F.lit(1))
@@ -52,18 +53,23 @@ def d45_combine_ratios(spark, d):
     return assoc.combine_ratios(li.where("l_discount > 0.09").groupBy("k").agg((F.max("l_quantity") / 10).alias("ratio")), li.where("l_tax > 0.07").groupBy("k").agg((F.min("l_quantity") / 5).alias("ratio")), ["k"])
 
 
-_SCAN = """a AS (SELECT o_custkey AS s, p_type AS e, sum(l_quantity) AS va FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40 GROUP BY 1, 2),
-    b AS (SELECT o_custkey AS s, s_nationkey AS p, sum(l_quantity) AS vb FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40 GROUP BY 1, 2),
-    x AS (SELECT a.s, e, p, va, vb, va / vb AS r FROM a JOIN b ON a.s = b.s WHERE p < 8), k AS (SELECT *, rank() OVER (PARTITION BY e, p ORDER BY va) + (count(*) OVER (PARTITION BY e, p, va) - 1) / 2.0 AS ka, rank() OVER (PARTITION BY e, p ORDER BY vb) + (count(*) OVER (PARTITION BY e, p, vb) - 1) / 2.0 AS kb FROM x),
+_SCAN = """a AS (SELECT o_custkey AS s, p_type AS e, sum(l_quantity) AS va FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+    b AS (SELECT o_custkey AS s, s_nationkey AS p, sum(l_quantity) AS vb FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+    x AS (SELECT a.s, e, p, va, vb, va / vb AS r FROM a JOIN b ON a.s = b.s), k AS (SELECT *, rank() OVER (PARTITION BY e, p ORDER BY va) + (count(*) OVER (PARTITION BY e, p, va) - 1) / 2.0 AS ka, rank() OVER (PARTITION BY e, p ORDER BY vb) + (count(*) OVER (PARTITION BY e, p, vb) - 1) / 2.0 AS kb FROM x),
     n11 AS (SELECT e, p, count(*) AS n11, avg(r) AS m, stddev_samp(r) AS sd, median(r) AS md, max(r) AS mx, corr(ka, kb) AS rho FROM k GROUP BY 1, 2), na AS (SELECT e, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT p, count(*) AS n FROM b GROUP BY 1)"""
 
 
-def _scan(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 40").join(table(spark, d, "orders"), c("l_orderkey") == c("o_orderkey"))
+def _measures(spark, d):
+    """Types of parts in customers, with their suppliers' nations in the same customers."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), c("l_orderkey") == c("o_orderkey"))
     a = rows.join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).groupBy(c("o_custkey").alias("s"), c("p_type").alias("e")).agg(F.sum("l_quantity").alias("value_a"))
     b = rows.join(table(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey")).groupBy(c("o_custkey").alias("s"), c("s_nationkey").alias("p")).agg(F.sum("l_quantity").alias("value_b"))
-    candidates = a.select("e").distinct().crossJoin(table(spark, d, "nation").where("n_nationkey < 8").select(c("n_nationkey").alias("p")))
-    n = table(spark, d, "customer").count()
+    return a, b, table(spark, d, "customer").count()
+
+
+def _scan(spark, d):
+    a, b, n = _measures(spark, d)
+    candidates = table(spark, d, "part").select(c("p_type").alias("e")).distinct().crossJoin(table(spark, d, "nation").select(c("n_nationkey").alias("p")))
     return assoc.association_scan(a, b, candidates, "s", "e", "p", n)
 
 
@@ -73,11 +79,19 @@ def d46_association_scan(spark, d):
     return _round(_scan(spark, d), "ratio_mean", "ratio_sd", "ratio_median", "ratio_max", "rho", "pct")
 
 
-@query()
+_DRAWS = 20
+
+
+@query(f"""WITH {_SCAN}, mem AS (SELECT n_nationkey AS p, row_number() OVER (ORDER BY md5(concat_ws(':', n_nationkey, '1')), n_nationkey) - 1 AS i, count(*) OVER () AS n FROM nation),
+    tru AS (SELECT e, length(e) % 25 AS p FROM (SELECT DISTINCT p_type AS e FROM part)), dr AS (SELECT rep, tru.e, i, ('0x' || md5(concat_ws(':', tru.e, tru.p, rep, '1'))[:8])::BIGINT % (n - 1) AS k FROM tru JOIN mem ON tru.p = mem.p, range({_DRAWS}) r(rep)),
+    cand AS (SELECT rep, dr.e, mem.p FROM dr JOIN mem ON mem.i = CASE WHEN k >= dr.i THEN k + 1 ELSE k END)
+    SELECT CAST(rep AS INTEGER) AS rep, cand.e, cand.p, coalesce(n11, 0) AS n11, round(m, 6) AS ratio_mean, round(rho, 6) AS rho, round(100.0 * coalesce(n11, 0) / na.n, 6) AS pct FROM cand JOIN na ON cand.e = na.e JOIN nb ON cand.p = nb.p LEFT JOIN n11 ON n11.e = cand.e AND n11.p = cand.p""")
 def d47_sp3_null_association(spark, d):
-    pairs = table(spark, d, "lineitem").select(c("l_partkey").alias("e"), c("l_suppkey").alias("p")).distinct()
-    drawn = assoc.random_partners(pairs, "e", "p", table(spark, d, "supplier").select(c("s_suppkey").alias("p")), 3)
-    return drawn.groupBy("rep", "drawn").agg(N().alias("n"), F.count_if(c("p") == c("drawn")).alias("n_true"))
+    a, b, n = _measures(spark, d)
+    pairs = table(spark, d, "part").select(c("p_type").alias("e")).distinct().withColumn("p", (F.length("e") % 25).cast("int"))
+    drawn = assoc.random_partners(pairs, "e", "p", table(spark, d, "nation").select(c("n_nationkey").alias("p")), _DRAWS)
+    scan = assoc.association_scan(a, b, drawn.select("rep", "e", c("drawn").alias("p")), "s", "e", "p", n, keys=["rep"])
+    return _round(scan, "ratio_mean", "rho", "pct").select("rep", "e", "p", "n11", "ratio_mean", "rho", "pct")
 
 
 @query(f"""WITH {_SCAN}, q AS (SELECT n11.e, n11.p, n11.p % 4 AS genus, rho, 100.0 * n11 / na.n AS pct FROM n11 JOIN na ON n11.e = na.e), o AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY rho DESC NULLS LAST, p) AS rn FROM (SELECT * FROM q WHERE genus = length(e) % 4))
@@ -94,22 +108,25 @@ def d49_pass_rates(spark, d):
     return assoc.pass_rates(table(spark, d, "lineitem"), "l_returnflag", filters)
 
 
-@query("""WITH s AS (SELECT o_custkey, count(*) AS n, 100.0 * max(o_totalprice) / sum(o_totalprice) AS dom, avg(o_totalprice) / 100000 AS ratio FROM orders GROUP BY 1), g AS (SELECT unnest([0.8, 1.0, 1.2]) AS cutoff),
-    t AS (SELECT CAST(cutoff AS DOUBLE) AS cutoff, count(*) FILTER (ratio >= cutoff AND dom >= 20) AS n11, count(*) FILTER (ratio >= cutoff AND dom < 20) AS n10, count(*) FILTER (ratio < cutoff AND dom >= 20) AS n01, count(*) FILTER (ratio < cutoff AND dom < 20) AS n00 FROM s, g WHERE n >= 2 GROUP BY 1)
-    SELECT cutoff, n11, n10, n01, n00, round(n11 * n00 * 1.0 / nullif(n10 * n01, 0), 6) AS odds_ratio, round(n11 * 1.0 / (n11 + n10), 6) AS rate_over, round(n01 * 1.0 / (n01 + n00), 6) AS rate_below FROM t""")
+@query(f"""WITH s AS (SELECT o_custkey, count(*) AS n, 100.0 * max(o_totalprice) / sum(o_totalprice) AS dom, avg(o_totalprice) / 100000 AS ratio FROM orders GROUP BY 1), g AS (SELECT unnest([0.8, 1.0, 1.2]) AS cutoff),
+    t AS (SELECT CAST(cutoff AS DOUBLE) AS cutoff, count(*) FILTER (ratio >= cutoff AND dom >= 20) AS n11, count(*) FILTER (ratio >= cutoff AND dom < 20) AS n10, count(*) FILTER (ratio < cutoff AND dom >= 20) AS n01, count(*) FILTER (ratio < cutoff AND dom < 20) AS n00 FROM s, g WHERE n >= 2 GROUP BY 1), {fisher_sql("t", "cutoff")}
+    SELECT cutoff, n11, n10, n01, n00, round(p_greater, 6) AS p_greater, round(p_two, 6) AS p_two, round(n11 * n00 * 1.0 / nullif(n10 * n01, 0), 6) AS odds_ratio, round(n11 * 1.0 / (n11 + n10), 6) AS rate_over, round(n01 * 1.0 / (n01 + n00), 6) AS rate_below FROM fisher""")
 def d50_dominance_test(spark, d):
     s = table(spark, d, "orders").groupBy("o_custkey").agg(N().alias("n"), (100.0 * F.max("o_totalprice") / F.sum("o_totalprice")).alias("dom"), (F.avg("o_totalprice") / 100000).alias("ratio"))
     out = assoc.dominance_test(s, "n", "dom", "ratio", [0.8, 1.0, 1.2], 2, 20)
-    return _round(out, "odds_ratio", "rate_over", "rate_below").drop("p_greater", "p_two")
+    return _round(out, "odds_ratio", "rate_over", "rate_below", "p_greater", "p_two")
 
 
-@query("""WITH f AS (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 180000) AS flag FROM customer), u AS (SELECT DISTINCT o_custkey, v.rank, v.taxon FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey, LATERAL (VALUES ('p_type', p_type), ('p_brand', p_brand)) v(rank, taxon) WHERE l_quantity > 47),
-    n AS (SELECT rank, taxon, count(*) AS t, count(*) FILTER (flag) AS n11 FROM u JOIN f ON o_custkey = c_custkey GROUP BY 1, 2), a AS (SELECT count(*) AS n, count(*) FILTER (flag) AS pos FROM f) SELECT rank, taxon, n11, t - n11 AS n10, pos - n11 AS n01, n - t - pos + n11 AS n00 FROM n, a""")
+@query(f"""WITH f AS (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 180000) AS flag FROM customer), u AS (SELECT DISTINCT o_custkey, v.rank, v.taxon FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey, LATERAL (VALUES ('p_type', p_type), ('p_brand', p_brand)) v(rank, taxon)),
+    n AS (SELECT rank, taxon, count(*) AS t, count(*) FILTER (flag) AS n11 FROM u JOIN f ON o_custkey = c_custkey GROUP BY 1, 2), a AS (SELECT count(*) AS n, count(*) FILTER (flag) AS pos FROM f), t AS (SELECT rank, taxon, n11, t - n11 AS n10, pos - n11 AS n01, n - t - pos + n11 AS n00 FROM n, a), {fisher_sql("t", "rank, taxon")},
+    o AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY p_two, taxon) AS rk, count(*) OVER (PARTITION BY rank) AS m FROM fisher), w AS (SELECT *, least(1, min(p_two * m / rk) OVER (PARTITION BY rank ORDER BY rk DESC)) AS qv FROM o)
+    SELECT rank, taxon, n11, n10, n01, n00, round(p_greater, 6) AS p_greater, round(p_two, 6) AS p_two, round(n11 * n00 * 1.0 / nullif(n10 * n01, 0), 6) AS odds_ratio, round(qv, 6) AS q, qv <= 0.05 AS reject FROM w""")
 def d51_taxon_association(spark, d):
     big = table(spark, d, "orders").where("o_totalprice > 180000").select("o_custkey").distinct().withColumn("flag", F.lit(True))
     outcome = table(spark, d, "customer").select(c("c_custkey").alias("o_custkey")).join(big, "o_custkey", "left").select("o_custkey", F.coalesce("flag", F.lit(False)).alias("flag"))
-    rows = table(spark, d, "lineitem").where("l_quantity > 47").join(table(spark, d, "orders"), c("l_orderkey") == c("o_orderkey")).join(table(spark, d, "part"), c("l_partkey") == c("p_partkey"))
-    return assoc.taxon_association(shape.rank_ladder(rows, ["o_custkey"], ["p_type", "p_brand"]), outcome, "o_custkey", "flag").drop("p_greater", "p_two", "odds_ratio", "q", "reject")
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), c("l_orderkey") == c("o_orderkey")).join(table(spark, d, "part"), c("l_partkey") == c("p_partkey"))
+    out = assoc.taxon_association(shape.rank_ladder(rows, ["o_custkey"], ["p_type", "p_brand"]), outcome, "o_custkey", "flag")
+    return _round(out, "p_greater", "p_two", "odds_ratio", "q")
 
 
 @query("""SELECT l_suppkey, count(*) AS items, count(*) FILTER (l_returnflag = 'R') AS flagged FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_tax, l_extendedprice DESC, l_orderkey, l_linenumber) = 1) GROUP BY 1""")

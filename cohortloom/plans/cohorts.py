@@ -25,9 +25,9 @@ def _events(spark, d):
     return table(spark, d, "events").withColumn("day", c("ts").cast("date"))
 
 
-@query("SELECT l_returnflag, p_brand, count(DISTINCT l_partkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 GROUP BY 1, 2")
+@query("SELECT l_returnflag, p_brand, count(DISTINCT l_partkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
 def d31_abundance_by_site(spark, d):
-    return cohort.abundance_by_site(_lines(spark, d).where("l_quantity > 45"), "l_returnflag", "p_brand", "l_partkey")
+    return cohort.abundance_by_site(_lines(spark, d), "l_returnflag", "p_brand", "l_partkey")
 
 
 @query("""WITH u AS (SELECT v.rank, v.taxon, p_retailprice AS x FROM part, LATERAL (VALUES ('p_type', p_type), ('p_brand', p_brand)) v(rank, taxon)) SELECT rank, taxon, count(*) AS n, median(x) AS mid, round(100.0 * (max(x) - min(x)) / median(x), 6) AS variation_pct FROM u GROUP BY 1, 2 HAVING count(*) >= 2""")
@@ -62,9 +62,9 @@ def d54_prevalence_at(spark, d):
     return _round(cohort.prevalence_at(_lines(spark, d), n, "l_orderkey", "p_brand", "l_discount", [0, 0.05]), "share")
 
 
-@query("""WITH x AS (SELECT l_partkey, avg(CAST(l_returnflag = 'R' AS INT)) AS r FROM lineitem WHERE l_quantity > 46 GROUP BY 1), k AS (SELECT CASE WHEN r = 0 THEN 'never' WHEN r = 1 THEN 'always' ELSE 'sometimes' END AS consistency FROM x) SELECT consistency, count(*) AS taxa, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY 1""")
+@query("""WITH x AS (SELECT l_partkey, avg(CAST(l_returnflag = 'R' AS INT)) AS r FROM lineitem GROUP BY 1), k AS (SELECT CASE WHEN r = 0 THEN 'never' WHEN r = 1 THEN 'always' ELSE 'sometimes' END AS consistency FROM x) SELECT consistency, count(*) AS taxa, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY 1""")
 def d55_flag_consistency(spark, d):
-    per = cohort.flag_consistency(table(spark, d, "lineitem").where("l_quantity > 46"), ["l_partkey"], c("l_returnflag") == "R")
+    per = cohort.flag_consistency(table(spark, d, "lineitem"), ["l_partkey"], c("l_returnflag") == "R")
     counts = per.groupBy("consistency").agg(N().alias("taxa")).withColumn("all", F.lit(1))
     return _round(counts.withColumn("share", X.share("taxa", "all")).drop("all"), "share")
 
@@ -122,7 +122,8 @@ def d66_activity_levels(spark, d):
     return cohort.activity_levels(_events(spark, d), "user_id", "event_type", "value", [(150, "low"), (250, "mid")], "high")
 
 
-@query()
+@query("""WITH k AS (SELECT * FROM orders WHERE regexp_matches(o_orderpriority, '(?i)urgent|high') AND o_totalprice BETWEEN 1000 AND 150000 AND o_orderdate >= TIMESTAMP '1996-01-01'), b AS (SELECT *, md5(concat_ws(':', o_orderkey, '1')) AS h FROM k QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1),
+    l AS (SELECT * FROM b WHERE o_orderstatus IN (SELECT o_orderstatus FROM b GROUP BY 1 HAVING count(*) >= 10)), s AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY h, o_orderkey) <= 200) SELECT o_orderkey, o_custkey, o_orderstatus FROM s ORDER BY h, o_orderkey LIMIT 500""")
 def d67_select_cohort(spark, d):
     rows = table(spark, d, "orders")
     keep = c("o_orderpriority").rlike("(?i)urgent|high") & c("o_totalprice").between(1000, 150000) & (c("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
@@ -167,10 +168,16 @@ def d77_representative_agreement(spark, d):
     return cohort.representative_agreement(a, b, "k")
 
 
-@query()
+#: Replicates of the curves by order, and points of the richness grid, as usual for them.
+_REPS, _POINTS = 50, 100
+
+
+@query(f"""WITH c AS (SELECT p_partkey, p_name, p_size > 25 AS f, rep, md5(concat_ws(':', p_partkey, rep, '1')) AS h FROM part, range({_REPS}) r(rep)), o AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY h, p_partkey) AS pos FROM c),
+    n AS (SELECT *, row_number() OVER (PARTITION BY rep, p_name ORDER BY pos) AS k, sum(CAST(f AS INT)) OVER (PARTITION BY rep, p_name ORDER BY pos) AS fk FROM o),
+    s AS (SELECT pos, sum(CAST(k = 1 AS INT)) OVER w AS t, sum(CAST(k = 2 AS INT)) OVER w AS s, sum(CAST(f AND fk = 1 AS INT)) OVER w AS f FROM n WINDOW w AS (PARTITION BY rep ORDER BY pos))
+    SELECT pos, avg(t) AS total, avg(s) AS non_singleton, avg(f) AS flagged, CAST(min(t) AS BIGINT) AS least, CAST(max(t) AS BIGINT) AS most FROM s GROUP BY 1""")
 def d29_sp1_accumulation_curve(spark, d):
-    rows = table(spark, d, "part")
-    return curves.accumulation_curve(rows, "p_partkey", "p_name", c("p_size") > 25, 5)
+    return curves.accumulation_curve(table(spark, d, "part"), "p_partkey", "p_name", c("p_size") > 25, _REPS)
 
 
 @query("""WITH m AS (SELECT p_name, count(*) AS m FROM part GROUP BY 1), t AS (SELECT sum(m) AS n FROM m), g AS (SELECT DISTINCT greatest(1, CAST(floor(i * n / 10) AS BIGINT)) AS k, n FROM t, (SELECT unnest(range(1, 11)) AS i)) SELECT k AS n, round(sum(CASE WHEN n - m < k THEN 1.0 ELSE 1 - exp(lgamma(n - m + 1) - lgamma(n - m - k + 1) - lgamma(n + 1) + lgamma(n - k + 1)) END), 4) AS expected FROM m, g GROUP BY 1""")
@@ -178,12 +185,16 @@ def d29_expected_curve(spark, d):
     return _round(curves.expected_curve(table(spark, d, "part"), "p_name", 10), "expected", to=4)
 
 
-@query()
+@query(f"""WITH c AS (SELECT p_brand, p_partkey, p_name, rep, md5(concat_ws(':', p_partkey, rep, '1')) AS h FROM part, range({_REPS}) r(rep)), o AS (SELECT *, row_number() OVER (PARTITION BY p_brand, rep ORDER BY h, p_partkey) AS pos FROM c),
+    n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, rep, p_name ORDER BY pos) AS k FROM o), s AS (SELECT p_brand, pos, sum(CAST(k = 1 AS INT)) OVER (PARTITION BY p_brand, rep ORDER BY pos) AS t FROM n),
+    m AS (SELECT p_brand, pos, avg(t) AS mean, min(t) AS least, max(t) AS most FROM s GROUP BY 1, 2), z AS (SELECT p_brand, count(*) AS size FROM part GROUP BY 1 HAVING count(*) >= 10),
+    g AS (SELECT DISTINCT p_brand, greatest(1, CAST(floor(i * size / {_POINTS}) AS BIGINT)) AS n FROM z, range(1, {_POINTS} + 1) r(i))
+    SELECT m.p_brand, g.n, mean, CAST(least AS BIGINT) AS least, CAST(most AS BIGINT) AS most FROM m JOIN g ON m.p_brand = g.p_brand AND m.pos = g.n""")
 def d30_subset_richness(spark, d):
-    return curves.subset_richness(table(spark, d, "part"), "p_partkey", "p_name", "p_brand", 20, 5, 10)
+    return curves.subset_richness(table(spark, d, "part"), "p_partkey", "p_name", "p_brand", _POINTS, _REPS, 10)
 
 
-@query()
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(concat_ws(':', o_orderkey, '1')), o_orderkey LIMIT 100")
 def sp2_sample_rows(spark, d):
     return curves.sample_rows(table(spark, d, "orders"), "o_orderkey", 100).select("o_orderkey", "o_custkey")
 

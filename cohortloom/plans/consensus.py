@@ -122,10 +122,10 @@ def d13_benchmark_labels(spark, d):
     return consensus.benchmark_labels(predicted, truth, ["o_custkey"], ["c_mktsegment"])
 
 
-@query("""WITH r AS (SELECT l_returnflag || l_linestatus AS a, p_type AS b, l_quantity AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey < 500), v AS (SELECT a, b, count(*) AS n FROM r GROUP BY 1, 2),
+@query("""WITH r AS (SELECT l_returnflag || l_linestatus AS a, p_type AS b, l_quantity AS s FROM lineitem JOIN part ON l_partkey = p_partkey), v AS (SELECT a, b, count(*) AS n FROM r GROUP BY 1, 2),
     t AS (SELECT a, b, n FROM v QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) = 1) SELECT r.a, count(*) AS n, count(DISTINCT r.b) AS partners, median(s) AS median_support, any_value(t.b) AS top_partner, any_value(t.n) AS top_n FROM r JOIN t ON r.a = t.a GROUP BY 1""")
 def d14_disagreements(spark, d):
-    rows = table(spark, d, "lineitem").where("l_partkey < 500").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).select(F.concat("l_returnflag", "l_linestatus").alias("a"), c("p_type").alias("b"), c("l_quantity").alias("s"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).select(F.concat("l_returnflag", "l_linestatus").alias("a"), c("p_type").alias("b"), c("l_quantity").alias("s"))
     return consensus.disagreements(rows, "a", "b", "s")
 
 
@@ -154,34 +154,34 @@ def d3_best_annotation(spark, d):
     return hierarchy.best_annotation(rows, "l_partkey", "score", ["l_suppkey", "l_orderkey"]).select("l_partkey", "l_suppkey", "score")
 
 
-@query("""WITH x AS (SELECT DISTINCT p_brand, p_partkey, l_returnflag AS site FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 48), v AS (SELECT p_brand, site, count(*) AS votes FROM x GROUP BY 1, 2),
+@query("""WITH x AS (SELECT DISTINCT p_brand, p_partkey, l_returnflag AS site FROM part JOIN lineitem ON l_partkey = p_partkey), v AS (SELECT p_brand, site, count(*) AS votes FROM x GROUP BY 1, 2),
     t AS (SELECT *, CAST(sum(votes) OVER (PARTITION BY p_brand) AS BIGINT) AS members FROM v QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY votes DESC, site) = 1) SELECT p_brand, members, site, votes * 1.0 / members AS share, votes = members AS perfect FROM t WHERE members >= 2""")
 def d32_site_agreement(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 48").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).withColumnRenamed("l_returnflag", "site")
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).withColumnRenamed("l_returnflag", "site")
     return hierarchy.site_agreement(rows, ["p_brand"], "p_partkey", "site")
 
 
-@query("""WITH x AS (SELECT p_type, p_brand, l_returnflag AS site FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 48), u AS (SELECT 'p_type' AS rank, p_type AS taxon, site FROM x UNION ALL SELECT 'p_brand', p_brand, site FROM x)
+@query("""WITH x AS (SELECT p_type, p_brand, l_returnflag AS site FROM part JOIN lineitem ON l_partkey = p_partkey), u AS (SELECT 'p_type' AS rank, p_type AS taxon, site FROM x UNION ALL SELECT 'p_brand', p_brand, site FROM x)
     SELECT rank, site, count(DISTINCT taxon) AS n FROM u GROUP BY 1, 2 UNION ALL SELECT rank, 'total', count(DISTINCT taxon) FROM u GROUP BY 1""")
 def d33_rank_site_counts(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 48").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey"))
     long = shape.rank_ladder(rows, ["l_returnflag"], ["p_type", "p_brand"]).withColumn("site", F.explode(F.array(c("l_returnflag"), F.lit("total"))))
     return long.groupBy("rank", "site").agg(F.countDistinct("taxon").alias("n"))
 
 
-@query("""WITH u AS (SELECT cr AS cluster_rank, lr AS label_rank, cid, label FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey, LATERAL (VALUES ('p_type', p_type), ('p_brand', p_brand)) a(cr, cid), LATERAL (VALUES ('supplier', s_name), ('nation', CAST(s_nationkey AS VARCHAR))) b(lr, label) WHERE l_quantity > 49),
+@query("""WITH u AS (SELECT cr AS cluster_rank, lr AS label_rank, cid, label FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey, LATERAL (VALUES ('p_type', p_type), ('p_brand', p_brand)) a(cr, cid), LATERAL (VALUES ('supplier', s_name), ('nation', CAST(s_nationkey AS VARCHAR))) b(lr, label)),
     v AS (SELECT cluster_rank, label_rank, cid, label, count(*) AS votes FROM u GROUP BY 1, 2, 3, 4), t AS (SELECT *, sum(votes) OVER (PARTITION BY cluster_rank, label_rank, cid) AS total FROM v QUALIFY row_number() OVER (PARTITION BY cluster_rank, label_rank, cid ORDER BY votes DESC, label) = 1)
     SELECT cluster_rank, label_rank, count(*) AS clusters, round(avg(votes * 1.0 / total), 6) AS mean_share, avg(CAST(votes = total AS INT)) AS perfect FROM t WHERE total >= 3 GROUP BY 1, 2""")
 def d34_label_consistency(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 49").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).join(table(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).join(table(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey"))
     rows = rows.select("p_type", "p_brand", c("s_name").alias("supplier"), c("s_nationkey").cast("string").alias("nation"))
     long = shape.rank_ladder(shape.rank_ladder(rows, ["supplier", "nation"], ["p_type", "p_brand"], "cluster_rank", "cid"), ["cluster_rank", "cid"], ["supplier", "nation"], "label_rank", "label")
     return consensus.agreement_share(long, ["cluster_rank", "label_rank", "cid"], "label").withColumn("mean_share", F.round("mean_share", 6))
 
 
-@query("""SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1 HAVING bool_and(l_returnflag = 'R')""")
+@query("""SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag = 'R')""")
 def d35_one_source_clusters(spark, d):
-    return hierarchy.one_source_clusters(table(spark, d, "lineitem").where("l_quantity > 45"), ["l_partkey"], c("l_returnflag") == "R")
+    return hierarchy.one_source_clusters(table(spark, d, "lineitem"), ["l_partkey"], c("l_returnflag") == "R")
 
 
 @query("""WITH m AS (SELECT p_name AS cluster, p_partkey AS entity, p_retailprice AS len, p_size % 4 = 0 AS complete, p_size % 10 AS genes FROM part), s AS (SELECT cluster, median(len) AS mid, count(*) AS n, max(genes) AS g FROM m GROUP BY 1),

@@ -35,12 +35,18 @@ def d17_paired_condition(spark, d):
     return coverage.paired_condition(table(spark, d, "lineitem"), ["l_suppkey", "l_partkey"], "l_linestatus", "O", "F", "l_discount", 0.04)
 
 
-@query("""WITH f AS (SELECT l_suppkey, CAST(regexp_matches(p_name || ' | ' || p_type, '(?i)ring|pipe') AS INT) AS m, CAST(regexp_matches(p_name || ' | ' || p_type, '(?i)economy|promo') AS INT) AS k FROM lineitem JOIN part ON l_partkey = p_partkey)
-    SELECT l_suppkey, count(*) AS genes, round(avg(m), 6) AS prop_metal, round(avg(k), 6) AS prop_kind, max(m) AS has_metal, max(k) AS has_kind, max(m) + max(k) AS hallmarks FROM f GROUP BY 1""")
+#: Patterns of the groups over name, type and brand; the first three are hallmarks.
+_GENE_GROUPS = {"metal": "ring|rod", "plate": "plate|anvil", "machine": "gear|widget", "small": "small|economy", "large": "large|medium", "promo": "promo|standard", "warm": "hot|red", "first_brands": "brand#[1-5]$"}
+_HALLMARKS = ["metal", "plate", "machine"]
+_GENE_FLAGS = ", ".join(f"CAST(regexp_matches(p_name || ' | ' || p_type || ' | ' || p_brand, '(?i){p}') AS INT) AS f_{g}" for g, p in _GENE_GROUPS.items())
+
+
+@query(f"""WITH f AS (SELECT l_suppkey, {_GENE_FLAGS} FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT l_suppkey, count(*) AS genes, {", ".join(f"round(avg(f_{g}), 6) AS prop_{g}" for g in _GENE_GROUPS)}, {", ".join(f"max(f_{h}) AS has_{h}" for h in _HALLMARKS)}, {" + ".join(f"max(f_{h})" for h in _HALLMARKS)} AS hallmarks FROM f GROUP BY 1""")
 def d18_gene_groups(spark, d):
-    flagged = coverage.group_flags(_lines(spark, d), ["p_name", "p_type"], {"metal": "ring|pipe", "kind": "economy|promo"})
-    out = coverage.group_proportions(flagged, ["l_suppkey"], ["metal", "kind"], ["metal", "kind"])
-    return out.withColumns({x: F.round(x, 6) for x in ("prop_metal", "prop_kind")})
+    flagged = coverage.group_flags(_lines(spark, d), ["p_name", "p_type", "p_brand"], _GENE_GROUPS)
+    out = coverage.group_proportions(flagged, ["l_suppkey"], list(_GENE_GROUPS), _HALLMARKS)
+    return out.withColumns({x: F.round(x, 6) for x in (f"prop_{g}" for g in _GENE_GROUPS)})
 
 
 @query("""SELECT l_suppkey, count(*) AS genes, round(avg(b), 6) AS mean_breadth, round(stddev_samp(b), 6) AS sd_breadth, round(avg(CAST(b >= 0.5 AS INT)), 6) AS share_50, round(avg(CAST(b >= 0.8 AS INT)), 6) AS share_80, count(*) FILTER (b > 0) AS occupied,
@@ -89,9 +95,9 @@ def d24_hit_levels(spark, d):
     return coverage.hit_levels(table(spark, d, "part"), level, ["high", "mid", "low"])
 
 
-@query("""WITH o AS (SELECT DISTINCT l_suppkey, p_brand FROM (SELECT l_suppkey, p_brand, l_returnflag, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 46 GROUP BY 1, 2, 3) WHERE n = 1), h AS (SELECT l_suppkey, count(*) AS hallmarks FROM o GROUP BY 1) SELECT hallmarks, count(*) AS entities FROM h GROUP BY 1""")
+@query("""WITH o AS (SELECT DISTINCT l_suppkey, p_brand FROM (SELECT l_suppkey, p_brand, l_returnflag, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3) WHERE n = 1), h AS (SELECT l_suppkey, count(*) AS hallmarks FROM o GROUP BY 1) SELECT hallmarks, count(*) AS entities FROM h GROUP BY 1""")
 def d25_single_copy(spark, d):
-    return coverage.single_copy(_lines(spark, d).where("l_quantity > 46"), "l_suppkey", "p_brand", "l_returnflag").groupBy("hallmarks").agg(N().alias("entities"))
+    return coverage.single_copy(_lines(spark, d), "l_suppkey", "p_brand", "l_returnflag").groupBy("hallmarks").agg(N().alias("entities"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_discount > 0.07 AS INT) + CAST(l_tax > 0.06 AS INT) + CAST(l_returnflag = 'R' AS INT) AS signals FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, signals, CASE WHEN signals > 0 THEN 'temperate' ELSE 'virulent' END AS lifestyle FROM s""")
@@ -114,7 +120,7 @@ def d76_evidence_points(spark, d):
 
 def _sequences(spark, d):
     """Letters of documents as sequences over ACGT; every third one begins and ends alike."""
-    s = F.translate(F.regexp_replace(F.upper("text"), "[^A-Z]", ""), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+    s = F.translate(F.regexp_replace(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "[^A-Z]", ""), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
     return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.when(c("doc_id") % 3 == 0, F.concat("s", F.substring("s", 1, 40))).when(c("doc_id") % 3 == 1, F.concat("s", F.reverse(F.translate(F.substring("s", 1, 30), "ACGT", "TGCA")))).otherwise(c("s")).alias("s"))
 
 
@@ -123,6 +129,8 @@ def d69_terminal_repeats(spark, d):
     return coverage.terminal_repeats(_sequences(spark, d), "doc_id", "s").select("doc_id", "kind", F.length("repeat").alias("repeat_length"), F.round("top_base_pct", 6).alias("top_base_pct"), F.length("trimmed").alias("trimmed_length"))
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id, translate(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g'), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS s FROM documents),
+    q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN s || s[:40] WHEN doc_id % 3 = 1 THEN s || reverse(translate(s[:30], 'ACGT', 'TGCA')) ELSE s END AS s FROM r),
+    p AS (SELECT doc_id, s, least(100, length(s)) AS n, ('0x' || md5(concat_ws(':', doc_id, '1'))[:8])::BIGINT % (length(s) - least(100, length(s)) + 1) AS start FROM q WHERE length(s) > 0) SELECT doc_id, start, substr(s, start + 1, n) AS part FROM p""")
 def sp7_subsequences(spark, d):
     return coverage.subsequences(_sequences(spark, d), "doc_id", "s", F.lit(100))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
@@ -17,8 +18,11 @@ N = lambda: F.count(F.lit(1))
 
 
 def _place(spark) -> str:
-    """A new folder in the shared checkpoint folder, or a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the shared checkpoint folder; in local mode, as in tests, a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
@@ -44,8 +48,9 @@ def io3_io6_io7_headerless(spark, d):
 @query("""SELECT s_suppkey AS id, s_acctbal AS balance FROM supplier""")
 def io5_io23_preamble(spark, d):
     path = _place(spark)
-    body = table(spark, d, "supplier").orderBy("s_suppkey").agg(F.concat_ws("\n", F.collect_list(F.concat(c("s_suppkey").cast("string"), F.lit("\t"), c("s_acctbal").cast("string"))))).first()[0]
-    spark.createDataFrame([(f"tool 1.0\n# made today\nID\tBALANCE\n{body}",)], "value string").write.text(path)  # one row a supplier: a small reference file
+    line = F.concat(c("s_suppkey").cast("string"), F.lit("\t"), c("s_acctbal").cast("string"))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of each partition, which makes a file
+    table(spark, d, "supplier").select(F.when(first, F.concat(F.lit("tool 1.0\n# made today\nID\tBALANCE\n"), line)).otherwise(line).alias("value")).write.text(path)
     return tables.read_after_preamble(spark, path, "ID\t", "id long, balance double")
 
 
@@ -67,11 +72,11 @@ def io11_io13_io17_slim_copy(spark, d):
     return spark.read.parquet(f"{path}-sql")
 
 
-@query("""WITH x AS (SELECT p_brand, count(*) AS n FROM part WHERE p_size < 40 GROUP BY 1), r AS (SELECT n, count(*) AS clusters FROM x GROUP BY 1 UNION ALL SELECT 1, (SELECT count(*) FROM part WHERE p_size >= 40)) SELECT n AS members, CAST(sum(clusters) AS BIGINT) AS clusters FROM r GROUP BY 1""")
+@query("""WITH x AS (SELECT p_partkey // 8 AS k, count(*) AS n FROM part WHERE p_size < 40 GROUP BY 1), r AS (SELECT n, count(*) AS clusters FROM x GROUP BY 1 UNION ALL SELECT 1, (SELECT count(*) FROM part WHERE p_size >= 40)) SELECT n AS members, CAST(sum(clusters) AS BIGINT) AS clusters FROM r GROUP BY 1""")
 def io21_ud5_cluster_lines(spark, d):
     path = _place(spark)
-    part = table(spark, d, "part").select(c("p_partkey").cast("string").alias("entity"), "p_brand", "p_size")
-    part.where("p_size < 40").groupBy("p_brand").agg(F.concat_ws(" ", F.collect_list("entity")).alias("value")).select("value").write.text(path)
+    part = table(spark, d, "part").select(c("p_partkey").cast("string").alias("entity"), F.floor(c("p_partkey") / 8).alias("k"), "p_size")
+    part.where("p_size < 40").groupBy("k").agg(F.concat_ws(" ", F.collect_list("entity")).alias("value")).select("value").write.text(path)
     clusters = tables.read_clusters(spark, path, part)
     return clusters.groupBy("cluster_id").agg(N().alias("members")).groupBy("members").agg(N().alias("clusters"))
 
@@ -91,10 +96,14 @@ def io16_p5_optional(spark, d):
     return rows.join(notes, "item_id", "left").select("item_id", "n_chars", X.null_tokens("note").alias("note"))
 
 
-@query("""SELECT n_nationkey AS id, n_name AS name FROM nation""")
+@query("""SELECT CAST(s_suppkey AS INTEGER) AS id, s_name AS name FROM supplier""")
 def io20_xml(spark, d):
     path = _place(spark)
-    record = F.format_string("<rec><id>%d</id><name>%s</name></rec>", "n_nationkey", "n_name")
-    whole = F.concat(F.lit("<set>\n"), F.concat_ws("\n", F.collect_list(record)), F.lit("\n</set>"))
-    table(spark, d, "nation").agg(whole.alias("value")).write.text(path)  # nations are few
-    return tables.read_xml(spark, path, "rec", "id int, name string")
+    record = F.format_string("<rec><id>%d</id><name>%s</name></rec>", "s_suppkey", "s_name")
+    # a file for each thousand suppliers, with one root element
+    rows = table(spark, d, "supplier").select(F.floor(c("s_suppkey") / 1000).alias("part"), "s_suppkey", record.alias("rec"))
+    order = Window.partitionBy("part").orderBy("s_suppkey")
+    first, last = F.lag("rec").over(order).isNull(), F.lead("rec").over(order).isNull()
+    lines = rows.select("part", "s_suppkey", F.concat(F.when(first, "<set>\n").otherwise(""), c("rec"), F.when(last, "\n</set>").otherwise("")).alias("value"))
+    lines.sortWithinPartitions("part", "s_suppkey").drop("s_suppkey").write.partitionBy("part").text(path)
+    return tables.read_xml(spark, path, "rec", "id int, name string").select("id", "name")

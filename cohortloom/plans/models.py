@@ -30,14 +30,14 @@ FEATURES = ["chars", "words", "marks", "signs"]
 
 @query()
 def ml1_ml2_grouped_cross_validation(spark, d):
-    return ml.cross_validate(_examples(spark, d), FEATURES, "quality", "source", k=3, trees=10).select("doc_id", "fold", "score")
+    return ml.cross_validate(_examples(spark, d), FEATURES, "quality", "source").select("doc_id", "fold", "score")
 
 
 @query()
 def ml5_score_and_rollup(spark, d):
-    rows = _examples(spark, d)
-    model = ml.fit(rows, FEATURES, "quality", trees=10)
-    return ml.rollup(ml.score(rows, model, FEATURES), ["source"], "score", 0.5)
+    rows = ml.group_folds(_examples(spark, d), "source", 5)
+    model = ml.fit(rows.where("fold != 0"), FEATURES, "quality")
+    return ml.rollup(ml.score(rows.where("fold = 0"), model, FEATURES), ["source"], "score", 0.5)  # sources that the model has not seen
 
 
 _S = "s AS (SELECT l_returnflag, l_linestatus, floor(l_extendedprice / 100) / 1100 AS score, l_quantity > 25 AS t FROM lineitem)"
@@ -66,10 +66,10 @@ def ml4_threshold_for_precision(spark, d):
     return _round(ml.threshold_for(_scores(spark, d), "score", c("t"), 0.52), "threshold", "precision", "recall")
 
 
-@query("""WITH f AS (SELECT l_suppkey, max(CAST(l_linestatus = 'O' AND p_name LIKE '%ring%' AS INT)) AS o1, max(CAST(l_linestatus = 'F' AND p_name LIKE '%ring%' AS INT)) AS f1, max(CAST(l_linestatus = 'O' AND p_type LIKE '%PROMO%' AS INT)) AS o2, max(CAST(l_linestatus = 'F' AND p_type LIKE '%PROMO%' AS INT)) AS f2 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY 1)
+@query("""WITH f AS (SELECT l_suppkey, max(CAST(l_linestatus = 'O' AND p_name LIKE '%ring%' AS INT)) AS o1, max(CAST(l_linestatus = 'F' AND p_name LIKE '%ring%' AS INT)) AS f1, max(CAST(l_linestatus = 'O' AND p_type LIKE '%PROMO%' AS INT)) AS o2, max(CAST(l_linestatus = 'F' AND p_type LIKE '%PROMO%' AS INT)) AS f2 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
     SELECT l_suppkey, greatest(o1, f1) AS any_ring, greatest(o2, f2) AS any_promo, least(o1, f1) AS both_ring, least(o2, f2) AS both_promo FROM f""")
 def ml7_annotation_features(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 49").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).withColumn("product", F.concat_ws(" ", "p_name", "p_type"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).withColumn("product", F.concat_ws(" ", "p_name", "p_type"))
     return ml.annotation_features(rows, "l_suppkey", "product", {"ring": "ring", "promo": "PROMO"}, ["O", "F"], "l_linestatus")
 
 

@@ -24,21 +24,27 @@ def _tables(spark, d):
     return table(spark, d, "customer").join(big, "c_custkey", "left").groupBy("c_nationkey").agg(F.count_if(x & y).alias("n11"), F.count_if(x & ~y).alias("n10"), F.count_if(~x & y).alias("n01"), F.count_if(~x & ~y).alias("n00"))
 
 
-#: Factorials by sums of logarithms: p of every table with the same margins, then those at least as far out.
-_FISHER = """b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 150000), t AS (SELECT c_nationkey, count(*) FILTER (s AND g) AS n11, count(*) FILTER (s AND NOT g) AS n10, count(*) FILTER (NOT s AND g) AS n01, count(*) FILTER (NOT s AND NOT g) AS n00
-    FROM (SELECT c_nationkey, c_mktsegment = 'BUILDING' AS s, o_custkey IS NOT NULL AS g FROM customer LEFT JOIN b ON c_custkey = o_custkey) GROUP BY 1),
-    x AS (SELECT *, unnest(range(greatest(0, n11 + n01 - n01 - n00), least(n11 + n10, n11 + n01) + 1)) AS k FROM t),
-    l AS (SELECT *, lgamma(n11 + n10 + 1) - lgamma(k + 1) - lgamma(n11 + n10 - k + 1) + lgamma(n01 + n00 + 1) - lgamma(n11 + n01 - k + 1) - lgamma(n00 - n11 + k + 1) - lgamma(n11 + n10 + n01 + n00 + 1) + lgamma(n11 + n01 + 1) + lgamma(n10 + n00 + 1) AS lp FROM x),
-    h AS (SELECT *, max(CASE WHEN k = n11 THEN lp END) OVER (PARTITION BY c_nationkey) AS here FROM l),
-    f AS (SELECT c_nationkey, n11, n10, n01, n00, least(1, sum(exp(lp)) FILTER (k >= n11)) AS p_greater, least(1, sum(exp(lp)) FILTER (lp <= here + 1e-7)) AS p_two FROM h GROUP BY ALL)"""
+def fisher_sql(tab: str, keys: str) -> str:
+    """CTEs that end in fisher: the rows of tab (keys, n11, n10, n01, n00) with p_greater and p_two.
 
+    Factorials are logarithms of the gamma function: p of every table with the same margins, then those at least as far out.
+    """
+    return f"""margin AS (SELECT *, unnest(range(greatest(0, n11 - n00), least(n11 + n10, n11 + n01) + 1)) AS k FROM {tab}),
+    chance AS (SELECT *, lgamma(n11 + n10 + 1) - lgamma(k + 1) - lgamma(n11 + n10 - k + 1) + lgamma(n01 + n00 + 1) - lgamma(n11 + n01 - k + 1) - lgamma(n00 - n11 + k + 1) - lgamma(n11 + n10 + n01 + n00 + 1) + lgamma(n11 + n01 + 1) + lgamma(n10 + n00 + 1) AS lp FROM margin),
+    beside AS (SELECT *, max(CASE WHEN k = n11 THEN lp END) OVER (PARTITION BY {keys}) AS here FROM chance),
+    fisher AS (SELECT {keys}, n11, n10, n01, n00, least(1, sum(exp(lp)) FILTER (k >= n11)) AS p_greater, least(1, sum(exp(lp)) FILTER (lp <= here + 1e-7)) AS p_two FROM beside GROUP BY ALL)"""
 
-@query(f"WITH {_FISHER} SELECT c_nationkey, n11, n10, n01, n00, round(p_greater, 6) AS p_greater, round(p_two, 6) AS p_two, round(n11 * n00 * 1.0 / nullif(n10 * n01, 0), 6) AS odds_ratio FROM f")
+
+_FISHER = f"""b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 150000), t AS (SELECT c_nationkey, count(*) FILTER (s AND g) AS n11, count(*) FILTER (s AND NOT g) AS n10, count(*) FILTER (NOT s AND g) AS n01, count(*) FILTER (NOT s AND NOT g) AS n00
+    FROM (SELECT c_nationkey, c_mktsegment = 'BUILDING' AS s, o_custkey IS NOT NULL AS g FROM customer LEFT JOIN b ON c_custkey = o_custkey) GROUP BY 1), {fisher_sql("t", "c_nationkey")}"""
+
+
+@query(f"WITH {_FISHER} SELECT c_nationkey, n11, n10, n01, n00, round(p_greater, 6) AS p_greater, round(p_two, 6) AS p_two, round(n11 * n00 * 1.0 / nullif(n10 * n01, 0), 6) AS odds_ratio FROM fisher")
 def st1_fisher_exact(spark, d):
     return _rounded(stats.fisher_exact(_tables(spark, d), "n11", "n10", "n01", "n00"), "p_greater", "p_two", "odds_ratio")
 
 
-@query(f"""WITH {_FISHER}, r AS (SELECT c_nationkey, round(p_two, 9) AS p, row_number() OVER (ORDER BY round(p_two, 9), c_nationkey) AS rk, count(*) OVER () AS n FROM f)
+@query(f"""WITH {_FISHER}, r AS (SELECT c_nationkey, round(p_two, 9) AS p, row_number() OVER (ORDER BY round(p_two, 9), c_nationkey) AS rk, count(*) OVER () AS n FROM fisher)
     SELECT c_nationkey, round(least(1, min(p * n / rk) OVER (ORDER BY rk DESC)), 6) AS q, least(1, min(p * n / rk) OVER (ORDER BY rk DESC)) <= 0.3 AS reject FROM r""")
 def st2_bh_fdr(spark, d):
     rows = stats.fisher_exact(_tables(spark, d), "n11", "n10", "n01", "n00").withColumn("p_two", F.round("p_two", 9))
@@ -65,7 +71,7 @@ def st4_kruskal_wallis(spark, d):
 
 @query()
 def st5_wilcoxon(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 45").groupBy("l_suppkey", "l_partkey", "l_linestatus").agg(F.sum("l_quantity").alias("qty"))
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_linestatus").agg(F.sum("l_quantity").alias("qty"))
     return stats.wilcoxon(rows, ["l_suppkey"], "l_partkey", "l_linestatus", "qty", "O", "F")
 
 
@@ -101,22 +107,27 @@ def st10_st11_feature_effects(spark, d):
     return _rounded(out, "mean_a", "present_a", "mean_b", "present_b", "diff_mean", "diff_median", "d")
 
 
-@query()
+@query("""WITH g AS (SELECT l_suppkey AS s, l_quantity AS x, l_extendedprice AS y, CAST(x0 AS DOUBLE) AS x0, abs(l_quantity - x0) AS far, greatest(2, CAST(ceil(2.0 / 3 * count(*) OVER (PARTITION BY l_suppkey, x0)) AS BIGINT)) AS k, count(*) OVER (PARTITION BY l_suppkey, x0) AS n,
+        min(l_quantity) OVER (PARTITION BY l_suppkey, x0) AS lo, max(l_quantity) OVER (PARTITION BY l_suppkey, x0) AS hi, row_number() OVER (PARTITION BY l_suppkey, x0 ORDER BY abs(l_quantity - x0)) AS rn FROM lineitem, (SELECT unnest([5, 25, 45]) AS x0)),
+    h AS (SELECT *, greatest(max(CASE WHEN rn = k THEN far END) OVER (PARTITION BY s, x0), 1e-12) AS h FROM g WHERE n >= 3 AND x0 BETWEEN lo AND hi), c AS (SELECT *, pow(greatest(0, 1 - pow(far / h, 3)), 3) AS w0, CAST(far <= h AS INT) AS w1 FROM h),
+    w AS (SELECT *, CASE WHEN sum(w0) OVER (PARTITION BY s, x0) > 0 THEN w0 ELSE w1 END AS w FROM c), m AS (SELECT *, sum(w * x) OVER p / sum(w) OVER p AS mx, sum(w * y) OVER p / sum(w) OVER p AS my FROM w WINDOW p AS (PARTITION BY s, x0)),
+    v AS (SELECT s, x0, any_value(mx) AS mx, any_value(my) AS my, sum(w * (x - mx) * (x - mx)) AS var, sum(w * (x - mx) * (y - my)) AS cov FROM m GROUP BY 1, 2)
+    SELECT s AS l_suppkey, x0, round(my + CASE WHEN var > 1e-12 THEN cov / var ELSE 0 END * (x0 - mx), 4) AS fitted FROM v""")
 def st12_lowess(spark, d):
-    return stats.lowess(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", [5.0, 25.0, 45.0])
+    return _rounded(stats.lowess(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", [5.0, 25.0, 45.0]), "fitted", to=4)
 
 
-@query("""WITH x AS (SELECT p_brand AS a, p_type AS b, count(*) AS n FROM part WHERE p_size < 10 GROUP BY 1, 2), h AS (SELECT (SELECT ln(sum(n)) - sum(n * ln(n)) / sum(n) FROM x) AS ab, (SELECT ln(sum(m)) - sum(m * ln(m)) / sum(m) FROM (SELECT sum(n) AS m FROM x GROUP BY a)) AS ha, (SELECT ln(sum(m)) - sum(m * ln(m)) / sum(m) FROM (SELECT sum(n) AS m FROM x GROUP BY b)) AS hb),
+@query("""WITH x AS (SELECT p_brand AS a, p_type AS b, count(*) AS n FROM part GROUP BY 1, 2), h AS (SELECT (SELECT ln(sum(n)) - sum(n * ln(n)) / sum(n) FROM x) AS ab, (SELECT ln(sum(m)) - sum(m * ln(m)) / sum(m) FROM (SELECT sum(n) AS m FROM x GROUP BY a)) AS ha, (SELECT ln(sum(m)) - sum(m * ln(m)) / sum(m) FROM (SELECT sum(n) AS m FROM x GROUP BY b)) AS hb),
     v AS (SELECT 1 - (ab - hb) / ha AS hom, 1 - (ab - ha) / hb AS com FROM h) SELECT round(hom, 6) AS homogeneity, round(com, 6) AS completeness, round(2 * hom * com / (hom + com), 6) AS v_measure FROM v""")
 def st13_cluster_agreement(spark, d):
-    return _rounded(stats.cluster_agreement(table(spark, d, "part").where("p_size < 10"), "p_brand", "p_type"), "homogeneity", "completeness", "v_measure")
+    return _rounded(stats.cluster_agreement(table(spark, d, "part"), "p_brand", "p_type"), "homogeneity", "completeness", "v_measure")
 
 
-@query("""WITH x AS (SELECT DISTINCT p_name || p_size % 2 AS a, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_name || p_size % 2 END AS b FROM part WHERE p_partkey < 150), s AS (SELECT a, count(*) AS parts FROM x GROUP BY 1), m AS (SELECT b, count(*) AS joined FROM x GROUP BY 1), p AS (SELECT x.a, max(joined) AS joined, any_value(parts) AS parts FROM x JOIN m ON x.b = m.b JOIN s ON x.a = s.a GROUP BY 1),
+@query("""WITH x AS (SELECT DISTINCT p_name || p_size % 2 AS a, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_name || p_size % 2 END AS b FROM part), s AS (SELECT a, count(*) AS parts FROM x GROUP BY 1), m AS (SELECT b, count(*) AS joined FROM x GROUP BY 1), p AS (SELECT x.a, max(joined) AS joined, any_value(parts) AS parts FROM x JOIN m ON x.b = m.b JOIN s ON x.a = s.a GROUP BY 1),
     k AS (SELECT CASE WHEN parts > 1 AND joined > 1 THEN 'split_and_merged' WHEN parts > 1 THEN 'split' WHEN joined > 1 THEN 'merged' ELSE 'unchanged' END AS kind, count(*) AS n FROM p GROUP BY 1) SELECT kind, n, n / sum(n) OVER () AS share FROM k""")
 def st14_split_merge(spark, d):
     odd = F.concat("p_name", (c("p_size") % 2).cast("string"))
-    rows = table(spark, d, "part").where("p_partkey < 150").select(odd.alias("a"), F.when(c("p_size") % 3 == 0, c("p_name")).otherwise(odd).alias("b"))
+    rows = table(spark, d, "part").select(odd.alias("a"), F.when(c("p_size") % 3 == 0, c("p_name")).otherwise(odd).alias("b"))
     return stats.split_merge(rows, "a", "b")
 
 

@@ -73,7 +73,7 @@ def d40_merge_intervals(spark, d):
 def _alignments(spark, d):
     """Alignment lines: the supplier is the query, the part the target; a file for each supplier."""
     q0, span = c("l_linenumber") * 10, c("l_quantity").cast("long")
-    rows = table(spark, d, "lineitem").where("l_partkey < 60").select(
+    rows = table(spark, d, "lineitem").select(
         c("l_suppkey").alias("qname"), c("l_partkey").alias("tname"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("line"), (90 + 100 * c("l_discount")).alias("pid"), (span + 1).cast("double").alias("len"),
         q0.cast("long").alias("qstart"), (q0 + span).alias("qend"), span.alias("tstart"), (2 * span).alias("tend"), F.when(c("l_tax") > 0.07, 1.0).otherwise(1e-9).alias("evalue"), F.lit(100).cast("long").alias("qlen"), F.lit(120).cast("long").alias("tlen"),
     )
@@ -81,7 +81,7 @@ def _alignments(spark, d):
 
 
 _ALN = """SELECT l_suppkey AS qname, l_partkey AS tname, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey * 10 + l_linenumber, l_quantity, l_discount, l_tax > 0.07) AS line, 90 + 100 * l_discount AS pid, CAST(l_quantity + 1 AS DOUBLE) AS len, l_linenumber * 10 AS qstart,
-    CAST(l_linenumber * 10 + l_quantity AS BIGINT) AS qend, CAST(l_quantity AS BIGINT) AS tstart, CAST(2 * l_quantity AS BIGINT) AS tend, CASE WHEN l_tax > 0.07 THEN 1.0 ELSE 1e-9 END AS evalue FROM lineitem WHERE l_partkey < 60"""
+    CAST(l_linenumber * 10 + l_quantity AS BIGINT) AS qend, CAST(l_quantity AS BIGINT) AS tstart, CAST(2 * l_quantity AS BIGINT) AS tend, CASE WHEN l_tax > 0.07 THEN 1.0 ELSE 1e-9 END AS evalue FROM lineitem"""
 
 
 @query(f"""WITH a AS (SELECT *, qend - qstart + 1 AS span FROM ({_ALN}) WHERE evalue <= 1e-3), p AS (SELECT *, coalesce(sum(span) OVER (PARTITION BY qname, tname ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM a),
@@ -100,13 +100,13 @@ def d41_reciprocal_best_hits(spark, d):
     return intervals.reciprocal_best(e, ["s"], "a", "b", "f", "g")
 
 
-_PAIRS = """SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS query, CASE WHEN l_linenumber % 2 = 0 THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS reference, l_extendedprice AS score, l_discount AS qcov, l_tax AS rcov FROM lineitem WHERE l_partkey < 300"""
+_PAIRS = """SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'S' || l_suppkey ELSE 'P' || l_partkey END AS query, CASE WHEN l_linenumber % 2 = 0 THEN 'P' || l_partkey ELSE 'S' || l_suppkey END AS reference, l_extendedprice AS score, l_discount AS qcov, l_tax AS rcov FROM lineitem"""
 
 
 def _pairs(spark, d):
     s, p = F.concat(F.lit("S"), c("l_suppkey").cast("string")), F.concat(F.lit("P"), c("l_partkey").cast("string"))
     even = c("l_linenumber") % 2 == 0
-    return table(spark, d, "lineitem").where("l_partkey < 300").select(F.when(even, s).otherwise(p).alias("query"), F.when(even, p).otherwise(s).alias("reference"), c("l_extendedprice").alias("score"), c("l_discount").alias("qcov"), c("l_tax").alias("rcov"))
+    return table(spark, d, "lineitem").select(F.when(even, s).otherwise(p).alias("query"), F.when(even, p).otherwise(s).alias("reference"), c("l_extendedprice").alias("score"), c("l_discount").alias("qcov"), c("l_tax").alias("rcov"))
 
 
 @query(f"""WITH e AS ({_PAIRS}), u AS (SELECT * FROM e WHERE query LIKE 'S%' UNION ALL SELECT reference, query, score, rcov, qcov FROM e WHERE reference LIKE 'S%')
@@ -116,12 +116,13 @@ def d42_orient_edges(spark, d):
     return intervals.orient_edges(_pairs(spark, d), ids, "id", "score")
 
 
-@query("""WITH e AS (SELECT a.p_partkey AS query, b.p_partkey AS reference, abs(a.p_size - b.p_size) * 2 AS score, a.p_type = b.p_type AS parent, a.p_brand = b.p_brand AS child FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey WHERE a.p_partkey < 400 AND b.p_partkey < 400)
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS i FROM part), e AS (SELECT a.p_partkey AS query, b.p_partkey AS reference, abs(a.p_size - b.p_size) * 2 AS score, a.p_type = b.p_type AS parent, a.p_brand = b.p_brand AS child FROM n a JOIN n b ON a.p_name = b.p_name AND b.i BETWEEN a.i + 1 AND a.i + 6)
     SELECT query, reference, score, CAST(1 AS INT) AS level FROM e WHERE parent AND score >= 5.5 UNION ALL SELECT query, reference, score, 2 FROM e WHERE parent AND child AND score >= 32""")
 def d37_prune_edges(spark, d):
-    part = table(spark, d, "part").where("p_partkey < 400")
-    a, b = part.select("p_name", c("p_partkey").alias("query"), c("p_size").alias("sa")), part.select("p_name", c("p_partkey").alias("reference"), c("p_size").alias("sb"))
-    edges = a.join(b, "p_name").where("query < reference").select("query", "reference", (F.abs(c("sa") - c("sb")) * 2).alias("score"))
+    part = table(spark, d, "part")
+    following = Window.partitionBy("p_name").orderBy("p_partkey").rowsBetween(1, 6)  # edges to the next six of a name
+    near = part.withColumn("next", F.collect_list(F.struct(c("p_partkey").alias("k"), c("p_size").alias("s"))).over(following)).withColumn("n", F.explode("next"))
+    edges = near.select(c("p_partkey").alias("query"), c("n.k").alias("reference"), (F.abs(c("p_size") - c("n.s")) * 2).alias("score"))
     one = intervals.prune_edges(edges, part, "p_partkey", "p_type", "score", 5.5)
     two = intervals.prune_edges(one, part, "p_partkey", "p_brand", "score", 32)
     return one.withColumn("level", F.lit(1)).unionByName(two.withColumn("level", F.lit(2)))
