@@ -19,15 +19,13 @@ def ratio_cascade(entities: DataFrame, partners: DataFrame, sample: str, entity:
     entities: sample, entity (one row each), value and the partner's name at each rank; partners: sample, partner_value and
     their own names at each rank, the first rank being the partner itself. At the first rank the partner is
     present; at later ones exactly one partner of that name is in the sample. Out: rule (the rank) and ratio;
-    rows without a rule are left out. One left join a rank, to a table of one row for each sample and name.
+    rows without a rule are left out. Names of all ranks meet in one join, and the first of an entity's matches counts.
     """
-    out = entities
-    for i, rank in enumerate(ranks):
-        one = partners.where(F.col(rank).isNotNull()).groupBy(sample, rank).agg(F.count(F.lit(1)).alias("_n"), F.struct(F.max(partner_value).alias("v")).alias(f"_p{i}"))
-        out = out.join((one.where("_n = 1") if i else one).drop("_n"), [sample, rank], "left")
-    first = lambda values: F.coalesce(*(F.when(F.col(f"_p{i}").isNotNull(), v) for i, v in enumerate(values)))
-    found = first([F.col(f"_p{i}") for i in range(len(ranks))])
-    return out.select(sample, entity, first(map(F.lit, ranks)).alias("rule"), found.alias("_p"), value).where("rule IS NOT NULL").select(sample, entity, "rule", X.ratio(value, "_p.v").alias("ratio"))
+    named = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(r).cast("string").alias("name")) for i, r in enumerate(ranks)))).alias("_at")
+    flat = lambda df, *cols: df.select(sample, *cols, named).select(sample, *cols, F.col("_at.i").alias("_i"), F.col("_at.name").alias("_name")).where("_name IS NOT NULL")
+    ones = flat(partners, partner_value).groupBy(sample, "_i", "_name").agg(F.count(F.lit(1)).alias("_n"), F.max(partner_value).alias("_pv")).where("_i = 0 OR _n = 1").drop("_n")
+    found = flat(entities, entity, value).join(ones, [sample, "_i", "_name"]).groupBy(sample, entity).agg(F.min(F.struct("_i", F.col(value).alias("v"), "_pv")).alias("_f"))
+    return found.select(sample, entity, F.get(F.array(*map(F.lit, ranks)), F.col("_f._i")).alias("rule"), X.ratio("_f.v", "_f._pv").alias("ratio"))
 
 
 def closest_ratio(pairs: DataFrame, key: Sequence[str], partner: str, ratio: str) -> DataFrame:

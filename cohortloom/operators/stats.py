@@ -89,9 +89,12 @@ def wilcoxon(df: DataFrame, test: Sequence[str], pair: str, condition: str, valu
         plus, total = int(double[pdf["_d"].to_numpy() > 0].sum()), int(double.sum())
         ways = np.zeros(total + 1)
         ways[0] = 1.0
-        for r in double:
-            ways[r:] = ways[r:] + ways[: total + 1 - r] if r else 2 * ways
-            ways /= 2
+        reach = 0
+        for r in np.sort(double):  # sums so far go to reach, so small ranks first cost least
+            so_far = ways[: reach + 1].copy()
+            ways[r : r + reach + 1] += so_far
+            reach += r
+            ways[: reach + 1] /= 2
         ways /= ways.sum()
         w = min(plus, total - plus)
         return pd.DataFrame([(*pdf.iloc[0][list(test)], len(pdf), plus / 2, min(1.0, 2 * float(ways[: w + 1].sum())))], columns=[*test, "n", "w_plus", "p_value"])

@@ -62,9 +62,9 @@ def d54_prevalence_at(spark, d):
     return _round(cohort.prevalence_at(_lines(spark, d), n, "l_orderkey", "p_brand", "l_discount", [0, 0.05]), "share")
 
 
-@query("""WITH x AS (SELECT l_partkey, avg(CAST(l_returnflag = 'R' AS INT)) AS r FROM lineitem GROUP BY 1), k AS (SELECT CASE WHEN r = 0 THEN 'never' WHEN r = 1 THEN 'always' ELSE 'sometimes' END AS consistency FROM x) SELECT consistency, count(*) AS taxa, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY 1""")
+@query("""WITH x AS (SELECT avg(CAST(l_returnflag = 'R' AS INT)) AS r FROM lineitem GROUP BY l_partkey, l_suppkey), k AS (SELECT CASE WHEN r = 0 THEN 'never' WHEN r = 1 THEN 'always' ELSE 'sometimes' END AS consistency FROM x) SELECT consistency, count(*) AS taxa, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM k GROUP BY 1""")
 def d55_flag_consistency(spark, d):
-    per = cohort.flag_consistency(table(spark, d, "lineitem"), ["l_partkey"], c("l_returnflag") == "R")
+    per = cohort.flag_consistency(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], c("l_returnflag") == "R")
     counts = per.groupBy("consistency").agg(N().alias("taxa")).withColumn("all", F.lit(1))
     return _round(counts.withColumn("share", X.share("taxa", "all")).drop("all"), "share")
 

@@ -179,9 +179,9 @@ def d34_label_consistency(spark, d):
     return consensus.agreement_share(long, ["cluster_rank", "label_rank", "cid"], "label").withColumn("mean_share", F.round("mean_share", 6))
 
 
-@query("""SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING bool_and(l_returnflag = 'R')""")
+@query("""SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING bool_and(l_returnflag = 'R')""")
 def d35_one_source_clusters(spark, d):
-    return hierarchy.one_source_clusters(table(spark, d, "lineitem"), ["l_partkey"], c("l_returnflag") == "R")
+    return hierarchy.one_source_clusters(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], c("l_returnflag") == "R")
 
 
 @query("""WITH m AS (SELECT p_name AS cluster, p_partkey AS entity, p_retailprice AS len, p_size % 4 = 0 AS complete, p_size % 10 AS genes FROM part), s AS (SELECT cluster, median(len) AS mid, count(*) AS n, max(genes) AS g FROM m GROUP BY 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
@@ -132,3 +133,30 @@ def p14_p16_row_filters(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, CAST(coalesce(l_discount > 0.05, false) AS INT) + CAST(coalesce(l_tax > 0.04, false) AS INT) + CAST(CASE WHEN l_quantity > 10 THEN l_returnflag = 'R' ELSE false END AS INT) AS signals FROM lineitem""")
 def p17_signal_count(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.true_count(F.col("l_discount") > 0.05, F.col("l_tax") > 0.04, F.when(F.col("l_quantity") > 10, F.col("l_returnflag") == "R")).alias("signals"))
+
+
+@query("""SELECT p_partkey, CAST(list_sum(list_transform(string_split(CAST(p_partkey AS VARCHAR), ''), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS digits, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS kind, round(p_retailprice / p_size, 6) AS per_size FROM part""")
+def ud1_ud2_row_functions(spark, d):
+    """Row functions with declared types over Arrow batches: one value in and out, and structs in and out."""
+
+    @F.pandas_udf("long")
+    def digits(numbers: pd.Series) -> pd.Series:
+        return numbers.map(lambda n: sum(map(int, str(n))))
+
+    @F.pandas_udf("kind string, per_size double")
+    def measured(sizes: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"kind": (sizes["p_size"] > 25).map({True: "big", False: "small"}), "per_size": (sizes["p_retailprice"] / sizes["p_size"]).round(6)})
+
+    out = table(spark, d, "part").select("p_partkey", digits("p_partkey").alias("digits"), measured(F.struct("p_size", "p_retailprice")).alias("m"))
+    return out.select("p_partkey", "digits", "m.kind", "m.per_size")
+
+
+@query("""SELECT p_partkey // 100 AS shelf, count(*) AS n, max(p_size) - min(p_size) AS spread FROM part GROUP BY 1""")
+def ud3_group_function(spark, d):
+    """A Python function on each of many bounded groups."""
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shelf": pdf["shelf"][:1], "n": [len(pdf)], "spread": [int(pdf["p_size"].max() - pdf["p_size"].min())]})
+
+    rows = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 100).alias("shelf"), "p_size")
+    return rows.groupBy("shelf").applyInPandas(spread, "shelf long, n long, spread int")
