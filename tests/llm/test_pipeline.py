@@ -6,7 +6,7 @@ import corpus_pipeline
 from cohortloom.llm import decontam, lang_id
 from cohortloom.llm.common import read
 
-from .test_operators import brute_groups
+from .test_jaccard import brute_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +33,8 @@ def test_stages(spark):
 
     kept = stage["near_dedup"](spark, kept, SF)
     assert kept.columns == columns
-    want = {i: want[i] for i in {c for _, _, c in brute_groups(list(want.items()))}}
+    # five-word shingles and a similarity of 0.8 or more, all pairs by brute force
+    want = {i: want[i] for i in {c for _, c in brute_components(list(want.items()))}}
     assert {r["doc_id"] for r in kept.collect()} == set(want)
 
     kept = stage["decontamination"](spark, kept, SF)
