@@ -223,13 +223,13 @@ def host_column(url: str) -> Column:
 
 
 def without_copies(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest of the pages, without those whose host has the same html under a smaller page_id."""
-    wanted = pages.select("page_id", "url", "html", F.xxhash64(text_of("html")).alias("digest"))
-    keys = wanted.select("page_id", "digest", host_column("url").alias("host")).where("host IS NOT NULL")
-    first = cut(keys.groupBy("host", "digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    """page_id, url, html, digest of the pages; of those of a host with the same html, only one of the smallest page_id."""
+    wanted = pages.select("page_id", "url", "html", F.xxhash64(text_of("html")).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    keys = wanted.select("page_id", "digest", "row", host_column("url").alias("host")).where("host IS NOT NULL")
+    first = cut(keys.groupBy("host", "digest").agg(F.min(F.struct("page_id", "row")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("host", "digest", F.col("at.row").alias("first")))
     size = first.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0]
     joined = wanted.withColumn("host", host_column("url")).join(F.broadcast(first) if size <= BROADCAST_BYTES else first, ["host", "digest"], "left")
-    return joined.where("first IS NULL OR page_id = first").select("page_id", "url", "html", "digest")
+    return joined.where("first IS NULL OR row = first").select("page_id", "url", "html", "digest")
 
 
 def token_sums(pages: DataFrame) -> DataFrame:

@@ -108,3 +108,12 @@ def test_doubtful_names_inside_articles(spark):
 def test_a_class_out_of_order_is_not_used():
     t = template_extract.Template([("", ["/a", "/b"])], ["/b"])
     assert t.on(["/a", "/b"], []) == {"/a", "/b"} and not t.on(["/b", "/a"], []) and not t.on(["/a", "/b", "/b"], []) and not t.on(["/a"], [])
+
+
+def test_repeated_rows_count_once(spark):
+    """A page that is repeated very often under one page_id does not make its own text template."""
+    rows = [(7, "https://rep.example/7", PAGE.format("again"))] * 30 + [(i, f"https://rep.example/{i}", PAGE.format(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert [(r["host"], r["n_pages"]) for r in template_extract.templates(df).collect()] == [("rep.example", 4)]
+    got = template_extract.extract(df).collect()
+    assert len(got) == 33 and {(r["page_id"], r["text"]) for r in got} == {(7, "Own words again"), *((i, f"Own words {i}") for i in range(3))}
