@@ -19,9 +19,16 @@ def islands(df: DataFrame, axis: Sequence[str], start: str = "start", stop: str
     return numbered.groupBy(*axis, "_island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("_island")
 
 
+def measured(df: DataFrame, axis: Sequence[str], start: str = "start", stop: str = "stop") -> DataFrame:
+    """Adds _add, the positions that an interval covers and none before it on its axis does, and _new, 1 if it touches none before it."""
+    before = F.max(stop).over(Window.partitionBy(*axis).orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1))
+    add = F.greatest(F.lit(0), F.col(stop) - F.greatest(F.col(start) - 1, F.coalesce("_before", F.col(start) - 1)))
+    return df.withColumn("_before", before).withColumns({"_add": add, "_new": F.coalesce((F.col(start) > F.col("_before") + 1).cast("int"), F.lit(1))}).drop("_before")
+
+
 def covered(df: DataFrame, axis: Sequence[str], start: str = "start", stop: str = "stop") -> DataFrame:
-    """Covered positions and islands of each axis."""
-    return islands(df, axis, start, stop).groupBy(*axis).agg(F.sum(F.col(stop) - F.col(start) + 1).alias("covered"), F.count(F.lit(1)).alias("islands"))
+    """Covered positions and islands of each axis, in one window."""
+    return measured(df, axis, start, stop).groupBy(*axis).agg(F.sum("_add").alias("covered"), F.sum("_new").alias("islands"))
 
 
 def alignment_summary(rows: DataFrame, line: str = "line", max_evalue: float = 1e-3, min_length: int = 0, overrun: float = 1.10, groups: Sequence[str] = ()) -> DataFrame:
@@ -45,11 +52,17 @@ def alignment_summary(rows: DataFrame, line: str = "line", max_evalue: float = 1
     prior = F.coalesce(F.sum("span").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stops = (prior >= F.col("qlen")) | (prior + F.col("span") >= overrun * F.col("qlen"))
     kept = usable.withColumn("_stop", stops.cast("int")).withColumn("_ended", F.max("_stop").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("_ended = 0")
-    stats = kept.groupBy(*key, "qname", "tname").agg(F.count(F.lit(1)).alias("num_alns"), F.round(F.try_divide(F.sum(F.col("pid") * F.col("len")), F.sum("len")), 2).alias("pid"), F.first("qlen").alias("qlen"), F.first("tlen").alias("tlen"))
-    q = covered(kept.select(*key, F.col("qstart").alias("start"), F.col("qend").alias("stop")), key).select(*key, F.col("covered").alias("_q"))
-    t = covered(kept.select(*key, F.least("tstart", "tend").alias("start"), F.greatest("tstart", "tend").alias("stop")), key).select(*key, F.col("covered").alias("_t"))
+    # both sides' intervals by the same windows; everything stays where the runs are
+    side = lambda name, start, stop: F.struct(F.lit(name).alias("side"), start.alias("start"), stop.alias("stop"))
+    sides = F.array(side("q", F.col("qstart"), F.col("qend")), side("t", F.least("tstart", "tend"), F.greatest("tstart", "tend")))
+    long = kept.select(*key, "qname", "tname", "pid", "len", "qlen", "tlen", F.inline(sides))
+    query = F.col("side") == "q"
+    out = measured(long, [*key, "side"]).groupBy(*key, "qname", "tname").agg(
+        F.count_if(query).alias("num_alns"), F.round(F.try_divide(F.sum(F.when(query, F.col("pid") * F.col("len"))), F.sum(F.when(query, F.col("len")))), 2).alias("pid"), F.first("qlen").alias("qlen"), F.first("tlen").alias("tlen"),
+        F.sum(F.when(query, F.col("_add"))).alias("_q"), F.sum(F.when(~query, F.col("_add"))).alias("_t"),
+    )
     pct = lambda n, m: F.round(100.0 * F.col(n) / F.col(m), 2)
-    return stats.join(q, key).join(t, key).select(*by, "block", "qname", "tname", "num_alns", "pid", pct("_q", "qlen").alias("qcov"), pct("_t", "tlen").alias("tcov"))
+    return out.select(*by, "block", "qname", "tname", "num_alns", "pid", pct("_q", "qlen").alias("qcov"), pct("_t", "tlen").alias("tcov"))
 
 
 def reciprocal_best(edges: DataFrame, by: Sequence[str], a: str, b: str, forward: str, backward: str) -> DataFrame:
