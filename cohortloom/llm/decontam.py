@@ -27,7 +27,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, as_batch, blocks, cut, filled
+from .common import BLOCK_BYTES, as_batch, blocks, cut, filled, tidy
 
 #: Edits allowed as a share of the item's characters; items of fewer characters must occur exactly.
 ERROR_RATE, EXACT = 0.08, 16
@@ -194,7 +194,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, te
                 rows = [(d, matcher.items[n][0], got, errors) for d, t in zip(b.column("doc_id").to_pylist(), filled(b.column(text)).to_pylist(), strict=True) for n, got, errors in matcher.find(normal(t))]
                 yield as_batch(HITS, *(list(c) for c in zip(*rows, strict=True))) if rows else as_batch(HITS, [], [], [], [])
 
-        parts.append(docs.select("doc_id", text).mapInArrow(find, HIT))
+        parts.append(docs.select("doc_id", text).mapInArrow(tidy(find), HIT))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HIT)
 
 
@@ -209,5 +209,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, t
             for b in blocks(batches, text, BLOCK_BYTES // 2):
                 yield b.filter(pa.array([not matcher.find(normal(t)) for t in filled(b.column(text)).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(clean, docs.schema)
+        out = out.mapInArrow(tidy(clean), docs.schema)
     return out

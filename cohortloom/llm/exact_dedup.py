@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, filled, fresh
+from .common import blocks, cut, filled, fresh, tidy
 
 #: Distinct digests that a bucket holds on average.
 BUCKET_DIGESTS = 4096
@@ -54,7 +54,7 @@ def with_digest(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
             raw = filled(b.column(text)).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest_text(x.as_py()) for x in raw], pa.binary())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(add, schema)
+    return docs.mapInArrow(tidy(add), schema)
 
 
 def words_of(digests: bytes) -> np.ndarray:

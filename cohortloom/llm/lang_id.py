@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, blocks, filled
+from .common import as_batch, blocks, filled, tidy
 
 WINDOW, HIDDEN = 64, 10
 #: The bounded training sample: documents a language, and windows of each.
@@ -326,7 +326,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             labels, score, _ = predict_texts(model, filled(b.column(text)).to_pylist(), reader)
             yield as_batch(PREDICTED, b.column("doc_id").cast(pa.int64()), labels, score)
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", text).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, most_none: float = MOST_NONE, text: str = "text") -> DataFrame:
@@ -338,7 +338,7 @@ def keep_identified(docs: DataFrame, model: Model, most_none: float = MOST_NONE,
             labels, _, none = predict_texts(model, filled(b.column(text)).to_pylist(), reader)
             yield b.filter(pa.array([x != "und" and p < most_none for x, p in zip(labels, none, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

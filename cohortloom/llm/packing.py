@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import as_batch, blocks, filled
+from .common import as_batch, blocks, filled, tidy
 from .pieces import Pieces, split_chunks
 
 #: Tokens that a task packs at once.
@@ -154,4 +154,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end: int =
             full, left = pack(np.array([len(h[1]) for h in held]), capacity, linear, quad)
             yield rows(full + powers(left))
 
-    return docs.select("doc_id", text).mapInArrow(run, PIECE_DDL)
+    return docs.select("doc_id", text).mapInArrow(tidy(run), PIECE_DDL)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Chunks made of these characters alone are normalised here; all others go through the library's whole pipeline.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The pre-tokens of word_bpe_49k in lower-cased text of the characters above.

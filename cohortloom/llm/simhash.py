@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, blocks, cut, filled, text_of
+from .common import as_batch, blocks, cut, filled, text_of, tidy
 from .components import components, labelled, with_labels, without_repeats
 
 BITS, SEED = 64, 42
@@ -94,7 +94,7 @@ def fingerprint(docs: DataFrame, width: int = 4, text: str = "text") -> DataFram
             flat = np.fromiter((h for x in each for h in x), np.uint64, int(counts.sum()))
             yield as_batch(PRINT, b.column("doc_id").cast(pa.int64()), b.column("_hash"), fingerprints(flat, counts).view(np.int64))
 
-    return docs.select("doc_id", text, text_hash(text).alias("_hash")).mapInArrow(run, "doc_id long, hash long, fp long")
+    return docs.select("doc_id", text, text_hash(text).alias("_hash")).mapInArrow(tidy(run), "doc_id long, hash long, fp long")
 
 
 def ball(half: int) -> np.ndarray:
@@ -199,7 +199,7 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
                 p, k, w, g, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int64()), pa.array(w, pa.int32()), pa.array(n, pa.int32()), pa.array(g, pa.binary())], names=["part", "block", "width", "n", "gaps"])
 
-    asked = kept.select("block", "fps").repartition(spread).mapInArrow(send, SENT).groupBy("part").applyInPandas(twice, ASKED)
+    asked = kept.select("block", "fps").repartition(spread).mapInArrow(tidy(send), SENT).groupBy("part").applyInPandas(twice, ASKED)
     asked = asked.groupBy("block").agg(F.collect_list(F.struct("part", "places")).alias("asked"))  # bounded by the words of a block
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
                 # least is null for the rows that go on to meet other blocks
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([word[first], np.zeros(len(inside), np.int64)])), pa.array(np.concatenate([fp[first], inside[:, 1]])), pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(inside[:, 0], pa.int64())])], names=["word", "fp", "least"])
 
-    met = cut(kept.select("block", "fps").join(asked, "block").select("fps", "asked").mapInArrow(meet, MET))
+    met = cut(kept.select("block", "fps").join(asked, "block").select("fps", "asked").mapInArrow(tidy(meet), MET))
     # a word has one row a block at most
     across = met.where("least IS NULL").withColumn("least", F.min("fp").over(Window.partitionBy("word"))).where("fp != least")
     both = met.where("least IS NOT NULL").unionByName(across)
