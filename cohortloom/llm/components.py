@@ -5,7 +5,7 @@ checkpoint folder. Nothing but two numbers a round reaches the driver.
 
 A node with very many edges is summed map-side, and its edges meet their new
 end in a plain join of two exchanges, which Spark can split where a key has too
-many rows: the aggregate's own partitioning is not reused there (see apart).
+many rows: the aggregate's own partitioning is not reused there (see met).
 """
 
 from __future__ import annotations
@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def apart(key: str) -> Column:
-    """The key as an expression of its own, so that a join on it deals its rows anew and can split them."""
-    return (F.col(key) + F.lit(0).cast("long")).alias("_key")
+def met(rows: DataFrame, key: str, ends: DataFrame) -> DataFrame:
+    """rows joined with ends (_key and more) on their key column, and on a hash of it.
+
+    With the hash both sides are dealt anew, whatever partitioning they have, so Spark can split a key with too many rows.
+    """
+    marked = ends.withColumn("_mark", F.xxhash64("_key"))
+    return rows.join(marked, (F.col(key) == F.col("_key")) & (F.xxhash64(key) == F.col("_mark"))).drop("_key", "_mark")
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,8 +30,8 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     Small: each node and its smaller neighbours go to the least of them."""
     around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = around.groupBy("u").agg(F.min("v").alias("m"))
-    ends = least.select(apart("u"), F.least("u", "m").alias("m") if large else "m")
-    joined = (around.where("v > u") if large else around).join(ends, F.col("u") == F.col("_key")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    ends = least.select(F.col("u").alias("_key"), F.least("u", "m").alias("m") if large else "m")
+    joined = met(around.where("v > u") if large else around, "u", ends).select(F.col("v").alias("u"), F.col("m").alias("v"))
     moved = joined if large else joined.where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
     return moved.distinct()
 
@@ -53,15 +57,15 @@ def labelled(members: DataFrame, root: DataFrame) -> DataFrame:
     own = cut(members.groupBy("node").agg(F.min("doc_id").alias("least")))
     linked = cut(own.join(root, "node"))
     top = linked.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", F.col("node").alias("winner"))).alias("top"))
-    top = top.select(apart("root"), "top.least", "top.winner").withColumnRenamed("least", "component_id")
-    found = linked.join(top, F.col("root") == F.col("_key")).select(F.col("node").alias("_node"), "component_id", "winner")
+    top = top.select(F.col("root").alias("_key"), F.col("top.least").alias("component_id"), "top.winner")
+    found = met(linked, "root", top).select(F.col("node").alias("_node"), "component_id", "winner")
     both = own.join(found, F.col("node") == F.col("_node"), "left")
     return both.select("node", F.when(F.col("_node").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("winner", "node").alias("winner"))
 
 
 def with_labels(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
-    """rows with component_id and winner of the node in column key. A node that very many rows have is split by Spark (see apart)."""
-    return rows.join(labels.select(apart("node"), "component_id", "winner"), F.col(key) == F.col("_key")).drop("_key")
+    """rows with component_id and winner of the node in column key."""
+    return met(rows, key, labels.withColumnRenamed("node", "_key"))
 
 
 def without_repeats(docs: DataFrame, groups: DataFrame, text_hash: Column) -> DataFrame:
