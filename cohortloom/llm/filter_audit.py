@@ -46,7 +46,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame, part: str = "lang", text: st
     """part, mask, docs, good, toxic: how many documents of a part have a mask, and how many of them are labelled good or toxic.
 
     docs: doc_id, part and text; labels: doc_id, quality, toxic (an id that is labelled more than once is good or toxic if any
-    of its labels says so; ids without a label are neither). The result has 32 rows a part at most.
+    of its labels says so; ids without a label, and rows without doc_id, are neither). The result has 32 rows a part at most.
     """
     salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(SPREAD))).otherwise(-1)
     rows = docs.select("doc_id", F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), text_mask(text_of(text)).alias("mask"), F.unhex(F.sha2(text_of(text), 256)).alias("digest")).withColumn("salt", salt)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontam, exact_dedup, filter_audit, lang_id, packing, secrets, sharding, simhash, spelling, template_extract, token_counts
+from . import chat_tree, decontam, exact_dedup, filter_audit, lang_id, ngram_join, packing, secrets, sharding, simhash, spelling, template_extract, token_counts
 from .common import read
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -74,9 +74,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.mask_counts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_tree, op2_exact_dedup, op3_packing, op4_template_extract, op5_decontam, op6_token_counts, op7_lang_id, op8_simhash, op9_sharding, op10_secrets, op11_spelling, op12_filter_audit)
+    for f in (op1_chat_tree, op2_exact_dedup, op3_packing, op4_template_extract, op5_decontam, op6_token_counts, op7_lang_id, op8_simhash, op9_sharding, op10_secrets, op11_spelling, op12_filter_audit, op13_ngram_join)
 }
 
 #: Escapes add one character for each of these in a role or text.
@@ -171,4 +175,17 @@ ORACLES = {
         SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
                good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
         FROM summed""",
+    "op13_ngram_join": f"""
+        WITH RECURSIVE said AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                              ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+            FROM said),
+        grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, b) AS (SELECT a, b FROM ends UNION SELECT r.a, l.b FROM reach r JOIN ends l ON l.a = r.b)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = doc_id), doc_id)) AS component_id FROM sets""",
 }

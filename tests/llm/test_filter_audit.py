@@ -23,7 +23,7 @@ def fails(rows):
 
 def brute(rows, labels):
     failed, out = fails(rows), []
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, x in labels if x == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, x in labels if x == 1 and i is not None}
     for part in {r[2] or "" for r in rows}:
         own = [(r[0], f) for r, f in zip(rows, failed, strict=True) if (r[2] or "") == part]
         for order in permutations(range(5)):
