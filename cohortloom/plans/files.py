@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
 from cohortloom.sources import tables
+from cohortloom.sources.sqlite import read_sqlite, write_sqlite
+from cohortloom.sources.workbook import read_sheet, write_sheet
 
 from .registry import query, table
 
@@ -20,7 +22,7 @@ N = lambda: F.count(F.lit(1))
 def _place(spark) -> str:
     """A new folder in the shared checkpoint folder; in local mode, as in tests, a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
@@ -107,3 +109,40 @@ def io20_xml(spark, d):
     lines = rows.select("part", "s_suppkey", F.concat(F.when(first, "<set>\n").otherwise(""), c("rec"), F.when(last, "\n</set>").otherwise("")).alias("value"))
     lines.sortWithinPartitions("part", "s_suppkey").drop("s_suppkey").write.partitionBy("part").text(path)
     return tables.read_xml(spark, path, "rec", "id int, name string").select("id", "name")
+
+
+@query("""SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderkey) AS first_key, count(CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 1 END) AS urgent FROM orders WHERE o_totalprice >= 150000 AND o_orderstatus IN ('O', 'F') GROUP BY 1""")
+def io18_sqlite(spark, d):
+    path = _place(spark)
+    write_sqlite(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), path, "orders")
+    # both filters reach the files' SELECT statements, which run over ranges of row ids
+    rows = read_sqlite(spark, path, "orders").where((c("o_totalprice") >= 150000.0) & c("o_orderstatus").isin("O", "F"))
+    return rows.groupBy(c("o_orderstatus").alias("status")).agg(N().alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderkey").alias("first_key"), F.count_if(c("o_orderpriority").contains("URGENT")).alias("urgent"))
+
+
+@query("""SELECT n_name AS nation, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1""")
+def io18_sqlite_query(spark, d):
+    path = _place(spark)
+    write_sqlite(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), path, "customer")
+    rows = read_sqlite(spark, path, query="SELECT c_nationkey AS nation, count(*) AS n, sum(c_acctbal) AS balance FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+    names = table(spark, d, "nation").select(c("n_nationkey").cast("long").alias("nation"), "n_name")
+    return rows.join(names, "nation").groupBy(c("n_name").alias("nation")).agg(F.sum("n").alias("customers"), F.round(F.sum("balance"), 2).alias("balance"))
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, s_acctbal > 0 AS owed, NULL::VARCHAR AS note FROM supplier""")
+def io19_workbook(spark, d):
+    path = _place(spark)
+    rows = table(spark, d, "supplier").select(c("s_suppkey").alias("key"), c("s_name").alias("name"), c("s_acctbal").alias("balance"), (c("s_acctbal") > 0).alias("owed"))
+    write_sheet(rows, path, "suppliers", title="Suppliers & balances")
+    sheet = read_sheet(spark, path, "supp*", header=1, schema="key long, name string, balance double, owed boolean, note string")
+    return sheet.withColumnRenamed("key", "id")
+
+
+@query("""SELECT count(*) AS columns, string_agg(column_name, ',' ORDER BY column_index) AS names, (SELECT count(*) FROM region) AS n FROM duckdb_columns() WHERE table_name = 'region'""")
+def io9_header_probe(spark, d):
+    path = _place(spark)
+    tables.write_delim(table(spark, d, "region"), path)
+    names = tables.columns_of(spark, path)
+    # the probe's names are the schema of the read that follows
+    rows = tables.read_delim(spark, path, ", ".join(f"{n} string" for n in names))
+    return rows.agg(F.lit(len(names)).cast("long").alias("columns"), F.lit(",".join(names)).alias("names"), N().alias("n"))

@@ -92,14 +92,6 @@ def read_database(spark: SparkSession, url: str, sql: str, driver: str | None =
     return (reader.option("driver", driver) if driver else reader).load()
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str, header: int = 0, schema: str | None = None) -> DataFrame:
-    """A small reference sheet of a workbook, as a lookup table; needs a workbook library on the driver."""
-    import pandas as pd
-
-    pdf = pd.read_excel(path, sheet_name=sheet, header=header)
-    return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), schema) if schema else spark.createDataFrame(pdf)
-
-
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
