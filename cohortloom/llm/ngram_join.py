@@ -48,8 +48,8 @@ BITS, BYTES = 48, 6
 BLOCK_BYTES, PART, SPARE = 4 << 20, 2_000_000, 9
 #: Documents that all others of a list are compared with first; up to FEW documents, one of them.
 STARS, FEW = 4, 8
-#: Documents and bytes of sets in a block of a list.
-BLOCK_DOCS, BLOCK_SET_BYTES = 8192, 32 << 20
+#: Documents and bytes of sets in a block of a list; documents in a task where few of a list are outside of its largest component.
+BLOCK_DOCS, BLOCK_SET_BYTES, SPREAD_DOCS = 8192, 32 << 20, 512
 #: Bits of a parity sketch for each n-gram of a typical set of a list, and the most of a sketch.
 FINE, SKETCH_BITS = 4, 1 << 15
 BLOCK = "ids binary, none binary, hashes binary, prints binary, digests binary, distinct binary, sizes binary, grams binary"
@@ -297,7 +297,9 @@ def product_blocks(apart: DataFrame, sets: DataFrame, similarity: tuple[int, int
     parts = lambda docs, grams: F.greatest(F.lit(1), F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(grams) * BYTES / BLOCK_SET_BYTES)).cast("int")
     # blocks of rows have documents outside of the largest component only
     movers = weight.join(lists.select("h", F.col("top.root").alias("main")), "h").where("root != main").groupBy("h").agg(F.sum("docs").alias("moving"), F.sum("grams").alias("moving_grams"))
-    shape = lists.join(movers, "h").select(F.col("h").alias("_key"), F.col("top.root").alias("main"), parts("moving", "moving_grams").alias("high"), parts("docs", "grams").alias("wide"))
+    # where few move, they meet the others in more tasks; that sends twice the list's rows at most
+    spread = F.least(F.ceil(F.col("docs") / SPREAD_DOCS), F.floor(F.col("docs") / F.col("moving"))).cast("int")
+    shape = lists.join(movers, "h").select(F.col("h").alias("_key"), F.col("top.root").alias("main"), parts("moving", "moving_grams").alias("high"), F.greatest(parts("docs", "grams"), spread).alias("wide"))
     rows = met(apart.select("h", "node", "root"), "h", shape)
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     column = rows.select("h", "node", "root", "main", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), spot("wide").alias("j"), F.lit(False).alias("row"))
@@ -314,19 +316,23 @@ def product_blocks(apart: DataFrame, sets: DataFrame, similarity: tuple[int, int
     return dealt.join(sets, "node").groupBy("h", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
 
 
-def links(found: DataFrame, similarity: tuple[int, int], seeds: DataFrame | None = None) -> DataFrame:
-    """(a, b): links between nodes of found (FOUND) whose closure is that of all similar pairs. seeds: pairs (a, b) that may be similar, to be compared first."""
-    sets = found.where("grams IS NOT NULL").select("node", "grams").dropDuplicates(["node"])
+def entry_lists(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The product's lists: (h, node, n, g) for each document of a list, and (_key, g, star_0 ...) for each list h. g: documents of the list."""
     shared = found.where("keys IS NOT NULL").select("node", "n", F.explode("keys").alias("h"))
-    linked = cut(verified(seeds, sets, similarity)) if seeds is not None else None
-
-    # sums over a set of nodes would count copies in other blocks again, so rows are made distinct first
+    # copies in other blocks must not count again in what is summed over nodes
     shared = shared.groupBy("h", "node").agg(F.first("n").alias("n"))
     stars = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("at"), "node", "n")).alias(f"star_{k}") for k in range(STARS)]
     lists = shared.groupBy("h").agg(F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(STARS))).alias("y"), *stars).where("g > 1")
     # lists of the same documents: one stays, and stars are the same
     lists = cut(lists.groupBy("g", "x", "y").agg(F.min("h").alias("_key"), *(F.first(f"star_{k}").alias(f"star_{k}") for k in range(STARS))).drop("x", "y"))
-    both = cut(met(shared, "h", lists.select("_key", "g")))
+    return cut(met(shared, "h", lists.select("_key", "g"))), lists
+
+
+def links(found: DataFrame, similarity: tuple[int, int], seeds: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between nodes of found (FOUND) whose closure is that of all similar pairs. seeds: pairs (a, b) that may be similar, to be compared first."""
+    sets = found.where("grams IS NOT NULL").select("node", "grams").dropDuplicates(["node"])
+    linked = cut(verified(seeds, sets, similarity)) if seeds is not None else None
+    both, lists = entry_lists(found)
     at = both.join(lists.select(F.col("_key").alias("h"), F.when(F.col("g") <= FEW, F.array("star_0")).otherwise(F.array(*(f"star_{k}" for k in range(STARS)))).alias("stars")), "h")
     star = at.select("node", "n", F.explode("stars").alias("star")).where((F.col("star.node") != F.col("node")) & could_link(F.col("star.n"), F.col("n"), similarity))
     star = star.select(F.least("node", "star.node").alias("a"), F.greatest("node", "star.node").alias("b")).distinct()
