@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
 
-from . import pick, shape
+from . import order, pick, shape
 
 
 def abundance_by_site(df: DataFrame, site: str, taxon: str, entity: str) -> DataFrame:
@@ -19,7 +19,8 @@ def abundance_by_site(df: DataFrame, site: str, taxon: str, entity: str) -> Data
 
 def length_variation(df: DataFrame, cluster: Sequence[str], length: str, least: int = 2) -> DataFrame:
     """(max - min) / median in per cent, of clusters with least members or more."""
-    out = df.groupBy(*cluster).agg(F.count(F.lit(1)).alias("n"), F.median(length).alias("mid"), (F.max(length) - F.min(length)).alias("_w"))
+    counts = order.running_counts(order.count_values(df, cluster, length), cluster, length)
+    out = counts.groupBy(*cluster).agg(F.sum("_n").alias("n"), order.quantile_of(length, 0.5).alias("mid"), (F.max(length) - F.min(length)).alias("_w"))
     return out.where(F.col("n") >= least).select(*cluster, "n", "mid", X.ratio(100.0 * F.col("_w"), "mid").alias("variation_pct"))
 
 
@@ -33,8 +34,9 @@ def length_outliers(df: DataFrame, cluster: Sequence[str], length: str, bands: S
 
 def taxon_summary(long: DataFrame, value: str, cuts: Sequence[float] = (2, 3, 5), least: int = 1, high_share: float = 0.5) -> DataFrame:
     """For (rank, taxon): n, median, upper quartile, share at each cut, a consistently-high flag. long comes from rank_ladder."""
-    over = [F.avg((F.col(value) >= x).cast("int")).alias(f"share_{x:g}") for x in cuts]
-    out = long.groupBy("rank", "taxon").agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.percentile(value, 0.75).alias("q75"), *over)
+    counts = order.running_counts(order.count_values(long, ["rank", "taxon"], value), ["rank", "taxon"], value)
+    share = lambda x: F.try_divide(F.sum(F.when(F.col(value) >= x, F.col("_n")).otherwise(0)), F.max("_total"))
+    out = counts.groupBy("rank", "taxon").agg(F.sum("_n").alias("n"), order.quantile_of(value, 0.5).alias("median"), order.quantile_of(value, 0.75).alias("q75"), *(share(x).alias(f"share_{x:g}") for x in cuts))
     return out.where(F.col("n") >= least).withColumn("consistently_high", F.col(f"share_{cuts[0]:g}") >= high_share)
 
 

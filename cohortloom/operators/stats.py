@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
 from cohortloom.functions import tests
+from cohortloom.functions.store import kept
 
-from . import shape
+from . import order, shape
 
 
 def fisher_exact(df: DataFrame, n11: str, n10: str, n01: str, n00: str) -> DataFrame:
@@ -32,15 +33,14 @@ def bh_fdr(df: DataFrame, p: str, family: Sequence[str], level: float = 0.05, ti
 def rank_sums(df: DataFrame, test: Sequence[str], group: str, value: str) -> tuple[DataFrame, DataFrame]:
     """Per (test, group): n and the sum of average ranks; per test: N and the tie term sum(t^3 - t).
 
-    Values are counted first, so ranks are running counts over a test's distinct values instead of its rows.
+    Values are counted first, so ranks are running counts over a test's distinct values, in blocks where these are many (see order).
     """
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    counts = rows.groupBy(*test, group, value).agg(F.count(F.lit(1)).alias("_n"))
-    ties = counts.groupBy(*test, value).agg(F.sum("_n").cast("double").alias("_t"))
-    upto = F.sum("_t").over(Window.partitionBy(*test).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = ties.withColumn("_r", upto - (F.col("_t") - 1) / 2)
-    sums = counts.join(ranks, [*test, value]).groupBy(*test, group).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_r")).alias("rank_sum"))
-    totals = ties.groupBy(*test).agg(F.sum("_t").alias("total"), F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("tie_term"))
+    counts = kept(order.count_values(rows, [*test, group], value))
+    ranks = order.running_counts(counts.groupBy(*test, value).agg(F.sum("_n").alias("_n")), test, value)
+    t = F.col("_n").cast("double")
+    sums = counts.join(ranks.select(*test, value, order.mean_rank().alias("_r")), [*test, value]).groupBy(*test, group).agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_r")).alias("rank_sum"))
+    totals = ranks.groupBy(*test).agg(F.sum(t).alias("total"), F.sum(t * t * t - t).alias("tie_term"))
     return sums, totals
 
 
@@ -110,11 +110,18 @@ def pearson(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) ->
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """rho over average ranks with its p; null under least pairs or without spread."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": X.average_rank(list(by), x), "_y": X.average_rank(list(by), y)})
-    spread = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
-    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(spread & (F.count(F.lit(1)) >= least), F.corr("_x", "_y")).alias("rho"))
-    return out.withColumn("p_value", tests.correlation_p("rho", "n"))
+    """rho over average ranks with its p; null under least pairs or without spread.
+
+    Pairs of values are counted; either side's ranks are running counts over its distinct values and meet the pairs in a join.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    cells = kept(order.count_values(rows, by, "_x", "_y"))
+    side = lambda v: order.running_counts(cells.groupBy(*by, v).agg(F.sum("_n").alias("_n")), by, v).select(*by, v, (order.mean_rank() - (F.col("_total") + 1) / 2).alias(f"_r{v}"))
+    ranked = cells.join(side("_x"), [*by, "_x"]).join(side("_y"), [*by, "_y"])
+    part = lambda a, b: F.sum(F.col("_n") * F.col(a) * F.col(b))
+    out = ranked.groupBy(*by).agg(F.sum("_n").alias("n"), part("_r_x", "_r_y").alias("_xy"), part("_r_x", "_r_x").alias("_xx"), part("_r_y", "_r_y").alias("_yy"))
+    rho = F.when((F.col("n") >= least) & (F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.col("_xx")) / F.sqrt(F.col("_yy")))
+    return out.select(*by, "n", rho.alias("rho")).withColumn("p_value", tests.correlation_p("rho", "n"))
 
 
 def r2_sweep(df: DataFrame, x: str, y: str, by: str, cutoffs: Sequence[float]) -> DataFrame:
@@ -138,29 +145,32 @@ def feature_effects(df: DataFrame, features: Sequence[str], group: str, a, b) ->
 
 
 def lowess(df: DataFrame, by: Sequence[str], x: str, y: str, at: Sequence[float], share: float = 2 / 3, least: int = 3) -> DataFrame:
-    """Local linear fit with tricube weights at fixed x inside each group's range; groups under least points give no row."""
-    kinds = dict(df.dtypes)
+    """Local linear fit with tricube weights at fixed x inside each group's range; groups under least points give no row.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        xs, ys = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        if len(xs) >= least:
-            k = max(2, int(np.ceil(share * len(xs))))
-            for x0 in at:
-                if xs.min() <= x0 <= xs.max():
-                    far = np.abs(xs - x0)
-                    h = max(np.partition(far, k - 1)[k - 1], 1e-12)
-                    w = np.clip(1 - (far / h) ** 3, 0, None) ** 3
-                    if w.sum() <= 0:
-                        w = (far <= h).astype(float)
-                    mx, my = np.average(xs, weights=w), np.average(ys, weights=w)
-                    var = (w * (xs - mx) ** 2).sum()
-                    slope = (w * (xs - mx) * (ys - my)).sum() / var if var > 1e-12 else 0.0
-                    out.append((*pdf.iloc[0][list(by)], x0, my + slope * (x0 - mx)))
-        return pd.DataFrame(out, columns=[*by, "x0", "fitted"])
-
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    return rows.groupBy(*by).applyInPandas(fit, ", ".join([*(f"{b} {kinds[b]}" for b in by), "x0 double", "fitted double"]))
+    The k-th distance of a group's points from each x0 is selected from running counts; the fit is one aggregate of weighted moments
+    around x0. Points with one x are summed first.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    points = kept(rows.groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y).cast("double")).alias("_y")))
+    span = points.groupBy(*by).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.sum("_n").alias("_points")).where(F.col("_points") >= least)
+    spots = span.crossJoin(F.broadcast(shape.literals(df.sparkSession, "x0", at))).where((F.col("_low") <= F.col("x0")) & (F.col("x0") <= F.col("_high")))
+    near = points.join(spots.select(*by, "x0", "_points"), list(by)).withColumn("_far", F.abs(F.col("_x") - F.col("x0")))
+    key = [*by, "x0"]
+    counts = order.running_counts(near.groupBy(*key, "_far").agg(F.sum("_n").alias("_n")), key, "_far")
+    kth = F.greatest(F.lit(2), F.ceil(F.lit(float(share)) * F.col("_total")).cast("long"))
+    reach = counts.where((F.col("_before") < kth) & (kth <= F.col("_before") + F.col("_n"))).select(*key, F.greatest("_far", F.lit(1e-12)).alias("_h"))
+    u, off = F.col("_x") - F.col("x0"), F.greatest(F.lit(0.0), 1 - F.pow(F.col("_far") / F.col("_h"), F.lit(3.0)))
+    met = near.join(reach, key).withColumns({"_w": F.pow(off, F.lit(3.0)), "_e": (F.col("_far") <= F.col("_h")).cast("double"), "_u": u})
+
+    def moments(w: str) -> list[Column]:
+        n, here = F.col(w) * F.col("_n"), F.col(w) * F.col("_y")
+        return [F.sum(v).alias(f"{w}{i}") for i, v in enumerate((n, n * F.col("_u"), n * F.col("_u") * F.col("_u"), here, here * F.col("_u")))]
+
+    sums = met.groupBy(*key).agg(*moments("_w"), *moments("_e"))
+    # all points at the edge of the reach have no tricube weight; they count alike then
+    n, su, suu, sy, suy = (F.when(F.col("_w0") > 0, F.col(f"_w{i}")).otherwise(F.col(f"_e{i}")) for i in range(5))
+    var, cov = suu - su * su / n, suy - su * sy / n
+    return sums.select(*key, (sy / n - F.when(var > 1e-12, cov / var).otherwise(0.0) * su / n).alias("fitted"))
 
 
 def cluster_agreement(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
+from cohortloom.functions.store import shared_folder
 from cohortloom.sources import tables
 from cohortloom.sources.sqlite import read_sqlite, write_sqlite
 from cohortloom.sources.workbook import read_sheet, write_sheet
@@ -21,10 +21,7 @@ N = lambda: F.count(F.lit(1))
 
 def _place(spark) -> str:
     """A new folder in the shared checkpoint folder; in local mode, as in tests, a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-")
+    base = shared_folder(spark)
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 

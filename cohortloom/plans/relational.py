@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
-from cohortloom.operators import joins, pick, shape
+from cohortloom.operators import joins, order, pick, shape
 
 from .registry import query, table
 
@@ -147,6 +147,11 @@ def a1_a6_aggregates(spark, d):
     )
 
 
+@query("""SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, quantile_cont(l_extendedprice, 0.05) AS low, median(l_extendedprice) AS mid, quantile_cont(l_extendedprice, 0.95) AS high FROM lineitem GROUP BY 1, 2""")
+def a3_a4_quantiles_of_large_groups(spark, d):
+    return order.quantiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"low": 0.05, "mid": 0.5, "high": 0.95})
+
+
 @query("""SELECT p_brand, count(*) AS n, count(DISTINCT p_type) AS types, arg_min(p_name, p_partkey) AS first_name, arg_max(p_name, p_retailprice * 100000 + p_partkey) AS top_name FROM (SELECT DISTINCT p_brand, p_type, p_name, p_partkey, p_retailprice FROM part) GROUP BY 1""")
 def a7_a8_a17_first_and_top(spark, d):
     return table(spark, d, "part").select("p_brand", "p_type", "p_name", "p_partkey", "p_retailprice").distinct().groupBy("p_brand").agg(N().alias("n"), F.countDistinct("p_type").alias("types"), F.min_by("p_name", "p_partkey").alias("first_name"), F.max_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("top_name"))

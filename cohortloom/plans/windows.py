@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
-from cohortloom.operators import intervals, windows
+from cohortloom.operators import intervals, order, windows
 
 from .registry import query, table
 
@@ -25,9 +25,8 @@ def w1_w8_partition_measures(spark, d):
     round((rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand), 6) AS pct,
     row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS pos, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS idx FROM part""")
 def w2_w3_w10_ranks(spark, d):
-    r = X.average_rank(["p_brand"], "p_size")
     w = Window.partitionBy("p_brand")
-    return table(spark, d, "part").select("p_partkey", r.alias("r"), F.round(r / N().over(w), 6).alias("pct"), F.row_number().over(w.orderBy(F.desc("p_size"), "p_partkey")).cast("long").alias("pos"), (F.row_number().over(w.orderBy("p_partkey")) - 1).cast("long").alias("idx"))
+    return order.with_average_rank(table(spark, d, "part"), ["p_brand"], "p_size", "r").select("p_partkey", "r", F.round(c("r") / c("_total"), 6).alias("pct"), F.row_number().over(w.orderBy(F.desc("p_size"), "p_partkey")).cast("long").alias("pos"), (F.row_number().over(w.orderBy("p_partkey")) - 1).cast("long").alias("idx"))
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice > 100000 AS big, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders),
