@@ -1,4 +1,4 @@
-"""Interval unions and alignment summaries, as windows without loops over rows."""
+"""Interval unions and alignment summaries, as windows or scans over blocks, without loops over rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import pick
+from . import pick, windows
 
 
 def islands(df: DataFrame, axis: Sequence[str], start: str = "start", stop: str = "stop") -> DataFrame:
@@ -22,13 +22,45 @@ def islands(df: DataFrame, axis: Sequence[str], start: str = "start", stop: str
 def measured(df: DataFrame, axis: Sequence[str], start: str = "start", stop: str = "stop") -> DataFrame:
     """Adds _add, the positions that an interval covers and none before it on its axis does, and _new, 1 if it touches none before it."""
     before = F.max(stop).over(Window.partitionBy(*axis).orderBy(start, stop).rowsBetween(Window.unboundedPreceding, -1))
+    return marked(df.withColumn("_before", before), start, stop).drop("_before")
+
+
+def marked(df: DataFrame, start: str, stop: str) -> DataFrame:
+    """Adds _add and _new, given _before, the greatest stop before an interval in the order of its axis."""
     add = F.greatest(F.lit(0), F.col(stop) - F.greatest(F.col(start) - 1, F.coalesce("_before", F.col(start) - 1)))
-    return df.withColumn("_before", before).withColumns({"_add": add, "_new": F.coalesce((F.col(start) > F.col("_before") + 1).cast("int"), F.lit(1))}).drop("_before")
+    return df.withColumns({"_add": add, "_new": F.coalesce((F.col(start) > F.col("_before") + 1).cast("int"), F.lit(1))})
+
+
+#: Positions of a bin of starts, and lines of a block of a file, where an axis or a file is dealt over tasks.
+BIN, LINES = 1 << 16, 1 << 16
+
+
+def covered(df: DataFrame, axis: Sequence[str], start: str = "start", stop: str = "stop", bins: bool = False) -> DataFrame:
+    """Covered positions and islands of each axis.
+
+    One window an axis, or, with bins, a scan over bins of starts, for axes with any number of intervals.
+    """
+    rows = binned(df, axis, start, stop) if bins else measured(df, axis, start, stop)
+    return rows.groupBy(*axis).agg(F.sum("_add").alias("covered"), F.sum("_new").alias("islands"))
+
+
+def binned(df: DataFrame, axis: Sequence[str], start: str, stop: str) -> DataFrame:
+    """measured for the longest interval of each start (the others cover nothing more), by a scan over bins of starts."""
+    ends = df.groupBy(*axis, start).agg(F.max(stop).alias(stop)).withColumns({"_bin": F.floor(F.col(start) / BIN), "_axis": F.struct(F.lit(0), *axis)})
+    return marked(windows.blocked_scan(ends, ["_axis"], "_bin", [start], {"_before": ("max", F.col(stop))}, own=False), start, stop).drop("_axis", "_bin")
 
 
-def covered(df: DataFrame, axis: Sequence[str], start: str = "start", stop: str = "stop") -> DataFrame:
-    """Covered positions and islands of each axis, in one window."""
-    return measured(df, axis, start, stop).groupBy(*axis).agg(F.sum("_add").alias("covered"), F.sum("_new").alias("islands"))
+def in_runs(rows: DataFrame, by: Sequence[str], line: str) -> DataFrame:
+    """rows with block, the number of their run of adjacent lines with one query and target, from 1."""
+    if by:
+        whole = Window.partitionBy(*by).orderBy(line)
+        change = (F.lag("qname").over(whole).eqNullSafe(F.col("qname")) & F.lag("tname").over(whole).eqNullSafe(F.col("tname"))).cast("int")
+        return rows.withColumn("block", F.sum(1 - change).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    # a whole file: blocks of lines, each of which needs the last line before it
+    dealt = rows.withColumns({"_all": F.lit(0), "_lines": F.floor(F.col(line) / LINES)})
+    pair = F.struct("qname", "tname")
+    dealt = windows.blocked_scan(dealt, ["_all"], "_lines", [line], {"_last": ("last", pair)}, own=False)
+    return windows.blocked_sums(dealt, ["_all"], "_lines", [line], {"block": 1 - F.col("_last").eqNullSafe(pair).cast("int")}).drop("_all", "_last")
 
 
 def alignment_summary(rows: DataFrame, line: str = "line", max_evalue: float = 1e-3, min_length: int = 0, overrun: float = 1.10, groups: Sequence[str] = ()) -> DataFrame:
@@ -38,29 +70,38 @@ def alignment_summary(rows: DataFrame, line: str = "line", max_evalue: float = 1
     exceed ends. Lines count if their query span is min_length or more and the e-value at most max_evalue. In
     file order, lines are kept until the spans so far reach the query's length or the next one would bring
     them to overrun times it. Out: num_alns; pid, the length-weighted mean identity; qcov and tcov, merged
-    coverage in per cent (2 digits). A run with no kept line gives no row. Name in groups the file, or whatever
-    else bounds the runs: without it all lines are one window.
+    coverage in per cent (2 digits). A run with no kept line gives no row. groups: the file, or whatever else bounds the
+    runs and fits a task; without it all lines are one file, numbered by line, of which blocks of lines are scanned.
     """
     by = list(groups)
-    whole = Window.partitionBy(*by).orderBy(line) if by else Window.orderBy(line)
-    change = (F.lag("qname").over(whole).eqNullSafe(F.col("qname")) & F.lag("tname").over(whole).eqNullSafe(F.col("tname"))).cast("int")
-    block = F.sum(1 - change).over(whole.rowsBetween(Window.unboundedPreceding, 0))
     span = F.col("qend") - F.col("qstart") + 1
-    usable = rows.withColumn("block", block).withColumn("span", span).where((F.col("span") >= min_length) & (F.col("evalue") <= max_evalue))
+    usable = in_runs(rows, by, line).withColumn("span", span).where((F.col("span") >= min_length) & (F.col("evalue") <= max_evalue))
     key = [*by, "block"]
-    inside = Window.partitionBy(*key).orderBy(line)
-    prior = F.coalesce(F.sum("span").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stops = (prior >= F.col("qlen")) | (prior + F.col("span") >= overrun * F.col("qlen"))
-    kept = usable.withColumn("_stop", stops.cast("int")).withColumn("_ended", F.max("_stop").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("_ended = 0")
-    # both sides' intervals by the same windows; everything stays where the runs are
+    if by:
+        inside = Window.partitionBy(*key).orderBy(line)
+        usable = usable.withColumn("_prior", F.coalesce(F.sum("span").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        usable = windows.blocked_scan(usable, key, "_lines", [line], {"_prior": ("sum", F.col("span"))}, own=False)
+    stops = (F.col("_prior") >= F.col("qlen")) | (F.col("_prior") + F.col("span") >= overrun * F.col("qlen"))
+    usable = usable.withColumn("_stop", stops.cast("int"))
+    if by:
+        usable = usable.withColumn("_ended", F.max("_stop").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        usable = windows.blocked_scan(usable, key, "_lines", [line], {"_ended": ("max", F.col("_stop"))})
+    kept = usable.where("_ended = 0")
     side = lambda name, start, stop: F.struct(F.lit(name).alias("side"), start.alias("start"), stop.alias("stop"))
     sides = F.array(side("q", F.col("qstart"), F.col("qend")), side("t", F.least("tstart", "tend"), F.greatest("tstart", "tend")))
     long = kept.select(*key, "qname", "tname", "pid", "len", "qlen", "tlen", F.inline(sides))
     query = F.col("side") == "q"
-    out = measured(long, [*key, "side"]).groupBy(*key, "qname", "tname").agg(
+    lines = [
         F.count_if(query).alias("num_alns"), F.round(F.try_divide(F.sum(F.when(query, F.col("pid") * F.col("len"))), F.sum(F.when(query, F.col("len")))), 2).alias("pid"), F.first("qlen").alias("qlen"), F.first("tlen").alias("tlen"),
-        F.sum(F.when(query, F.col("_add"))).alias("_q"), F.sum(F.when(~query, F.col("_add"))).alias("_t"),
-    )
+    ]
+    cover = [F.sum(F.when(query, F.col("_add"))).alias("_q"), F.sum(F.when(~query, F.col("_add"))).alias("_t")]
+    if by:
+        # both sides' intervals by the same windows; everything stays where the runs are
+        out = measured(long, [*key, "side"]).groupBy(*key, "qname", "tname").agg(*lines, *cover)
+    else:
+        out = long.groupBy(*key, "qname", "tname").agg(*lines).join(binned(long, [*key, "side"], "start", "stop").groupBy(*key).agg(*cover), key)
     pct = lambda n, m: F.round(100.0 * F.col(n) / F.col(m), 2)
     return out.select(*by, "block", "qname", "tname", "num_alns", "pid", pct("_q", "qlen").alias("qcov"), pct("_t", "tlen").alias("tcov"))
 

@@ -24,16 +24,34 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def blocked_sums(df: DataFrame, by: Sequence[str], block: str, order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
-    """Running sums in the order of (block, order) within a group. Blocks are summed first, so no task holds a whole group."""
-    names = list(sums)
-    values = df.withColumns({f"_v_{n}": v for n, v in sums.items()})
+def blocked_scan(df: DataFrame, by: Sequence[str], block: str, order: Sequence[Column | str], scans: dict[str, tuple[str, Column]], own: bool = True) -> DataFrame:
+    """Running sums, maxima or last values (nulls skipped) in the order of (block, order) within a group, with or without the row's own value.
+
+    scans: name to (sum, max or last; column). Each block is brought to one row first, and those rows are scanned; so no task
+    holds a whole group. A sum over no rows is 0, the others are null.
+    """
+    ends = {"sum": F.sum, "max": F.max, "last": lambda v: F.last(v, ignorenulls=True)}
+    values = df.withColumns({f"_v_{n}": v for n, (_, v) in scans.items()})
     before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = values.groupBy(*by, block).agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names))
-    bases = totals.select(*by, block, *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names))
-    inside = Window.partitionBy(*by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = values.join(bases, [*by, block]).withColumns({n: F.col(f"_b_{n}") + F.sum(f"_v_{n}").over(inside) for n in names})
-    return out.drop(*(f"_{k}_{n}" for k in "vb" for n in names))
+    inside = Window.partitionBy(*by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    # the last value of a block is that of the greatest order
+    place = F.struct(*order)
+    in_block = {"sum": F.sum, "max": F.max, "last": lambda v: F.max_by(v, F.when(v.isNotNull(), place))}
+    totals = values.groupBy(*by, block).agg(*(in_block[k](F.col(f"_v_{n}")).alias(f"_t_{n}") for n, (k, _) in scans.items()))
+    bases = totals.select(*by, block, *(ends[k](F.col(f"_t_{n}")).over(before).alias(f"_b_{n}") for n, (k, _) in scans.items()))
+
+    def joined(kind: str, base: Column, here: Column) -> Column:
+        if kind == "sum":
+            return F.coalesce(base, F.lit(0)) + F.coalesce(here, F.lit(0))
+        return F.greatest(base, here) if kind == "max" else F.coalesce(here, base)
+
+    out = values.join(bases, [*by, block]).withColumns({n: joined(k, F.col(f"_b_{n}"), ends[k](F.col(f"_v_{n}")).over(inside)) for n, (k, _) in scans.items()})
+    return out.drop(*(f"_{k}_{n}" for k in "vb" for n in scans))
+
+
+def blocked_sums(df: DataFrame, by: Sequence[str], block: str, order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """Running sums in the order of (block, order) within a group; see blocked_scan."""
+    return blocked_scan(df, by, block, order, {n: ("sum", v) for n, v in sums.items()})
 
 
 def days_since_first(df: DataFrame, subject: str, day: str, name: str = "day") -> DataFrame:

@@ -69,6 +69,15 @@ def d40_merge_intervals(spark, d):
     return intervals.covered(rows, ["user_id"])
 
 
+@query(f"""WITH e AS ({_EVENTS}), m AS (SELECT *, CASE WHEN start > max(stop) OVER (ORDER BY start, stop, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM e),
+    g AS (SELECT *, sum(new) OVER (ORDER BY start, stop, event_id ROWS UNBOUNDED PRECEDING) AS i FROM m), u AS (SELECT i, min(start) AS a, max(stop) AS b FROM g GROUP BY 1)
+    SELECT CAST(sum(b - a + 1) AS BIGINT) AS covered, count(*) AS islands FROM u""")
+def d40_one_axis(spark, d):
+    start = F.floor(F.unix_micros(c("ts").cast("timestamp")) / 1_000_000)
+    rows = table(spark, d, "events").select(start.alias("start"), (start + F.floor(c("value") * 60)).alias("stop"))
+    return intervals.covered(rows, [], bins=True)
+
+
 def _alignments(spark, d):
     """Alignment lines: the supplier is the query, the part the target; a file for each supplier."""
     q0, span = c("l_linenumber") * 10, c("l_quantity").cast("long")
@@ -83,15 +92,25 @@ _ALN = """SELECT l_suppkey AS qname, l_partkey AS tname, row_number() OVER (PART
     CAST(l_linenumber * 10 + l_quantity AS BIGINT) AS qend, CAST(l_quantity AS BIGINT) AS tstart, CAST(2 * l_quantity AS BIGINT) AS tend, CASE WHEN l_tax > 0.07 THEN 1.0 ELSE 1e-9 END AS evalue FROM lineitem"""
 
 
-@query(f"""WITH a AS (SELECT *, qend - qstart + 1 AS span FROM ({_ALN}) WHERE evalue <= 1e-3), p AS (SELECT *, coalesce(sum(span) OVER (PARTITION BY qname, tname ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM a),
+_SUMMARY = f"""WITH a AS (SELECT *, qend - qstart + 1 AS span FROM ({_ALN}) WHERE evalue <= 1e-3), p AS (SELECT *, coalesce(sum(span) OVER (PARTITION BY qname, tname ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM a),
     s AS (SELECT *, max(CAST(prior >= 100 OR prior + span >= 1.1e0 * 100 AS INT)) OVER (PARTITION BY qname, tname ORDER BY line ROWS UNBOUNDED PRECEDING) AS ended FROM p), k AS (SELECT * FROM s WHERE ended = 0),
     pos AS (SELECT qname, tname, 'q' AS side, unnest(range(qstart, qend + 1)) AS x FROM k UNION SELECT qname, tname, 't', unnest(range(tstart, tend + 1)) FROM k),
     cov AS (SELECT qname, tname, count(*) FILTER (side = 'q') AS q, count(*) FILTER (side = 't') AS t FROM pos GROUP BY 1, 2)
-    SELECT k.qname, k.tname, count(*) AS num_alns, round(sum(pid * len) / sum(len), 2) AS pid, round(100.0 * any_value(q) / 100, 2) AS qcov, round(100.0 * any_value(t) / 120, 2) AS tcov FROM k JOIN cov ON k.qname = cov.qname AND k.tname = cov.tname GROUP BY 1, 2""")
+    SELECT k.qname, k.tname, count(*) AS num_alns, round(sum(pid * len) / sum(len), 2) AS pid, round(100.0 * any_value(q) / 100, 2) AS qcov, round(100.0 * any_value(t) / 120, 2) AS tcov FROM k JOIN cov ON k.qname = cov.qname AND k.tname = cov.tname GROUP BY 1, 2"""
+
+
+@query(_SUMMARY)
 def d39_alignment_summary(spark, d):
     return intervals.alignment_summary(_alignments(spark, d), groups=["qname"]).select("qname", "tname", "num_alns", "pid", "qcov", "tcov")
 
 
+@query(_SUMMARY)
+def d39_one_file(spark, d):
+    # the suppliers' lines one after the other, as lines of one file
+    rows = _alignments(spark, d).withColumn("line", c("qname").cast("long") * (1 << 20) + c("line"))
+    return intervals.alignment_summary(rows).select("qname", "tname", "num_alns", "pid", "qcov", "tcov")
+
+
 @query("""WITH e AS (SELECT l_returnflag AS s, l_suppkey AS a, l_partkey AS b, CAST(sum(l_quantity) AS BIGINT) AS f, count(*) * 1000 + CAST(max(l_quantity) AS BIGINT) AS g FROM lineitem GROUP BY 1, 2, 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY s, a ORDER BY f DESC, b) AS rf, row_number() OVER (PARTITION BY s, b ORDER BY g DESC, a) AS rb FROM e) SELECT s, a, b, f, g FROM r WHERE rf = 1 AND rb = 1""")
 def d41_reciprocal_best_hits(spark, d):
