@@ -11,10 +11,13 @@ up by slot. The classes with their order and nesting are the host's template.
 
 A slot is what an element of the template holds outside of those below it. For
 each slot the host's pages tell how much of it is text that changes, how much is
-links, and how much lies in article elements. Slots that change, are no list of
-links and have no mark of boilerplate are the article (where a host has article
-elements, only those inside them). A page's text is what its blocks in such slots
-say. Inside of articles a doubtful name (`share`, `related`, ...) tells
+links, and how much lies in article elements. From the top of the template down,
+the element that holds DOMINANT of the changing text of the one above it is
+followed to where the text divides; slots in there are the article, but for lists
+of links and what is marked as boilerplate. Other slots that change, such as an
+advert or a footer that names the page, are part of it only if they hold
+BESIDE as much. Where a host has article elements, the article is what changes in
+them. A page's text is what its blocks in such slots say. Inside of articles a doubtful name (`share`, `related`, ...) tells
 boilerplate only where the element belongs to the template; names of comments,
 adverts and menus always do.
 
@@ -23,7 +26,11 @@ to a sum for each token, and equal sums (with equal support and total) mean
 equal vectors. A host with a third of all pages therefore shuffles as one row
 for each token and task.
 
-Pages of a host with equal html count as one page of it, so that copies do not make their own text template.
+Equal tags below one element play different roles. So div and section elements without class or id are told apart by their
+number among those of their kind below one element, as their neighbours have it on the host's other pages.
+
+Pages of a host with equal html count as one page of it, so that copies do not make their own text template. Paths of over
+64 elements are their first 40 characters and a 64-bit hash.
 
 Rules: null html is empty text. Repeated rows and repeated page_ids are pages of
 their own in the result. A page without url or host, of a host with one page, or
@@ -39,7 +46,6 @@ from collections.abc import Container, Iterator
 from itertools import pairwise
 from typing import NamedTuple
 from urllib.parse import urlsplit
-from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
@@ -51,6 +57,12 @@ from .common import as_batch, blocks, cut, filled, text_of
 
 #: Share of a host's pages that a class must reach, the fewest different pages that a host with a template, or a token of one, has, and the fewest tokens of a class.
 SUPPORT, LEAST_PAGES, CLASS_SIZE = 0.5, 2, 2
+#: Share of an element's changing text that makes a child the article's place; text beside that place, against the text in it, that counts as well.
+DOMINANT, BESIDE = 0.6, 0.3
+#: Elements that are parts of a text and not its place.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd pre blockquote figure figcaption caption hgroup address details summary".split())
+#: Elements that are numbered among their kind.
+ROLES = frozenset(["div", "section"])
 #: A slot is a list of links if it has so many blocks of links a page, with this share of its text.
 LINKS_A_PAGE, LINKED = 3, 0.8
 #: Bytes of all templates up to which they are sent to every task; beyond, pages are joined to them by host.
@@ -130,7 +142,8 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
     """The tag tokens of a page in order, and its text blocks."""
     tokens: list[str] = []
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int, str]] = []  # element, path, in an article, in boilerplate, doubtful element
+    stack: list[tuple[str, str, bool, int, str, dict[str, int]]] = []  # element, path, in an article, in boilerplate, doubtful element, numbered elements below
+    top: dict[str, int] = {}
     text: list[str] = []
     links = linked = 0  # open links; characters in links of the block
     at = 0
@@ -141,7 +154,7 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
             joined = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                path, main, off, doubt = stack[-1][1:] if stack else ("", False, NOT, "")
+                path, main, off, doubt = stack[-1][1:5] if stack else ("", False, NOT, "")
                 out.append(Block(path, joined, main, off, doubt, min(linked, len(joined)), len(tokens)))
         linked = 0
 
@@ -184,9 +197,9 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
         if name in INLINE:
             # inline elements keep the state of what holds them
             links += name == "a"
-            stack.append((name, *(stack[-1][1:] if stack else ("", False, NOT, ""))))
+            stack.append((name, *(stack[-1][1:] if stack else ("", False, NOT, "", top))))
             continue
-        above = stack[-1] if stack else ("", "", False, NOT, "")
+        above = stack[-1] if stack else ("", "", False, NOT, "", top)
         label, signed, doubtful, main = signs_of(m[5], above[2]) if m[5].strip() else ("", False, False, False)
         main = above[2] or name in MAIN or main
         off = above[3]
@@ -195,10 +208,13 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
         elif name not in ("html", "body", *MAIN) and (signed or name in WRAPPERS or name == "header" and not main):
             off = max(off, SURE if main and name != "form" or main and above[2] else WEAK)
         path = f"{above[1]}/{name}" + (f"#{label}" if label else "")
+        if name in ROLES and not label:
+            above[5][name] = above[5].get(name, 0) + 1
+            path += f"[{above[5][name]}]" if above[5][name] > 1 else ""
         if path.count("/") > 64:
-            path = f"{path[:40]}~{crc32(path.encode())}"
+            path = f"{path[:40]}~{xxhash.xxh64_hexdigest(path)}"
         tokens.append(path)
-        stack.append((name, path, main, off, above[4] or (path if doubtful and name not in MAIN else "")))
+        stack.append((name, path, main, off, above[4] or (path if doubtful and name not in MAIN else ""), {}))
     if at < len(page):
         tail = page[at:]
         text.append(tail[: cut_at] if (cut_at := tail.rfind("<")) >= 0 and re.match(r"<[a-zA-Z/!]", tail[cut_at:]) and ">" not in tail[cut_at:] else tail)
@@ -224,12 +240,13 @@ def host_column(url: str) -> Column:
 
 def without_copies(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest of the pages; of those of a host with the same html, only one of the smallest page_id."""
-    wanted = pages.select("page_id", "url", "html", F.xxhash64(text_of("html")).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    keys = wanted.select("page_id", "digest", "row", host_column("url").alias("host")).where("host IS NOT NULL")
-    first = cut(keys.groupBy("host", "digest").agg(F.min(F.struct("page_id", "row")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("host", "digest", F.col("at.row").alias("first")))
-    size = first.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0]
-    joined = wanted.withColumn("host", host_column("url")).join(F.broadcast(first) if size <= BROADCAST_BYTES else first, ["host", "digest"], "left")
-    return joined.where("first IS NULL OR row = first").select("page_id", "url", "html", "digest")
+    wanted = pages.select("page_id", "url", "html", F.xxhash64(text_of("html")).alias("digest")).withColumn("host", host_column("url"))
+    copies = cut(wanted.select("host", "digest").where("host IS NOT NULL").groupBy("host", "digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    size = copies.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0]
+    joined = wanted.join(F.broadcast(copies) if size <= BROADCAST_BYTES else copies, ["host", "digest"], "left")
+    # a task keeps one row of each group, so copies of any number are few rows
+    of_many = joined.where("copies IS NOT NULL").groupBy("host", "digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("at"), F.first("html").alias("html"))
+    return joined.where("copies IS NULL").select("page_id", "url", "html", "digest").unionByName(of_many.select("at.page_id", "at.url", "html", "digest"))
 
 
 def token_sums(pages: DataFrame) -> DataFrame:
@@ -310,11 +327,31 @@ def nested(tokens: list[tuple[str, int, int, int]]) -> list[tuple[str, list[str]
     return out
 
 
+def article_place(text: dict[str, int]) -> str:
+    """The element in which the article is. text: how much changing text each slot has."""
+    below: dict[str, int] = {}
+    for path, chars in text.items():
+        while path:
+            below[path] = below.get(path, 0) + chars
+            path = path.rpartition("/")[0]
+    here, total = "", sum(text.values())
+    while True:
+        inside = [p for p in below if p.rpartition("/")[0] == here and re.split(r"\W", p.rpartition("/")[2])[0] not in PARTS]
+        best = max(inside, key=lambda p: (below[p], p), default=None)
+        if best is None or below[best] < DOMINANT * total:
+            return here
+        here, total = best, below[best]
+
+
 def article_slots(slots: dict[str, list[int]], n_pages: int) -> list[str]:
     """Elements whose slots are the article. slots: of each element of the template [chars besides the template's own text, linked, inside, links, off] over the host's pages."""
     changing = {k: v for k, v in slots.items() if v[0] > 0 and 2 * v[4] <= v[0]}
-    articles = {k: v for k, v in changing.items() if 2 * v[2] > v[0]}
-    pool = articles or changing
+    pool = {k: v for k, v in changing.items() if 2 * v[2] > v[0]}
+    if not pool and changing:
+        text = {k: max(0, v[0] - v[1]) for k, v in changing.items()}
+        place = article_place(text)
+        most = sum(n for k, n in text.items() if f"{k}/".startswith(f"{place}/"))
+        pool = {k: v for k, v in changing.items() if f"{k}/".startswith(f"{place}/") or text[k] >= BESIDE * most}
     if not pool:
         return []
     most = max(pool, key=lambda k: (pool[k][0] - pool[k][1], k))

@@ -1,6 +1,7 @@
 """What counts as a host's template where it has few pages, or copies of pages."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortloom.llm import template_extract
 
@@ -117,3 +118,32 @@ def test_repeated_rows_count_once(spark):
     assert [(r["host"], r["n_pages"]) for r in template_extract.templates(df).collect()] == [("rep.example", 4)]
     got = template_extract.extract(df).collect()
     assert len(got) == 33 and {(r["page_id"], r["text"]) for r in got} == {(7, "Own words again"), *((i, f"Own words {i}") for i in range(3))}
+
+
+def test_slots_decide_without_names(spark):
+    """With neutral elements and no class, id or role, the slots of the hosts' templates alone give the same texts."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    bare = F.regexp_replace("html", r"<(/?)(nav|footer|aside|header|form|article|main)\b", "<$1div")
+    bare = F.regexp_replace(bare, r"(?i)\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", "")
+    want = {r["page_id"]: r["text"] for r in template_extract.extract(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in template_extract.extract(pages.withColumn("html", bare)).collect()}
+    assert sum(got[k] == t for k, t in want.items()) >= 0.95 * len(want) > 0
+
+
+def test_the_place_of_the_article():
+    place = template_extract.article_place
+    assert place({"/b/div/ul": 50, "/b/div[2]": 60, "/b/div[3]": 900, "/b/div[3]/h1": 40, "/b/div[4]": 30}) == "/b/div[3]"
+    # paragraphs that are elements of the template themselves: their common holder
+    assert place({"/b/div": 60, **{f"/b/div[2]/div[{k}]": 200 for k in range(2, 7)}}) == "/b/div[2]"
+    assert place({"/b": 500, "/b/div": 60}) == "/b" and place({}) == ""
+    rows = {"/b/div": [60, 0, 0, 0, 0], "/b/div[2]/p": [700, 0, 0, 0, 0], "/b/div[2]/h1": [30, 0, 0, 0, 0], "/b/div[3]": [400, 0, 0, 0, 0], "/b/div[4]": [900, 0, 0, 0, 900]}
+    assert template_extract.article_slots(rows, 2) == ["/b/div[2]/h1", "/b/div[2]/p", "/b/div[3]"]
+
+
+def test_copies_count_once_whatever_the_order(spark):
+    """Rows of equal html of a host, under one id or several, and null ids, are one page of it."""
+    rows = [(1, "http://h/a", "<p>x"), (1, "http://h/a", "<p>x"), (2, "http://www.h/b", "<p>x"), (None, "http://h/c", "<p>x"), (3, "http://h/d", "<p>y"), (4, None, "<p>x"), (4, None, "<p>x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 3):
+        kept = template_extract.without_copies(pages.repartition(parts)).collect()
+        assert sorted(str(r["page_id"]) for r in kept) == ["1", "3", "4", "4"]  # pages without host stay as they are
