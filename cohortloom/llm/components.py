@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is one aggregate and one join over edges; each one is written to the
-checkpoint folder. Nothing but two numbers a round reaches the driver.
+checkpoint folder. Nothing but two numbers a round reaches the driver. Few edges
+go to few partitions (see EDGES): a round has some ten exchanges, and each would
+else write a file or more for every partition of the session.
 
 A node with very many edges is summed map-side, and its edges meet their new
 end in a plain join of two exchanges, which Spark can split where a key has too
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Edges for which one partition is enough.
+EDGES = 1 << 17
+
+
 def met(rows: DataFrame, key: str, ends: DataFrame) -> DataFrame:
     """rows joined with ends (_key and more) on their key column, and on a hash of it.
 
@@ -25,15 +31,15 @@ def met(rows: DataFrame, key: str, ends: DataFrame) -> DataFrame:
     return rows.join(marked, (F.col(key) == F.col("_key")) & (F.xxhash64(key) == F.col("_mark"))).drop("_key", "_mark")
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) with u > v. Large: each node's larger neighbours go to its least neighbour (or itself).
+def star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
+    """edges (u, v) with u > v, in so many partitions at most. Large: each node's larger neighbours go to its least neighbour (or itself).
     Small: each node and its smaller neighbours go to the least of them."""
     around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = around.groupBy("u").agg(F.min("v").alias("m"))
+    least = around.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
     ends = least.select(F.col("u").alias("_key"), F.least("u", "m").alias("m") if large else "m")
-    joined = met(around.where("v > u") if large else around, "u", ends).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = met(around.where("v > u") if large else around, "u", ends).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
     moved = joined if large else joined.where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.distinct()
+    return moved.distinct().coalesce(parts)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,11 +47,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
-        now = cut(star(cut(star(now, True)), False))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        if tuple(seen) == mark or not seen[0]:
             break
-        mark = tuple(seen)
+        mark, parts = tuple(seen), 1 + seen[0] // EDGES
+        now = cut(star(cut(star(now.coalesce(parts), True, parts)), False, parts))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
