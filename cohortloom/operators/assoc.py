@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
+from cohortloom.functions.store import kept
 
-from . import pick, shape, stats
+from . import order, pick, shape, stats
 from .windows import blocked_sums
 
 
@@ -39,27 +40,49 @@ def combine_ratios(a: DataFrame, b: DataFrame, key: Sequence[str], ratio: str =
     return both.select(*key, F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high"))
 
 
+def sample_bitmaps(rows: DataFrame, numbers: DataFrame, sample: str, who: str, value: str, side: str) -> DataFrame:
+    """who, _chunk, _bits_side and _vals_side: for each 64 samples, which of them have who, as a bitmap, and their values in its order."""
+    bit = F.col("_no").bitwiseAND(F.lit(63)).cast("int")
+    at = rows.join(numbers, sample).select(who, F.shiftright("_no", 6).alias("_chunk"), bit.alias("_bit"), F.expr("shiftleft(1L, cast(_no & 63 as int))").alias("_one"), F.col(value).alias("v"))
+    return at.groupBy(who, "_chunk").agg(F.bit_or("_one").alias(f"_bits_{side}"), F.array_sort(F.collect_list(F.struct("_bit", "v"))).alias(f"_vals_{side}"))
+
+
 def association_scan(a: DataFrame, b: DataFrame, candidates: DataFrame, sample: str, entity: str, partner: str, samples: int, least: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """Co-occurrence of candidate pairs over samples: the 2x2 table, per cent, ratio statistics, Spearman's rho.
 
     a: sample, entity, value_a; b: sample, partner, value_b (one row each); candidates: entity, partner, and keys of which each
-    value has a scan of its own. The candidate list joins first, so only pairs in question meet in a sample; a candidate has
-    all of its entity's rows there, so both margins of its table come out of one aggregate, and n11 of those that met.
+    value has a scan of its own. Samples are numbered, and each entity's and partner's are bitmaps of 64 with their values beside
+    them. A pair meets once, whatever keys it has, in the chunks where the AND of its bitmaps is not 0, and only values of common
+    samples come out. These are counted by (value_a, value_b), from which ratios and both sides' ranks are summed. A pair that
+    never meets has n11 = 0; margins are population counts. A candidate whose entity or partner is in no sample is left out.
     """
-    per = [*keys, entity, partner]
-    met = candidates.select(*per).distinct().join(a, entity).join(b, [sample, partner], "left").withColumn("_ratio", X.ratio("value_a", "value_b"))
-    both = F.col("value_b").isNotNull()
-    # ranks among the rows that met; the others make a partition of their own
-    met = met.withColumn("_met", both).withColumns({"_x": X.average_rank([*per, "_met"], "value_a"), "_y": X.average_rank([*per, "_met"], "value_b")})
-    x = F.when(both, F.col("_x"))
-    spread = (F.min(x) < F.max(x)) & (F.min("_y") < F.max("_y"))
-    counts = met.groupBy(*per).agg(
-        F.count(F.lit(1)).alias("n_a"), F.count_if(both).alias("n11"), F.avg("_ratio").alias("ratio_mean"), F.stddev_samp("_ratio").alias("ratio_sd"), F.median("_ratio").alias("ratio_median"), F.max("_ratio").alias("ratio_max"),
-        F.when(spread & (F.count_if(both) >= least), F.corr(x, F.col("_y"))).alias("rho"),
+    pair = [entity, partner]
+    a, b = kept(a.select(sample, entity, "value_a")), kept(b.select(sample, partner, "value_b"))
+    numbers = kept(a.select(sample).union(b.select(sample)).distinct().withColumn("_no", F.monotonically_increasing_id()))
+    left, right = kept(sample_bitmaps(a, numbers, sample, entity, "value_a", "a")), kept(sample_bitmaps(b, numbers, sample, partner, "value_b", "b"))
+    size = lambda maps, who, side, name: maps.groupBy(who).agg(F.sum(F.bit_count(f"_bits_{side}")).alias(name))
+
+    wanted = candidates.select(*keys, *pair).distinct()
+    both = F.col("_bits_a").bitwiseAND(F.col("_bits_b"))
+    common = lambda vals: F.transform(F.filter(vals, lambda x: F.getbit("_both", x["_bit"]) == 1), lambda x: x["v"])
+    met = wanted.select(*pair).distinct().join(left, entity).join(right, [partner, "_chunk"]).withColumn("_both", both).where("_both != 0")
+    each = met.select(*pair, F.explode(F.arrays_zip(common("_vals_a").alias("a"), common("_vals_b").alias("b"))).alias("_v"))
+    cells = kept(each.groupBy(*pair, F.col("_v.a").alias("_a"), F.col("_v.b").alias("_b")).agg(F.count(F.lit(1)).alias("_n")))
+
+    off = lambda v: order.running_counts(cells.groupBy(*pair, v).agg(F.sum("_n").alias("_n")), pair, v).select(*pair, v, (order.mean_rank() - (F.col("_total") + 1) / 2).alias(f"_r{v}"))
+    ranked = cells.join(off("_a"), [*pair, "_a"]).join(off("_b"), [*pair, "_b"]).withColumn("_ratio", X.ratio("_a", "_b"))
+    n, r = F.col("_n"), F.col("_ratio")
+    weight, part = F.sum(F.when(r.isNotNull(), n)), lambda x, y: F.sum(n * F.col(x) * F.col(y))
+    var = X.ratio(F.sum(n * r * r) - F.sum(n * r) * X.ratio(F.sum(n * r), weight), weight - 1)
+    sums = ranked.groupBy(*pair).agg(
+        F.sum(n).alias("_n11"), X.ratio(F.sum(n * r), weight).alias("ratio_mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("_sd"), weight.alias("_w"), F.percentile("_ratio", 0.5, F.col("_n")).alias("ratio_median"), F.max("_ratio").alias("ratio_max"),
+        part("_r_a", "_r_b").alias("_ab"), part("_r_a", "_r_a").alias("_aa"), part("_r_b", "_r_b").alias("_bb"),
     )
-    out = counts.join(b.groupBy(partner).agg(F.count(F.lit(1)).alias("n_b")), partner)
+    rho = F.when((F.col("_n11") >= least) & (F.col("_aa") > 0) & (F.col("_bb") > 0), F.col("_ab") / F.sqrt(F.col("_aa")) / F.sqrt(F.col("_bb")))
+    sums = sums.withColumns({"ratio_sd": F.when(F.col("_w") > 1, F.col("_sd")), "rho": rho})
+    out = wanted.join(size(left, entity, "a", "n_a"), entity).join(size(right, partner, "b", "n_b"), partner).join(sums, pair, "left").withColumn("n11", F.coalesce("_n11", F.lit(0)))
     out = out.withColumns({"n10": F.col("n_a") - F.col("n11"), "n01": F.col("n_b") - F.col("n11")}).withColumn("n00", F.lit(samples) - F.col("n11") - F.col("n10") - F.col("n01"))
-    return out.select(*per, "n11", "ratio_mean", "ratio_sd", "ratio_median", "ratio_max", "rho", "n10", "n01", "n00", X.ratio(100.0 * F.col("n11"), "n_a").alias("pct"))
+    return out.select(*keys, *pair, "n11", "ratio_mean", "ratio_sd", "ratio_median", "ratio_max", "rho", "n10", "n01", "n00", X.ratio(100.0 * F.col("n11"), "n_a").alias("pct"))
 
 
 def random_partners(pairs: DataFrame, entity: str, partner: str, pool: DataFrame, reps: int, seed: int = 1) -> DataFrame:

@@ -71,14 +71,26 @@ def kruskal_wallis(df: DataFrame, test: Sequence[str], group: str, value: str) -
     return per.select(*test, "k", corrected.alias("h")).withColumn("p_value", tests.chi2_p("h", (F.col("k") - 1).cast("double")))
 
 
+def pair_differences(df: DataFrame, test: Sequence[str], pair: str, condition: str, value: str, a, b) -> DataFrame:
+    """test, pair and _d: a - b of each pair (a missing value is 0); equal ones are left out."""
+    side = lambda v: F.coalesce(F.max(F.when(F.col(condition) == v, F.col(value))), F.lit(0.0))
+    return df.where(F.col(condition).isin(a, b)).groupBy(*test, pair).agg((side(a) - side(b)).alias("_d")).where("_d != 0")
+
+
+def signed_ranks(df: DataFrame, test: Sequence[str], pair: str, condition: str, value: str, a, b) -> DataFrame:
+    """n, w_plus and w_minus of each test over pairs: sums of the average ranks of positive and negative differences. Tests of any size (see order)."""
+    sizes = pair_differences(df, test, pair, condition, value, a, b).groupBy(*test, F.abs("_d").alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_d") > 0).alias("_plus"))
+    ranks = order.running_counts(sizes, test, "_s").withColumn("_r", order.mean_rank())
+    return ranks.groupBy(*test).agg(F.sum("_n").alias("n"), F.sum(F.col("_plus") * F.col("_r")).alias("w_plus"), F.sum((F.col("_n") - F.col("_plus")) * F.col("_r")).alias("w_minus"))
+
+
 def wilcoxon(df: DataFrame, test: Sequence[str], pair: str, condition: str, value: str, a, b) -> DataFrame:
     """Exact signed-rank test of a - b over pairs (a missing value is 0, equal ones are skipped).
 
     A test's differences are in one task: the exact null distribution is a dynamic program over their ranks. A test
-    with more than EXACT_PAIRS differences ends the job with an error.
+    with more than EXACT_PAIRS differences ends the job with an error; signed_ranks gives its statistics.
     """
-    side = lambda v: F.coalesce(F.max(F.when(F.col(condition) == v, F.col(value))), F.lit(0.0))
-    diffs = df.where(F.col(condition).isin(a, b)).groupBy(*test, pair).agg((side(a) - side(b)).alias("_d")).where("_d != 0")
+    diffs = pair_differences(df, test, pair, condition, value, a, b)
     sizes = diffs.groupBy(*test).agg(F.count(F.lit(1)).alias("_pairs"))
     too_many = F.raise_error(F.concat(F.lit(f"more than {EXACT_PAIRS} pairs in a test: "), F.col("_pairs").cast("string")))
     checked = diffs.join(sizes.withColumn("_pairs", F.when(F.col("_pairs") <= EXACT_PAIRS, F.col("_pairs")).otherwise(too_many.cast("long"))), list(test)).where("_pairs > 0").drop("_pairs")

@@ -73,8 +73,8 @@ def _scan(spark, d):
     return assoc.association_scan(a, b, candidates, "s", "e", "p", n)
 
 
-@query(f"""WITH {_SCAN} SELECT n11.e, n11.p, n11, na.n - n11 AS n10, nb.n - n11 AS n01, (SELECT count(*) FROM customer) - na.n - nb.n + n11 AS n00, round(m, 6) AS ratio_mean, round(sd, 6) AS ratio_sd, round(md, 6) AS ratio_median, round(mx, 6) AS ratio_max, round(rho, 6) AS rho, round(100.0 * n11 / na.n, 6) AS pct
-    FROM n11 JOIN na ON n11.e = na.e JOIN nb ON n11.p = nb.p""")
+@query(f"""WITH {_SCAN} SELECT na.e, nb.p, coalesce(n11, 0) AS n11, na.n - coalesce(n11, 0) AS n10, nb.n - coalesce(n11, 0) AS n01, (SELECT count(*) FROM customer) - na.n - nb.n + coalesce(n11, 0) AS n00, round(m, 6) AS ratio_mean, round(sd, 6) AS ratio_sd, round(md, 6) AS ratio_median, round(mx, 6) AS ratio_max, round(rho, 6) AS rho, round(100.0 * coalesce(n11, 0) / na.n, 6) AS pct
+    FROM na CROSS JOIN nb LEFT JOIN n11 ON n11.e = na.e AND n11.p = nb.p""")
 def d46_association_scan(spark, d):
     return _round(_scan(spark, d), "ratio_mean", "ratio_sd", "ratio_median", "ratio_max", "rho", "pct")
 

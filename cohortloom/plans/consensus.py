@@ -214,10 +214,10 @@ def d60_source_priority(spark, d):
     return hierarchy.source_priority(part.where("p_size > 20").select("p_partkey", c("p_brand").alias("v")), part.where("p_size < 30").select("p_partkey", c("p_type").alias("v")), "p_partkey", "v")
 
 
-@query("""WITH v AS (SELECT l_suppkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) WHEN count(DISTINCT l_returnflag) > 1 THEN 'MIXED' END AS l_returnflag FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.08 GROUP BY 1) SELECT s_suppkey, l_returnflag AS label FROM supplier LEFT JOIN v ON s_suppkey = l_suppkey""")
+@query("""WITH v AS (SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) WHEN count(DISTINCT l_returnflag) > 1 THEN 'MIXED' END AS l_returnflag FROM lineitem GROUP BY 1) SELECT o_orderkey, l_returnflag AS label FROM orders LEFT JOIN v ON o_orderkey = l_orderkey""")
 def d59_cluster_vote(spark, d):
-    votes = consensus.cluster_vote(table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount > 0.08"), "l_suppkey", "l_returnflag")
-    return table(spark, d, "supplier").join(votes, c("s_suppkey") == c("l_suppkey"), "left").select("s_suppkey", c("l_returnflag").alias("label"))
+    votes = consensus.cluster_vote(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag")
+    return table(spark, d, "orders").join(votes, c("o_orderkey") == c("l_orderkey"), "left").select("o_orderkey", c("l_returnflag").alias("label"))
 
 
 @query("""WITH r AS (SELECT a.ca, b.cb FROM (SELECT p_partkey, CASE WHEN p_size > 30 THEN 'high' ELSE 'low' END AS ca FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT p_partkey, CASE WHEN p_retailprice > 950 THEN 'high' ELSE 'low' END AS cb FROM part WHERE p_partkey % 4 <> 0) b ON a.p_partkey = b.p_partkey)

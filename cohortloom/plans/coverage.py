@@ -44,7 +44,9 @@ _GENE_FLAGS = ", ".join(f"CAST(regexp_matches(p_name || ' | ' || p_type || ' | '
 @query(f"""WITH f AS (SELECT l_suppkey, {_GENE_FLAGS} FROM lineitem JOIN part ON l_partkey = p_partkey)
     SELECT l_suppkey, count(*) AS genes, {", ".join(f"round(avg(f_{g}), 6) AS prop_{g}" for g in _GENE_GROUPS)}, {", ".join(f"max(f_{h}) AS has_{h}" for h in _HALLMARKS)}, {" + ".join(f"max(f_{h})" for h in _HALLMARKS)} AS hallmarks FROM f GROUP BY 1""")
 def d18_gene_groups(spark, d):
-    flagged = coverage.group_flags(_lines(spark, d), ["p_name", "p_type", "p_brand"], _GENE_GROUPS)
+    # flags are made once a part, before its lines repeat it
+    parts = coverage.group_flags(table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand"), ["p_name", "p_type", "p_brand"], _GENE_GROUPS).drop("p_name", "p_type", "p_brand")
+    flagged = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(parts, c("l_partkey") == c("p_partkey"))
     out = coverage.group_proportions(flagged, ["l_suppkey"], list(_GENE_GROUPS), _HALLMARKS)
     return out.withColumns({x: F.round(x, 6) for x in (f"prop_{g}" for g in _GENE_GROUPS)})
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
+from cohortloom.functions.store import shared_folder
 from cohortloom.operators import ml
 from cohortloom.sources import tables
 
@@ -88,3 +91,13 @@ def io24_mined_fields(spark, d):
 @query("""SELECT count(*) AS rows, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total, count(*) FILTER (o_orderstatus IS NULL) AS null_o_orderstatus FROM orders""")
 def io27_run_summary(spark, d):
     return tables.run_summary(table(spark, d, "orders"), {"customers": F.countDistinct("o_custkey"), "total": F.round(F.sum("o_totalprice"), 2)}, ["o_orderstatus"])
+
+
+@query("""SELECT s_suppkey AS supplier, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS name, s_acctbal AS balance FROM supplier""")
+def io24_log_records(spark, d):
+    path = f"{shared_folder(spark).rstrip('/')}/logs-{uuid.uuid4().hex}"
+    # a record of some lines for each supplier, as a tool would log it; one field is missing in a third of them
+    line = F.concat_ws("\n", F.format_string("run %d starts", "s_suppkey"), F.lit("loading"), F.when(c("s_suppkey") % 3 != 0, F.concat(F.lit("label: "), c("s_name"))), F.concat(F.lit("balance="), c("s_acctbal").cast("string")), F.lit("done"))
+    table(spark, d, "supplier").select(line.alias("value")).write.text(path)
+    rows = tables.mined_logs(spark, path, "^run ", {"supplier": r"^run (\d+) starts", "name": "^label: (.*)", "balance": "^balance=(.*)"})
+    return rows.select(c("supplier").cast("int").alias("supplier"), "name", c("balance").cast("double").alias("balance"))

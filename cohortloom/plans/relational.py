@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.functions import expr as X
-from cohortloom.operators import joins, order, pick, shape
+from cohortloom.operators import joins, order, pick, shape, sketches
 
 from .registry import query, table
 
@@ -23,10 +23,10 @@ def j1_j2_j11_joins(spark, d):
 
 
 @query("""SELECT coalesce(a.k, b.k) AS k, a.n AS n_a, b.n AS n_b, coalesce(a.top, b.top) AS top FROM
-    (SELECT l_partkey AS k, count(*) AS n, max(l_quantity) AS top FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY 1) a FULL JOIN
-    (SELECT l_partkey AS k, count(*) AS n, max(l_quantity) AS top FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1) b ON a.k = b.k""")
+    (SELECT l_partkey AS k, count(*) AS n, max(l_quantity) AS top FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a FULL JOIN
+    (SELECT l_partkey AS k, count(*) AS n, max(l_quantity) AS top FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) b ON a.k = b.k""")
 def j3_j4_j10_full_join(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 45").groupBy(c("l_partkey").alias("k"), "l_returnflag").agg(N().alias("n"), F.max("l_quantity").alias("top"))
+    rows = table(spark, d, "lineitem").groupBy(c("l_partkey").alias("k"), "l_returnflag").agg(N().alias("n"), F.max("l_quantity").alias("top"))
     a, b = (rows.where(c("l_returnflag") == f).select("k", c("n").alias(f"n_{s}"), c("top").alias(f"top_{s}")) for f, s in (("A", "a"), ("R", "b")))
     return a.join(b, ["k"], "full").select("k", "n_a", "n_b", F.coalesce("top_a", "top_b").alias("top"))
 
@@ -281,16 +281,16 @@ def u3_u5_set_operations(spark, d):
     return shape.stack([count(a.union(b).distinct(), "union"), count(a.intersect(b), "both"), count(a.subtract(b), "less")])
 
 
-@query("""WITH f AS (SELECT l_partkey, max(CAST(l_returnflag = 'A' AS INT)) AS in_A, max(CAST(l_returnflag = 'N' AS INT)) AS in_N, max(CAST(l_returnflag = 'R' AS INT)) AS in_R FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
+@query("""WITH f AS (SELECT l_orderkey, max(CAST(l_returnflag = 'A' AS INT)) AS in_A, max(CAST(l_returnflag = 'N' AS INT)) AS in_N, max(CAST(l_returnflag = 'R' AS INT)) AS in_R FROM lineitem GROUP BY 1)
     SELECT in_A, in_N, in_R, count(*) AS n FROM f GROUP BY 1, 2, 3""")
 def u6_u7_overlaps(spark, d):
-    return shape.set_overlap(table(spark, d, "lineitem").where("l_quantity > 40"), "l_partkey", "l_returnflag", ["A", "N", "R"])
+    return shape.set_overlap(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", ["A", "N", "R"])
 
 
-@query("""WITH f AS (SELECT l_partkey, min(CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END) AS i FROM lineitem WHERE l_quantity > 47 GROUP BY 1), g AS (SELECT i, count(*) AS added FROM f GROUP BY 1)
+@query("""WITH f AS (SELECT l_orderkey, min(CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END) AS i FROM lineitem GROUP BY 1), g AS (SELECT i, count(*) AS added FROM f GROUP BY 1)
     SELECT CASE i WHEN 0 THEN 'N' WHEN 1 THEN 'R' ELSE 'A' END AS method, added, CAST(sum(added) OVER (ORDER BY i) AS BIGINT) AS covered FROM g""")
 def u8_incremental_coverage(spark, d):
-    return shape.incremental_coverage(table(spark, d, "lineitem").where("l_quantity > 47"), "l_partkey", "l_returnflag", ["N", "R", "A"])
+    return shape.incremental_coverage(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", ["N", "R", "A"])
 
 
 @query("""SELECT l_suppkey, CAST(coalesce(sum(l_quantity) FILTER (l_returnflag = 'A'), 0) AS BIGINT) AS "A", CAST(coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS BIGINT) AS "R" FROM lineitem GROUP BY 1""")
@@ -307,3 +307,31 @@ def r2_unpivot(spark, d):
 def r3_r4_explode_unnest(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.struct(c("p_size").alias("size"), c("p_brand").alias("brand")).alias("s"), F.explode(F.split("p_name", " ")).alias("word"))
     return rows.select("p_partkey", "word", "s.*")
+
+
+@query("""WITH x AS (SELECT DISTINCT r_name, n_name, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT 0 AS level, r_name, n_name, count(*) AS parts, TRUE AS near FROM x GROUP BY 2, 3 UNION ALL SELECT 1, r_name, NULL, count(DISTINCT l_partkey), TRUE FROM x GROUP BY 2 UNION ALL SELECT 2, NULL, NULL, count(DISTINCT l_partkey), TRUE FROM x""")
+def a6_a19_sketch_roll_up(spark, d):
+    tree = table(spark, d, "region").join(table(spark, d, "nation"), c("r_regionkey") == c("n_regionkey")).join(table(spark, d, "supplier"), c("s_nationkey") == c("n_nationkey")).select("r_name", "n_name", "s_suppkey")
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(tree, c("l_suppkey") == c("s_suppkey"))
+    levels = [["r_name", "n_name"], ["r_name"], []]
+    # one scan makes the sketches; each level merges those below it. The exact counts are there to hold the estimates against
+    held = sketches.estimates(sketches.roll_up_levels(sketches.sketch(rows, levels[0], ["l_partkey"]), levels))
+    exact = rows.groupBy(F.lit(0).alias("level"), "r_name", "n_name").agg(F.countDistinct("l_partkey").alias("parts")).unionByName(rows.groupBy(F.lit(1).alias("level"), "r_name").agg(F.countDistinct("l_partkey").alias("parts")), allowMissingColumns=True)
+    exact = exact.unionByName(rows.agg(F.countDistinct("l_partkey").alias("parts")).withColumn("level", F.lit(2)), allowMissingColumns=True)
+    at = [c(f"held.{k}").eqNullSafe(c(f"exact.{k}")) for k in ("level", "r_name", "n_name")]
+    near = F.abs(c("distinct_l_partkey") - c("parts")) <= 4 * sketches.distinct_error() * c("parts")
+    return held.alias("held").join(exact.alias("exact"), at[0] & at[1] & at[2]).select("exact.level", "exact.r_name", "exact.n_name", "parts", near.alias("near"))
+
+
+@query("""SELECT p_brand, count(*) AS n, TRUE AS near FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def a4_sketch_quantiles(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), c("l_partkey") == c("p_partkey")).select("p_type", "p_brand", "l_extendedprice")
+    # sketches by type and brand, merged to brands; the rank of each estimate is held against the rows
+    held = sketches.estimates(sketches.roll_up(sketches.sketch(rows, ["p_type", "p_brand"], numbers=["l_extendedprice"]), ["p_brand"]), {"q1": 0.25, "q3": 0.75})
+    met = rows.join(held.withColumnRenamed("n", "sketched"), "p_brand")
+    near = F.max("sketched") == N()
+    for name, q in (("q1", 0.25), ("q3", 0.75)):
+        at = c(f"l_extendedprice_{name}")
+        near = near & (F.avg((c("l_extendedprice") < at).cast("int")) <= q + 0.04) & (F.avg((c("l_extendedprice") <= at).cast("int")) >= q - 0.04)
+    return met.groupBy("p_brand").agg(N().alias("n"), near.alias("near"))

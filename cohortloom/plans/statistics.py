@@ -75,6 +75,14 @@ def st5_wilcoxon(spark, d):
     return stats.wilcoxon(rows, ["l_suppkey"], "l_partkey", "l_linestatus", "qty", "O", "F")
 
 
+@query("""WITH v AS (SELECT l_suppkey, l_partkey, coalesce(sum(l_quantity) FILTER (l_linestatus = 'O'), 0) - coalesce(sum(l_quantity) FILTER (l_linestatus = 'F'), 0) AS d FROM lineitem GROUP BY 1, 2),
+    r AS (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY abs(d)) + (count(*) OVER (PARTITION BY l_suppkey, abs(d)) - 1) / 2.0 AS r FROM v WHERE d <> 0)
+    SELECT l_suppkey, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM r GROUP BY 1""")
+def st5_signed_ranks(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_linestatus").agg(F.sum("l_quantity").alias("qty"))
+    return stats.signed_ranks(rows, ["l_suppkey"], "l_partkey", "l_linestatus", "qty", "O", "F")
+
+
 @query("""WITH s AS (SELECT l_partkey, count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1) SELECT l_partkey, n, CASE WHEN n >= 25 THEN round(r, 6) END AS r FROM s""")
 def st6_a22_pearson(spark, d):
     return _rounded(stats.pearson(table(spark, d, "lineitem"), ["l_partkey"], "l_quantity", "l_extendedprice", 25), "r")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.functions import expr as X
+from cohortloom.operators.windows import blocked_sums
 
 
 def read_delim(spark: SparkSession, path: str | list[str], schema: str, sep: str = "\t", header: bool = True, nulls: Sequence[str] = (), comment: str | None = None, bad_rows: str | None = None, columns: dict[str, str] | None = None) -> DataFrame:
@@ -129,10 +130,16 @@ def mined(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     return df.withColumns({n: X.extract_group(text, p) for n, p in patterns.items()})
 
 
-def mined_logs(spark: SparkSession, path: str, row: str, patterns: dict[str, str]) -> DataFrame:
-    """One row for each match of row in each whole file, with fields from inside the match, and the file's path."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.regexp_extract_all("value", F.lit(row), F.lit(0))).alias("pos", "_m"))
-    return mined(files, "_m", patterns).drop("_m")
+def mined_logs(spark: SparkSession, path: str, start: str, fields: dict[str, str]) -> DataFrame:
+    """One row for each record of log files: file, record (from 1) and the first match of each field's pattern (its group) in it.
+
+    A record begins at a line that matches start and goes on to the next such line; lines before the first belong to none. Files are
+    read by splits of any number: a split's starts are counted first, and its lines go on with the count of those before it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_i"), "value")
+    numbered = blocked_sums(lines, ["file"], "_split", ["_i"], {"record": F.col("value").rlike(start).cast("long")}).where("record > 0")
+    found = [F.min_by(m, F.when(m.isNotNull(), F.struct("_split", "_i"))).alias(n) for n, m in ((n, X.extract_group("value", p)) for n, p in fields.items())]
+    return numbered.groupBy("file", "record").agg(*found)
 
 
 def write_delim(df: DataFrame, path: str, sep: str = "\t", gzip: bool = False) -> None:

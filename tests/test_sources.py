@@ -33,13 +33,30 @@ def test_line_formats(spark, tmp_path):
     assert (got["a"], got["b"], got["c"], got["d"]) == (0, 0, 0, 1) and sorted(got[x] for x in "efg") == [2, 3, 4]
     (tmp_path / "fa").write_text(">x one\nACGT\n>y\nAC\n>x again\n")
     assert {r["id"] for r in S.fasta_ids(spark, str(tmp_path / "fa")).collect()} == {"x", "y"}
-    (tmp_path / "log").write_text("start s1\nreads: 10\nstart s2\nreads: 20\n")
-    mined = S.mined_logs(spark, str(tmp_path / "log"), r"start \w+\nreads: \d+", {"sample": r"start (\w+)", "reads": r"reads: (\d+)"})
-    assert [(r["sample"], r["reads"]) for r in mined.orderBy("pos").collect()] == [("s1", "10"), ("s2", "20")]
     (tmp_path / "x.xml").write_text("<set><rec><acc>A1</acc></rec><rec><acc>A2</acc></rec></set>")
     assert [r["acc"] for r in S.read_xml(spark, str(tmp_path / "x.xml"), "rec", "acc string").orderBy("acc").collect()] == ["A1", "A2"]
 
 
+def test_logs_over_splits(spark, tmp_path):
+    """Records that go on over borders of splits, several files, fields that are missing or come twice."""
+    names = {"sample": r"^start (\w+)", "reads": r"reads: (\d+)", "rate": r"rate=([0-9.]+)"}
+    want = []
+    for f in ("a.log", "b.log"):
+        said = ["tool 1.0", "reads: 999"]
+        for i in range(200):
+            said += [f"start {f[0]}{i}", *["working on it"] * (i % 7), *([f"reads: {i}", "reads: 7"] if i % 3 else []), f"rate={i / 8}"]
+            want.append((f, i + 1, f"{f[0]}{i}", str(i) if i % 3 else None, str(i / 8)))
+        (tmp_path / f).write_text("\n".join(said) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        got = S.mined_logs(spark, f"{tmp_path}/*.log", "^start ", names)
+        assert spark.read.text(f"{tmp_path}/*.log").rdd.getNumPartitions() > 10
+        assert sorted((r["file"].rsplit("/", 1)[1], *tuple(r)[1:]) for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     S.write_delim(df, str(tmp_path / "t"), gzip=True)
