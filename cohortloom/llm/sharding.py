@@ -103,9 +103,18 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, text: str = "text", extra:
     return placed(sized, ("doc_id", "text_crc32", "size"), shards, partitions, "shard", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, text: str = "text", partitions: int | None = None) -> None:
-    """docs as Parquet under path, in one folder a shard (column shard), each in slot order. Repeated rows are rows of their own."""
+#: Bytes of text that a task writes.
+FILE_BYTES = 256 << 20
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 24, text: str = "text", partitions: int | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """docs as Parquet under path, in one folder a shard (column shard), each in slot order. Repeated rows are rows of their own.
+
+    Rows are dealt by ranges of (shard, slot), so a shard of any size is written by many tasks, with about file_bytes each; its
+    files follow each other in slot order.
+    """
     shard, slot, size, crc = (fresh(docs, n) for n in ("shard", "slot", "size", "crc"))
     rows = docs.withColumn(size, size_of(text, 8)).withColumn(crc, checksum_of(text))
+    files = max(shards, -(-int(rows.agg(F.sum(size)).first()[0] or 0) // file_bytes))
     out = placed(rows, ("doc_id", crc, size), shards, partitions, shard, slot).drop(size, crc)
-    out.repartition(shards, shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    out.repartitionByRange(files, shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

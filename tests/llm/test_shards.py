@@ -37,3 +37,15 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     assert sorted(map(tuple, back.select(*df.columns).collect()), key=str) == sorted(rows, key=str)
     for r in back.groupBy("_shard").agg({"_shard": "count", "slot": "max"}).collect():
         assert r["max(slot)"] == r["count(_shard)"] - 1
+
+
+def test_a_shard_is_written_by_many_tasks(spark, tmp_path):
+    import os
+
+    df = spark.createDataFrame([(i, "x" * 40) for i in range(400)], "doc_id long, text string")
+    sharding.write_shards(df, str(tmp_path / "out"), shards=2, file_bytes=2000)
+    files = [sorted(f for f in os.listdir(tmp_path / "out" / f"shard={k}") if f.endswith(".parquet")) for k in (0, 1)]
+    assert min(map(len, files)) >= 4
+    for k in (0, 1):
+        slots = [[r["slot"] for r in spark.read.parquet(str(tmp_path / "out" / f"shard={k}" / f)).collect()] for f in files[k]]
+        assert [x for each in slots for x in each] == list(range(200))  # file after file in slot order
