@@ -87,6 +87,9 @@ QUERIES = {
 CONTROLS = ("\\", "<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "|>")
 ADDED = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in CONTROLS)
 
+#: Turns of one number and role follow the digest that the operator has of them.
+TIE = "sha256(length(role) || ':' || role || text)"
+
 #: CRC-32 in SQL: a table made from the polynomial (crc, one row with list t), and the checksum of a list of bytes as hexadecimal pairs.
 CRC_TABLE = """step(i, c, k) AS (
             SELECT i::UINTEGER, i::UINTEGER, 0 FROM range(256) r(i)
@@ -106,8 +109,8 @@ ORACLES = {
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
         sized AS (SELECT *, role || text AS both_, (SELECT {ADDED} FROM (SELECT role AS x)) + (SELECT {ADDED} FROM (SELECT text AS x)) AS added FROM said),
         told AS (
-            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
-                   string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS loss,
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, {TIE}) AS turns,
+                   string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, {TIE}) AS loss,
                    sum(length(both_) + added + length('<||>') + length('<|end|>') + 2) AS formatted_chars
             FROM sized GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM told""",
