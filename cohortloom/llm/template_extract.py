@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, blocks, cut, filled, text_of
+from .common import BLOCK_BYTES, as_batch, blocks, cut, filled, text_of, tidy
 
 #: Share of a host's pages that a class must reach, the fewest different pages that a host with a template, or a token of one, has, and the fewest tokens of a class.
 SUPPORT, LEAST_PAGES, CLASS_SIZE = 0.5, 2, 2
@@ -240,13 +240,18 @@ def host_column(url: str) -> Column:
 
 def without_copies(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest of the pages; of those of a host with the same html, only one of the smallest page_id."""
-    wanted = pages.select("page_id", "url", "html", F.xxhash64(text_of("html")).alias("digest")).withColumn("host", host_column("url"))
-    copies = cut(wanted.select("host", "digest").where("host IS NOT NULL").groupBy("host", "digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    size = copies.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0]
-    joined = wanted.join(F.broadcast(copies) if size <= BROADCAST_BYTES else copies, ["host", "digest"], "left")
+    wanted = pages.select("page_id", "url", "html", F.xxhash64(text_of("html")).alias("digest"))
+    hosts = wanted.select("digest", host_column("url").alias("host")).where("host IS NOT NULL")
+    copies = cut(hosts.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    small = copies.agg(F.coalesce(F.sum(F.octet_length("host") + 32), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    digests = copies.select("digest").distinct()
+    digests, copies = (F.broadcast(digests), F.broadcast(copies)) if small else (digests, copies)
+    # most pages are no copies, and need no host for that
+    joined = wanted.join(digests, "digest", "left_semi").withColumn("host", host_column("url")).join(copies, ["host", "digest"], "left")
     # a task keeps one row of each group, so copies of any number are few rows
     of_many = joined.where("copies IS NOT NULL").groupBy("host", "digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("at"), F.first("html").alias("html"))
-    return joined.where("copies IS NULL").select("page_id", "url", "html", "digest").unionByName(of_many.select("at.page_id", "at.url", "html", "digest"))
+    columns = ["page_id", "url", "html", "digest"]
+    return wanted.join(digests, "digest", "left_anti").select(columns).unionByName(joined.where("copies IS NULL").select(columns)).unionByName(of_many.select("at.page_id", "at.url", "html", "digest"))
 
 
 def token_sums(pages: DataFrame) -> DataFrame:
@@ -274,7 +279,7 @@ def token_sums(pages: DataFrame) -> DataFrame:
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "html"):
+        for b in blocks(batches, "html", BLOCK_BYTES // 2):
             sums: dict[tuple[str, str], list[int]] = {}
             for key, url, page, digest in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), filled(b.column("html")).to_pylist(), b.column("digest").to_pylist(), strict=True):
                 if host := host_of(url):
@@ -288,7 +293,7 @@ def token_sums(pages: DataFrame) -> DataFrame:
                             own[i] += v
             yield as_batch(COUNTED, [h for h, _ in sums], [t for _, t in sums], *([v[i] for v in sums.values()] for i in range(len(MEASURES))))
 
-    counted = without_copies(pages).mapInArrow(run, "host string, token string, " + ", ".join(f"{m} long" for m in MEASURES))
+    counted = without_copies(pages).mapInArrow(tidy(run), "host string, token string, " + ", ".join(f"{m} long" for m in MEASURES))
     added = {m: F.sum(m) for m in MEASURES} | {"vector": F.expr("cast(sum(cast(vector as decimal(38,0))) % 4611686018427387904 as bigint)"), "low": F.min("low"), "high": F.max("high")}
     return counted.groupBy("host", "token").agg(*(f.alias(m) for m, f in added.items()))
 
@@ -485,7 +490,7 @@ def extract(pages: DataFrame) -> DataFrame:
                         known[h] = Template.of(by_host.value.get(h))
                 yield rows(b, [known[h] for h in hosts])
 
-        return wanted.mapInArrow(local, TEXT_DDL)
+        return wanted.mapInArrow(tidy(local), TEXT_DDL)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "html"):
@@ -493,4 +498,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield rows(b, [Template.of({"classes": c, "slots": k}) for c, k in zip(classes, slots, strict=True)])
 
     # the templates' side has one row a host, so Spark can split a host with very many pages
-    return wanted.withColumn("host", host_column("url")).join(found.select("host", "classes", "slots"), "host", "left").mapInArrow(joined, TEXT_DDL)
+    return wanted.withColumn("host", host_column("url")).join(found.select("host", "classes", "slots"), "host", "left").mapInArrow(tidy(joined), TEXT_DDL)
