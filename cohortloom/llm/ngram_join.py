@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, cut, filled, text_of, tidy
-from .components import components, labelled, met, with_labels, without_repeats
+from .components import components, labelled, met, with_labels
 from .simhash import fingerprints, pack_gaps, text_hash, unpack_gaps
 
 #: Bits and bytes of a hash that stands for an n-gram in sets.
