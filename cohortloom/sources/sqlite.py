@@ -15,7 +15,7 @@ SQLite stores any type in any column. A value that is not of the column's type i
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import closing
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -55,18 +55,23 @@ def source_of(options: dict[str, str]) -> str:
     return named(table) if table else f"({query})"
 
 
-def schema_of(path: str, options: dict[str, str]) -> T.StructType:
-    """Columns and types by the catalogue; a column without a declared type has that of its first value that is not null, or is text."""
-    with closing(opened(path)) as db:
-        db.execute(f"CREATE TEMP VIEW loom_source AS SELECT * FROM {source_of(options)}")
-        fields = []
-        for _, name, declared, *_ in db.execute("PRAGMA table_info(loom_source)").fetchall():
-            kind = next((t for part, t in DECLARED if part in declared.upper()), None)
-            if kind is None:
-                first = db.execute(f"SELECT typeof({named(name)}) FROM loom_source WHERE {named(name)} IS NOT NULL LIMIT 1").fetchone()
-                kind = STORED[first[0]] if first else T.StringType()
-            fields.append(T.StructField(name, kind))
-    return T.StructType(fields)
+def schema_of(path: str, options: dict[str, str], others: Sequence[str] = ()) -> T.StructType:
+    """Columns and types by the first file's catalogue; a column without a declared type has that of its first value that is not null
+    in any of the files, as files may be empty, or is text."""
+    columns: dict[str, T.DataType | None] = {}
+    for at in (path, *others):
+        with closing(opened(at)) as db:
+            db.execute(f"CREATE TEMP VIEW loom_source AS SELECT * FROM {source_of(options)}")
+            if not columns:
+                columns = {name: next((t for part, t in DECLARED if part in declared.upper()), None) for _, name, declared, *_ in db.execute("PRAGMA table_info(loom_source)").fetchall()}
+            unknown = [n for n, t in columns.items() if t is None]
+            for stored in db.execute(f"SELECT {', '.join(f'typeof({named(n)})' for n in unknown)} FROM loom_source") if unknown else ():
+                columns |= {n: STORED[s] for n, s in zip(unknown, stored, strict=True) if columns[n] is None and s in STORED}
+                if None not in columns.values():
+                    break
+        if None not in columns.values():
+            break
+    return T.StructType([T.StructField(n, t or T.StringType()) for n, t in columns.items()])
 
 
 def condition(f: D.Filter, kinds: dict[str, T.DataType]) -> tuple[str, list] | None:
@@ -205,7 +210,8 @@ class SqliteSource(D.DataSource):
         return "loom_sqlite"
 
     def schema(self) -> T.StructType:
-        return schema_of(files_at(self.options["path"], ENDING)[0], self.options)
+        first, *others = files_at(self.options["path"], ENDING)
+        return schema_of(first, self.options, others)
 
     def reader(self, schema: T.StructType) -> SqliteReader:
         return SqliteReader(schema, self.options)

@@ -1,6 +1,9 @@
 """What went wrong on larger tables or odd partitions: small cases of it."""
 
+import os
+
 from cohortloom.plans import registry
+from cohortloom.sources.sqlite import read_sqlite, write_sqlite
 
 from .test_queries import ordered, plain
 
@@ -29,3 +32,17 @@ def test_top_part_by_price_and_key(spark, tmp_path):
     rows = [(5, "dear", "a", "t", 1, 901.0), (120_000, "far", "a", "t", 1, 900.0), (1, None, "b", "t", 1, 999.0), (2, "named", "b", "u", 1, 1.0), (3, "priceless", "c", "t", 1, None)]
     got, want = against_sql(spark, "a7_a8_a17_first_and_top", tmp_path, part=spark.createDataFrame(rows, PART))
     assert got == want and "far" in got[0]
+
+
+def test_types_of_a_query_come_from_files_with_rows(spark, tmp_path):
+    """The first file by name is empty; a column without a declared type is known from another one."""
+    path = str(tmp_path / "files")
+    for name, rows in (("a", []), ("b", [(1, 2.5), (1, 4.0)])):
+        write_sqlite(spark.createDataFrame(rows, "k long, v double").coalesce(1), str(tmp_path / name), "t")
+        os.makedirs(path, exist_ok=True)
+        for i, f in enumerate(sorted((tmp_path / name).glob("*.sqlite"))):
+            os.rename(f, f"{path}/{name}{i}.sqlite")
+    assert len(os.listdir(path)) >= 2
+    got = read_sqlite(spark, path, query="SELECT k, sum(v) AS s, count(*) AS n FROM t GROUP BY 1")
+    assert got.dtypes == [("k", "bigint"), ("s", "double"), ("n", "bigint")]
+    assert [tuple(r) for r in got.collect()] == [(1, 6.5, 2)]
