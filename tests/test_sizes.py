@@ -2,6 +2,9 @@
 
 import os
 
+from pyspark.sql import functions as F
+
+from cohortloom.operators import curves, windows
 from cohortloom.plans import registry
 from cohortloom.sources.sqlite import read_sqlite, write_sqlite
 
@@ -46,3 +49,22 @@ def test_types_of_a_query_come_from_files_with_rows(spark, tmp_path):
     got = read_sqlite(spark, path, query="SELECT k, sum(v) AS s, count(*) AS n FROM t GROUP BY 1")
     assert got.dtypes == [("k", "bigint"), ("s", "double"), ("n", "bigint")]
     assert [tuple(r) for r in got.collect()] == [(1, 6.5, 2)]
+
+
+def test_curve_of_each_group_even_one_without_a_name(spark):
+    """Groups and labels that are null have curves like any other, and rows of one key count one by one."""
+    rows = [(i // 2, g, f"l{i % 5}" if i % 3 else None, i % 4 == 0) for g in ("a", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, g string, l string, f boolean")
+    got = curves.accumulation_curve(df, "k", "l", F.col("f"), 4, ["g"]).collect()
+    for g in ("a", None):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: r["pos"])
+        assert [r["pos"] for r in own] == list(range(1, 41))
+        assert own[0]["total"] == 1 and own[0]["non_singleton"] == 0
+        assert tuple(own[-1])[2:] == (6, 6, 6, 6, 6)
+
+
+def test_block_totals_are_not_sent_to_all_tasks(spark):
+    """Totals of exploded rows may be many while the planner takes them for few."""
+    rows = spark.range(9).selectExpr("explode(sequence(1, 9)) AS g", "id % 3 AS b", "id AS v")
+    plan = windows.blocked_sums(rows, ["g"], "b", ["v"], {"s": F.col("v")})._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
