@@ -44,7 +44,7 @@ def rank_sums(df: DataFrame, test: Sequence[str], group: str, value: str) -> tup
     return sums, totals
 
 
-#: Pairs of a test up to which the signed-rank distribution is computed: its work grows with their cube.
+#: Pairs of a test up to which the signed-rank distribution is computed.
 EXACT_PAIRS = 2000
 
 
@@ -124,13 +124,23 @@ def pearson(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) ->
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
     """rho over average ranks with its p; null under least pairs or without spread.
 
-    Pairs of values are counted; either side's ranks are running counts over its distinct values and meet the pairs in a join.
+    Groups of which each is one task's work are ranked by windows. Otherwise pairs of values are counted; either side's ranks are
+    running counts over its distinct values and meet the pairs in a join.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    part = lambda a, b: F.sum(F.col("_n") * F.col(a) * F.col(b))
+    most, pairs = order.extent(rows, by)
+    if most <= order.ONE_TASK:
+        off = lambda v: X.average_rank(list(by), v) - (F.count(F.lit(1)).over(Window.partitionBy(*by)) + 1) / 2
+        ranked = order.over_tasks(rows, by, pairs).withColumns({"_n": F.lit(1), "_r_x": off("_x")}).withColumn("_r_y", off("_y"))
+        return correlated(ranked, by, part, least)
     cells = kept(order.count_values(rows, by, "_x", "_y"))
     side = lambda v: order.running_counts(cells.groupBy(*by, v).agg(F.sum("_n").alias("_n")), by, v).select(*by, v, (order.mean_rank() - (F.col("_total") + 1) / 2).alias(f"_r{v}"))
-    ranked = cells.join(side("_x"), [*by, "_x"]).join(side("_y"), [*by, "_y"])
-    part = lambda a, b: F.sum(F.col("_n") * F.col(a) * F.col(b))
+    return correlated(cells.join(side("_x"), [*by, "_x"]).join(side("_y"), [*by, "_y"]), by, part, least)
+
+
+def correlated(ranked: DataFrame, by: Sequence[str], part, least: int) -> DataFrame:
+    """n, rho and p_value of rows with ranks _r_x and _r_y about their means, each for _n pairs."""
     out = ranked.groupBy(*by).agg(F.sum("_n").alias("n"), part("_r_x", "_r_y").alias("_xy"), part("_r_x", "_r_x").alias("_xx"), part("_r_y", "_r_y").alias("_yy"))
     rho = F.when((F.col("n") >= least) & (F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.col("_xx")) / F.sqrt(F.col("_yy")))
     return out.select(*by, "n", rho.alias("rho")).withColumn("p_value", tests.correlation_p("rho", "n"))

@@ -2,9 +2,10 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.operators import curves, windows
+from cohortloom.operators import curves, order, stats, windows
 from cohortloom.plans import registry
 from cohortloom.sources.sqlite import read_sqlite, write_sqlite
 
@@ -70,6 +71,20 @@ def test_block_totals_are_not_sent_to_all_tasks(spark):
     assert "Broadcast" not in plan
 
 
+def test_many_small_groups_need_no_blocks(spark, monkeypatch):
+    """Each group is one task's work, though all together are not."""
+    monkeypatch.setattr(order, "ONE_TASK", 10)
+    monkeypatch.setattr(order, "blocked_sums", lambda *a: pytest.fail("dealt over blocks"))
+    rows = [(g, float(i * 7 % 5), float(i * i % 6)) for g in range(6) for i in range(8)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    counts = order.running_counts(order.count_values(df, ["g"], "x"), ["g"], "x").collect()
+    assert {(r["x"], r["_before"]) for r in counts if r["g"] == 3} == {(x, sum(v < x for g, v, _ in rows if g == 3)) for x in range(5)}
+    small = {r["g"]: r["rho"] for r in stats.spearman(df, ["g"], "x", "y").collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(order, "ONE_TASK", 1)
+    assert {r["g"]: r["rho"] for r in stats.spearman(df, ["g"], "x", "y").collect()} == pytest.approx(small)
+
+
 def test_summary_keeps_no_map_of_all_values(spark):
     plan = registry.QUERIES["a23_a24_a27_a28_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
