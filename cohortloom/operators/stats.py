@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,32 +85,21 @@ def signed_ranks(df: DataFrame, test: Sequence[str], pair: str, condition: str,
 def wilcoxon(df: DataFrame, test: Sequence[str], pair: str, condition: str, value: str, a, b) -> DataFrame:
     """Exact signed-rank test of a - b over pairs (a missing value is 0, equal ones are skipped).
 
-    A test's differences are in one task: the exact null distribution is a dynamic program over their ranks. A test
+    A test's distinct differences are one row: the tail of the exact null distribution is summed over their ranks (see tests.signed_tail). A test
     with more than EXACT_PAIRS differences ends the job with an error; signed_ranks gives its statistics.
     """
-    diffs = pair_differences(df, test, pair, condition, value, a, b)
-    sizes = diffs.groupBy(*test).agg(F.count(F.lit(1)).alias("_pairs"))
+    plus = F.count_if(F.col("_d") > 0)
+    sizes = pair_differences(df, test, pair, condition, value, a, b).groupBy(*test, F.abs("_d").alias("_s")).agg(F.count(F.lit(1)).alias("_n"), plus.alias("_plus"))
+    pairs = sizes.groupBy(*test).agg(F.sum("_n").alias("_pairs"), F.sort_array(F.collect_list(F.struct("_s", "_n", "_plus"))).alias("_at"))
     too_many = F.raise_error(F.concat(F.lit(f"more than {EXACT_PAIRS} pairs in a test: "), F.col("_pairs").cast("string")))
-    checked = diffs.join(sizes.withColumn("_pairs", F.when(F.col("_pairs") <= EXACT_PAIRS, F.col("_pairs")).otherwise(too_many.cast("long"))), list(test)).where("_pairs > 0").drop("_pairs")
-    ranked = checked.withColumn("_s", F.abs("_d")).withColumn("_r", X.average_rank(list(test), "_s"))
-
-    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
-        double = (2 * pdf["_r"]).round().astype(int).to_numpy()  # average ranks are halves
-        plus, total = int(double[pdf["_d"].to_numpy() > 0].sum()), int(double.sum())
-        ways = np.zeros(total + 1)
-        ways[0] = 1.0
-        reach = 0
-        for r in np.sort(double):  # sums so far go to reach, so small ranks first cost least
-            so_far = ways[: reach + 1].copy()
-            ways[r : r + reach + 1] += so_far
-            reach += r
-            ways[: reach + 1] /= 2
-        ways /= ways.sum()
-        w = min(plus, total - plus)
-        return pd.DataFrame([(*pdf.iloc[0][list(test)], len(pdf), plus / 2, min(1.0, 2 * float(ways[: w + 1].sum())))], columns=[*test, "n", "w_plus", "p_value"])
-
-    kinds = dict(df.dtypes)
-    return ranked.groupBy(*test).applyInPandas(exact, ", ".join([*(f"{t} {kinds[t]}" for t in test), "n long", "w_plus double", "p_value double"]))
+    checked = pairs.withColumn("_pairs", F.when(F.col("_pairs") <= EXACT_PAIRS, F.col("_pairs")).otherwise(too_many.cast("long"))).where("_pairs > 0")
+    # twice the average rank, as these are halves
+    start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("plus"), F.array().cast("array<long>").alias("ranks"))
+    rank = lambda so_far, x: 2 * so_far["before"] + x["_n"] + 1
+    add = lambda so_far, x: F.struct((so_far["before"] + x["_n"]).alias("before"), (so_far["plus"] + x["_plus"] * rank(so_far, x)).alias("plus"), F.concat(so_far["ranks"], F.array(rank(so_far, x))).alias("ranks"))
+    ranked = checked.withColumn("_sum", F.aggregate("_at", start, add)).repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *test)
+    p = tests.signed_p(F.col("_sum.ranks"), F.transform("_at", lambda x: x["_n"]), F.col("_sum.plus"))
+    return ranked.select(*test, F.col("_pairs").alias("n"), (F.col("_sum.plus") / 2).alias("w_plus"), p.alias("p_value"))
 
 
 def pearson(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:

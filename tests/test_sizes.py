@@ -2,9 +2,11 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortloom.functions import tests
 from cohortloom.operators import curves, order, stats, windows
 from cohortloom.plans import registry
 from cohortloom.sources.sqlite import read_sqlite, write_sqlite
@@ -88,3 +90,19 @@ def test_many_small_groups_need_no_blocks(spark, monkeypatch):
 def test_summary_keeps_no_map_of_all_values(spark):
     plan = registry.QUERIES["a23_a24_a27_a28_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_signed_tail_is_a_sum_over_few_terms():
+    """A thousand pairs with ties against the dynamic program, which has two million places; far tails keep their digits."""
+    r = 2 * np.arange(100) * 10 + 11
+    n = np.full(100, 10)
+    ways = np.ones(1)
+    for x in np.repeat(r, n):
+        longer = np.zeros(len(ways) + x)
+        longer[: len(ways)] += ways / 2
+        longer[x:] += ways / 2
+        ways = longer
+    for share in (0.5, 0.45, 0.3, 0.1):
+        w = int(len(ways) * share) - 1
+        assert tests.signed_tail(r, n, w) == pytest.approx(float(ways[: w + 1].sum()), rel=1e-9)
+    assert tests.signed_tail(r, n, 0) == pytest.approx(2.0**-1000)
