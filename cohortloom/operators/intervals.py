@@ -51,16 +51,29 @@ def binned(df: DataFrame, axis: Sequence[str], start: str, stop: str) -> DataFra
 
 
 def in_runs(rows: DataFrame, by: Sequence[str], line: str) -> DataFrame:
-    """rows with block, the number of their run of adjacent lines with one query and target, from 1."""
+    """rows with block, the number of their run of adjacent lines with one query and target, from 1, and _prior, the sum of _use of the run's earlier lines.
+
+    One order of a group's lines, or, without groups, of each block of lines; what a run has before its block comes from one row a block.
+    """
+    parts = list(by) or ["_lines"]
+    rows = rows if by else rows.withColumn("_lines", F.floor(F.col(line) / LINES))
+    whole, pair = Window.partitionBy(*parts).orderBy(line), F.struct("qname", "tname")
+    before = F.coalesce(F.sum("_use").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"_new": 1 - F.lag(pair).over(whole).eqNullSafe(pair).cast("int"), "_upto": before})
+    upto = whole.rowsBetween(Window.unboundedPreceding, 0)
+    # sums so far never fall, so the greatest at a run's start is that of the last run
+    rows = rows.withColumns({"block": F.sum("_new").over(upto), "_prior": F.col("_upto") - F.max(F.when(F.col("_new") == 1, F.col("_upto"))).over(upto)}).drop("_new", "_upto")
     if by:
-        whole = Window.partitionBy(*by).orderBy(line)
-        change = (F.lag("qname").over(whole).eqNullSafe(F.col("qname")) & F.lag("tname").over(whole).eqNullSafe(F.col("tname"))).cast("int")
-        return rows.withColumn("block", F.sum(1 - change).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
-    # a whole file: blocks of lines, each of which needs the last line before it
-    dealt = rows.withColumns({"_all": F.lit(0), "_lines": F.floor(F.col(line) / LINES)})
-    pair = F.struct("qname", "tname")
-    dealt = windows.blocked_scan(dealt, ["_all"], "_lines", [line], {"_last": ("last", pair)}, own=False)
-    return windows.blocked_sums(dealt, ["_all"], "_lines", [line], {"block": 1 - F.col("_last").eqNullSafe(pair).cast("int")}).drop("_all", "_last")
+        return rows
+    ends = rows.groupBy("_lines").agg(F.min_by(pair, line).alias("_first"), F.max_by(pair, line).alias("_last"), F.max("block").alias("_runs"), F.max_by(F.col("_prior") + F.col("_use"), line).alias("_tail"))
+    w = Window.partitionBy("_all").orderBy("_lines")
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    goes_on = F.lag("_last").over(w).eqNullSafe(F.col("_first"))
+    ends = ends.withColumn("_all", F.lit(0)).withColumns({"_on": goes_on.cast("int"), "_add": F.when(goes_on, F.lag("_tail").over(w)).otherwise(0), "_start": (~goes_on | (F.lag("_runs").over(w) > 1)).cast("int")})
+    ends = ends.withColumns({"_base": F.sum("_runs").over(sofar) - F.col("_runs") - F.sum("_on").over(sofar), "_stretch": F.sum("_start").over(sofar)})
+    carried = F.sum("_add").over(Window.partitionBy("_all", "_stretch").orderBy("_lines").rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.join(ends.select("_lines", "_base", carried.alias("_carried")).hint("shuffle_hash"), "_lines")
+    return out.withColumns({"_prior": F.col("_prior") + F.when(F.col("block") == 1, F.col("_carried")).otherwise(0), "block": F.col("_base") + F.col("block")}).drop("_lines", "_base", "_carried")
 
 
 def alignment_summary(rows: DataFrame, line: str = "line", max_evalue: float = 1e-3, min_length: int = 0, overrun: float = 1.10, groups: Sequence[str] = ()) -> DataFrame:
@@ -75,20 +88,12 @@ def alignment_summary(rows: DataFrame, line: str = "line", max_evalue: float = 1
     """
     by = list(groups)
     span = F.col("qend") - F.col("qstart") + 1
-    usable = in_runs(rows, by, line).withColumn("span", span).where((F.col("span") >= min_length) & (F.col("evalue") <= max_evalue))
+    usable = F.coalesce((span >= min_length) & (F.col("evalue") <= max_evalue), F.lit(False))
+    lines_of_runs = in_runs(rows.withColumn("_use", F.when(usable, span).otherwise(0)), by, line).where(usable)
     key = [*by, "block"]
-    if by:
-        inside = Window.partitionBy(*key).orderBy(line)
-        usable = usable.withColumn("_prior", F.coalesce(F.sum("span").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    else:
-        usable = windows.blocked_scan(usable, key, "_lines", [line], {"_prior": ("sum", F.col("span"))}, own=False)
-    stops = (F.col("_prior") >= F.col("qlen")) | (F.col("_prior") + F.col("span") >= overrun * F.col("qlen"))
-    usable = usable.withColumn("_stop", stops.cast("int"))
-    if by:
-        usable = usable.withColumn("_ended", F.max("_stop").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        usable = windows.blocked_scan(usable, key, "_lines", [line], {"_ended": ("max", F.col("_stop"))})
-    kept = usable.where("_ended = 0")
+    # spans only add up, so every line after one that stops its run stops it as well
+    stops = (F.col("_prior") >= F.col("qlen")) | (F.col("_prior") + F.col("_use") >= overrun * F.col("qlen"))
+    kept = lines_of_runs.where(~stops)
     side = lambda name, start, stop: F.struct(F.lit(name).alias("side"), start.alias("start"), stop.alias("stop"))
     sides = F.array(side("q", F.col("qstart"), F.col("qend")), side("t", F.least("tstart", "tend"), F.greatest("tstart", "tend")))
     long = kept.select(*key, "qname", "tname", "pid", "len", "qlen", "tlen", F.inline(sides))
@@ -97,11 +102,8 @@ def alignment_summary(rows: DataFrame, line: str = "line", max_evalue: float = 1
         F.count_if(query).alias("num_alns"), F.round(F.try_divide(F.sum(F.when(query, F.col("pid") * F.col("len"))), F.sum(F.when(query, F.col("len")))), 2).alias("pid"), F.first("qlen").alias("qlen"), F.first("tlen").alias("tlen"),
     ]
     cover = [F.sum(F.when(query, F.col("_add"))).alias("_q"), F.sum(F.when(~query, F.col("_add"))).alias("_t")]
-    if by:
-        # both sides' intervals by the same windows; everything stays where the runs are
-        out = measured(long, [*key, "side"]).groupBy(*key, "qname", "tname").agg(*lines, *cover)
-    else:
-        out = long.groupBy(*key, "qname", "tname").agg(*lines).join(binned(long, [*key, "side"], "start", "stop").groupBy(*key).agg(*cover), key)
+    # a run keeps no more lines than its query has positions; both sides' intervals by the same windows, where the runs are
+    out = measured(long, [*key, "side"]).groupBy(*key, "qname", "tname").agg(*lines, *cover)
     pct = lambda n, m: F.round(100.0 * F.col(n) / F.col(m), 2)
     return out.select(*by, "block", "qname", "tname", "num_alns", "pid", pct("_q", "qlen").alias("qcov"), pct("_t", "tlen").alias("tcov"))
 

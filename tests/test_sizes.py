@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import tests
-from cohortloom.operators import curves, order, stats, windows
+from cohortloom.operators import curves, intervals, order, stats, windows
 from cohortloom.plans import registry
 from cohortloom.sources.sqlite import read_sqlite, write_sqlite
 
@@ -106,3 +106,14 @@ def test_signed_tail_is_a_sum_over_few_terms():
         w = int(len(ways) * share) - 1
         assert tests.signed_tail(r, n, w) == pytest.approx(float(ways[: w + 1].sum()), rel=1e-9)
     assert tests.signed_tail(r, n, 0) == pytest.approx(2.0**-1000)
+
+
+def test_a_file_is_read_twice_whatever_its_scans(spark, monkeypatch):
+    """Runs that go over several blocks are those of one window; each line is read for its block's row and for itself, no more."""
+    monkeypatch.setattr(intervals, "LINES", 3)
+    rows = [(i, f"q{i // 11}", f"t{i // 11}", 90.0 + i % 7, 5.0, i % 5 * 9, i % 5 * 9 + 4, i % 5, i % 5 + 7, 1e-9 if i % 6 else 1.0, 40, 50) for i in range(60)]
+    df = spark.createDataFrame(rows, "line long, qname string, tname string, pid double, len double, qstart long, qend long, tstart long, tend long, evalue double, qlen long, tlen long")
+    whole = intervals.alignment_summary(df)
+    own = intervals.alignment_summary(df.withColumn("g", F.lit(1)), groups=["g"]).drop("g")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, own.collect())) and whole.count() == 6
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
