@@ -85,6 +85,7 @@ def _alignments(spark, d):
         c("l_suppkey").alias("qname"), c("l_partkey").alias("tname"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("line"), (90 + 100 * c("l_discount")).alias("pid"), (span + 1).cast("double").alias("len"),
         q0.cast("long").alias("qstart"), (q0 + span).alias("qend"), span.alias("tstart"), (2 * span).alias("tend"), F.when(c("l_tax") > 0.07, 1.0).otherwise(1e-9).alias("evalue"), F.lit(100).cast("long").alias("qlen"), F.lit(120).cast("long").alias("tlen"),
     )
+    rows = order.over_tasks(rows, ["qname"], rows.count())
     return rows.withColumn("line", F.row_number().over(Window.partitionBy("qname").orderBy("tname", "line", "qend", "pid", "evalue")).cast("long"))
 
 
