@@ -66,6 +66,30 @@ def test_curve_of_each_group_even_one_without_a_name(spark):
         assert tuple(own[-1])[2:] == (6, 6, 6, 6, 6)
 
 
+def test_subset_richness_needs_no_whole_curve(spark, monkeypatch):
+    """Rows past the last first place are not counted, against a walk; keys come twice, labels and sites may be null, one site is too small."""
+    import hashlib
+
+    monkeypatch.setattr(curves, "accumulation_curve", lambda *a: pytest.fail("a curve of all positions"))
+    rows = [(i * 2 // 3, f"l{i * i % 7}" if i % 5 else None, site) for i in range(70) for site in ("a", "b")] + [(i, "x", None) for i in range(30)] + [(i, "x", "c") for i in range(5)]
+    df = spark.createDataFrame(rows, "k int, l string, site string")
+    got = {(r["site"], r["n"]): (r["mean"], r["least"], r["most"]) for r in curves.subset_richness(df, "k", "l", "site", 8, 6, 10).collect()}
+    want = {}
+    for site in ("a", "b"):
+        own = [r for r in rows if r[2] == site]
+        orders = [sorted(own, key=lambda r: (hashlib.md5(f"{r[0]}:{rep}:1".encode()).hexdigest(), r[0], r[1] or "")) for rep in range(6)]
+        for n in {max(1, i * len(own) // 8) for i in range(1, 9)}:
+            seen = [len({r[1] for r in o[:n]}) for o in orders]
+            want[site, n] = (pytest.approx(sum(seen) / 6), min(seen), max(seen))
+    assert got == want
+    held = []
+    whole = curves.blocked_sums
+    monkeypatch.setattr(curves, "blocked_sums", lambda df, *rest: held.append(df) or whole(df, *rest))
+    many = spark.range(3000).selectExpr("id AS k", "concat('l', id % 3) AS l", "'s' AS site")
+    assert {r["least"] for r in curves.subset_richness(many, "k", "l", "site", 4, 2).collect()} == {3}
+    assert sum(r["_n"] for df in held for r in df.collect()) < 200  # of 6,000 in both orders
+
+
 def test_block_totals_are_not_sent_to_all_tasks(spark):
     """Totals of exploded rows may be many while the planner takes them for few."""
     rows = spark.range(9).selectExpr("explode(sequence(1, 9)) AS g", "id % 3 AS b", "id AS v")
