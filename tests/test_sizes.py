@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import tests
-from cohortloom.operators import curves, intervals, order, stats, windows
+from cohortloom.operators import assoc, curves, intervals, order, stats, windows
 from cohortloom.plans import registry
 from cohortloom.sources.sqlite import read_sqlite, write_sqlite
 
@@ -90,6 +90,27 @@ def test_subset_richness_needs_no_whole_curve(spark, monkeypatch):
     assert sum(r["_n"] for df in held for r in df.collect()) < 200  # of 6,000 in both orders
 
 
+def test_cascade_sends_a_row_once(spark, monkeypatch):
+    """No row is sent once a rank; samples too large for a task are, and give the same rows."""
+    e = spark.createDataFrame([(s, i, float(i % 4 + (s or 0)), f"n{i % 9}", f"g{i % 4}" if i % 5 else None) for s in (1, 2, None) for i in range(12 // (s or 1))], "s int, e int, v double, name string, genus string")
+    p = spark.createDataFrame([(s, float(i), f"n{i * 2}", f"g{i % 3}") for s in (1, 2, 3, None) for i in range(4)], "s int, pv double, name string, genus string")
+    scan = lambda: assoc.ratio_cascade(e, p, "s", "e", "v", "pv", ["name", "genus"])
+    whole = scan()
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    want = []
+    for s, i, v, name, genus in map(tuple, e.where("s IS NOT NULL").collect()):
+        there = [r for r in p.collect() if r["s"] == s]
+        first, second = [r["pv"] for r in there if r["name"] == name], [r["pv"] for r in there if r["genus"] == genus]
+        if first or len(second) == 1:
+            pv = max(first) if first else second[0]
+            want.append((s, i, "name" if first else "genus", v / pv if pv else None))
+    assert {r[2] for r in want} == {"name", "genus"} and ordered(map(tuple, whole.collect())) == ordered(want)
+    monkeypatch.setattr(order, "ONE_TASK", 12)  # sample 1 has 16 rows
+    assert "_part" in scan()._jdf.queryExecution().executedPlan().toString()
+    assert ordered(map(tuple, scan().collect())) == ordered(want)
+
+
 def test_block_totals_are_not_sent_to_all_tasks(spark):
     """Totals of exploded rows may be many while the planner takes them for few."""
     rows = spark.range(9).selectExpr("explode(sequence(1, 9)) AS g", "id % 3 AS b", "id AS v")
