@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import tests
+from cohortloom.functions.store import kept
 from cohortloom.operators import assoc, curves, intervals, order, stats, windows
 from cohortloom.plans import registry
 from cohortloom.sources.sqlite import read_sqlite, write_sqlite
@@ -174,3 +175,35 @@ def test_a_file_is_read_twice_whatever_its_scans(spark, monkeypatch):
     own = intervals.alignment_summary(df.withColumn("g", F.lit(1)), groups=["g"]).drop("g")
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, own.collect())) and whole.count() == 6
     assert whole._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+
+
+def test_null_association_reads_lines_once(spark, monkeypatch):
+    """Both sides' sums are made of one scan of the lines, and where many pairs are wanted, no bitmaps are."""
+    plans = []
+    monkeypatch.setattr(assoc, "meet_by_bitmaps", lambda *a: pytest.fail("bitmaps for pairs of all kinds"), raising=False)
+    monkeypatch.setattr(assoc, "kept", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    assert registry.QUERIES["d47_sp3_null_association"](spark, "/root/testdata/sf0.001").count() > 0
+    # a relation that is read is one line of the plan
+    assert sum("l_quantity" in line for plan in plans for line in plan.splitlines() if "Relation [" in line) == 1
+
+
+def test_scan_of_few_pairs_by_bitmaps(spark, monkeypatch):
+    """Both ways of meeting give the same rows; a row may have both names, come in parts, or have no sample."""
+    rows = [(s if s % 9 else None, f"e{s * k % 5}" if k % 3 else None, s * k % 7 if k % 4 else None, float(s % 3 + k)) for s in range(150) for k in range(6)]
+    df = spark.createDataFrame(rows, "s int, e string, p int, v double")
+    wanted = spark.createDataFrame([(k, f"e{i}", p) for k in (1, 2) for i in range(5) for p in range(k, 7, 3)] + [(1, None, 2), (1, "e1", None), (1, "none", 1)], "k int, e string, p int")
+    way = assoc.meet_by_bitmaps
+    scan = lambda: ordered(tuple(plain(v) for v in r) for r in assoc.scan_of_sums(df, wanted, "s", "e", "p", "v", 150, keys=["k"]).collect())
+    monkeypatch.setattr(assoc, "meet_by_bitmaps", lambda *a: pytest.fail("many pairs"))
+    dense = scan()
+    monkeypatch.setattr(assoc, "meet_by_bitmaps", way)
+    monkeypatch.setattr(assoc, "DENSE", 0)
+    assert len(dense) == 20 and scan() == dense and any(r[8] is not None for r in dense)
+    sums = {}
+    for s, e, p, v in rows:
+        for who in {("e", e), ("p", p)}:
+            sums.setdefault(who, {})[s] = sums.get(who, {}).get(s, 0) + v
+    for _, e, p, n11, mean, *_ in dense:
+        a, b = sums["e", e], sums["p", p]
+        both = [s for s in a if s is not None and s in b]
+        assert n11 == len(both) and mean == pytest.approx(sum(a[s] / b[s] for s in both) / len(both))
