@@ -207,3 +207,23 @@ def test_scan_of_few_pairs_by_bitmaps(spark, monkeypatch):
         a, b = sums["e", e], sums["p", p]
         both = [s for s in a if s is not None and s in b]
         assert n11 == len(both) and mean == pytest.approx(sum(a[s] / b[s] for s in both) / len(both))
+
+
+@pytest.mark.parametrize("sent", [1 << 19, 2])
+def test_association_scan_with_odd_keys(spark, tmp_path, monkeypatch, sent):
+    """Parts and suppliers that come twice or nowhere, orders without a customer, and tables that are sent or dealt by key."""
+    from cohortloom.plans import association
+
+    monkeypatch.setattr(association, "_SENT", sent, raising=False)
+    make = spark.createDataFrame
+    lines = [(o, 1 + (o * 7 + i) % 9, 1 + (o + i * i) % 6, float(1 + (o * i) % 11)) for o in range(60) for i in range(4)]
+    tables = {
+        "lineitem": make(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double"),
+        "orders": make([(o, o % 8 if o % 11 else None) for o in range(58)] + [(5, 6)], "o_orderkey long, o_custkey long"),
+        "part": make([(k, "LARGE" if k % 2 else "SMALL") for k in range(1, 8)] + [(3, "PROMO"), (3, "LARGE")], "p_partkey long, p_type string"),
+        "supplier": make([(k, k % 3) for k in range(1, 6)] + [(2, 1), (4, 1)], "s_suppkey long, s_nationkey int"),
+        "nation": make([(k,) for k in range(4)], "n_nationkey int"),
+        "customer": make([(k,) for k in range(20)], "c_custkey long"),
+    }
+    got, want = against_sql(spark, "d46_association_scan", tmp_path, **tables)
+    assert got == want and len(got) == 9
