@@ -227,3 +227,41 @@ def test_association_scan_with_odd_keys(spark, tmp_path, monkeypatch, sent):
     }
     got, want = against_sql(spark, "d46_association_scan", tmp_path, **tables)
     assert got == want and len(got) == 9
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 7}, {"RANKS": -1}, {"COLUMNS": 0}])
+def test_association_scan_with_sums_that_are_null(spark, tmp_path, monkeypatch, limits):
+    """Sums that are null rank last and count as common samples, sums below 0 have ratios in order, however pairs meet."""
+    for k, v in limits.items():
+        monkeypatch.setattr(assoc, k, v, raising=False)
+    make = spark.createDataFrame
+    value = lambda o, i: None if (o * 5 + i) % 4 == 0 else float((o * 3 + i * i) % 9 - 3.3)
+    lines = [(o, 1 + (o * 7 + i) % 9, 1 + (o + i * i) % 6, value(o, i)) for o in range(80) for i in range(3)]
+    tables = {
+        "lineitem": make(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double"),
+        "orders": make([(o, o % 31 if o % 11 else None) for o in range(80)], "o_orderkey long, o_custkey long"),
+        "part": make([(k, ("LARGE", "SMALL", "PROMO")[k % 3]) for k in range(1, 10)], "p_partkey long, p_type string"),
+        "supplier": make([(k, k % 3) for k in range(1, 7)], "s_suppkey long, s_nationkey int"),
+        "nation": make([(k,) for k in range(4)], "n_nationkey int"),
+        "customer": make([(k,) for k in range(40)], "c_custkey long"),
+    }
+    got, want = against_sql(spark, "d46_association_scan", tmp_path, **tables)
+    assert got == want and len(got) == 9
+
+
+def test_association_scan_keeps_a_row_a_sample(spark, monkeypatch):
+    """With few names neither the sums of a sample nor its pairs are rows of their own, though all values differ."""
+    most = []
+
+    def counted(df):
+        out = kept(df)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(assoc, "kept", counted)
+    rows = [(s, f"e{i % 4}", i % 9, 1.0 + (s * 7 + i) % 11) for s in range(300) for i in range(36)]
+    wanted = spark.createDataFrame([(f"e{i}", p) for i in range(4) for p in range(9)], "e string, p int")
+    got = assoc.scan_of_sums(spark.createDataFrame(rows, "s int, e string, p int, v double"), wanted, "s", "e", "p", "v", 300).collect()
+    assert len(got) == 36 and all(r["n11"] == 300 for r in got)
+    # values of 36 pairs, of two sides and of ratios, are counted from the rows
+    assert sorted(most)[-3] <= 300 * 36 // 2 and 300 in most and 300 * 13 not in most
